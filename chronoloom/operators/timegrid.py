@@ -36,7 +36,7 @@ def bucket_aggregate(
     if not aggs:
         raise ValueError("nothing to aggregate")
     used = dict.fromkeys([*keys, ts, *means, *sums, *firsts, *(first_order or [])])
-    rows = df.select(*used).withColumn("__bucket", bucket(ts, level)).filter(F.col("__bucket").isNotNull())
+    rows = df.select(*used).filter(F.col(ts).isNotNull()).withColumn("__bucket", bucket(ts, level))
     return rows.groupBy(*keys, F.col("__bucket").alias("date")).agg(*aggs)
 
 
