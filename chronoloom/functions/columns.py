@@ -118,20 +118,23 @@ def pinball(error: Column, q: float) -> Column:
     return F.greatest(q * error, (q - 1) * error)
 
 
+def bound(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once instead of once per mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def easter_sunday(year: Column) -> Column:
     """Gregorian Easter (anonymous computus) as one expression."""
-    a = year % 19
-    b = F.floor(year / 100)
-    c = year % 100
-    d = F.floor(b / 4)
-    e = b % 4
-    f = F.floor((b + 8) / 25)
-    g = F.floor((b - f + 1) / 3)
-    h = (19 * a + b - d - g + 15) % 30
-    i = F.floor(c / 4)
-    k = c % 4
-    ell = (32 + 2 * e + 2 * i - h - k) % 7
-    m = F.floor((a + 11 * h + 22 * ell) / 451)
-    month = F.floor((h + ell - 7 * m + 114) / 31).cast("int")
-    day = ((h + ell - 7 * m + 114) % 31 + 1).cast("int")
-    return F.make_date(year.cast("int"), month, day)
+    a, b, c = year % 19, F.floor(year / 100), year % 100
+    epact = (19 * a + b - F.floor(b / 4) - F.floor((b - F.floor((b + 8) / 25) + 1) / 3) + 15) % 30
+
+    def from_epact(h: Column) -> Column:
+        weekday = (32 + 2 * (b % 4) + 2 * F.floor(c / 4) - h - c % 4) % 7
+
+        def from_weekday(ell: Column) -> Column:
+            late = F.floor((a + 11 * h + 22 * ell) / 451)
+            return F.date_add(F.make_date(year.cast("int"), F.lit(3), F.lit(22)), (h + ell - 7 * late).cast("int"))
+
+        return bound(weekday, from_weekday)
+
+    return bound(epact, from_epact)

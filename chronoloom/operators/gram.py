@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _summed(keys: list[str], width: int, schema: pa.Schema | None = None):
+def _summed(keys: list[str], width: int):
     """Batch function: sums complete core rows per (keys, block); passes origin rows through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,38 +62,44 @@ def _summed(keys: list[str], width: int, schema: pa.Schema | None = None):
 
 def cross_products(
     df: DataFrame,
-    z: Sequence[str | Column],
+    z: Sequence[str | Column] | Column,
     *,
     keys: Sequence[str] = (),
     date: str = "date",
     step: str | Column | None = None,
     block: str | Column | None = None,
     weight: Column | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """(keys, block, step, date, rows, payload): partial z'z where step is NULL, the row z itself elsewhere.
 
+    `z` is a list of columns, or one array column of `width` doubles (wide designs: it keeps generated code small).
     Core rows with any missing value are left out; origin rows keep theirs as NaN. `weight` scales a core row's
     contribution.
     """
     keys = list(keys)
-    cells = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in z]
+    if isinstance(z, Column):
+        row, size = z, width
+    else:
+        row = F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in z])
+        size = len(z)
     step_col = F.lit(None).cast("int") if step is None else (F.col(step) if isinstance(step, str) else step)
     block_col = F.lit(0) if block is None else (F.col(block) if isinstance(block, str) else block)
     if weight is not None:
         root = F.when(step_col.isNull(), F.sqrt(weight)).otherwise(F.lit(1.0))
-        cells = [c * root for c in cells]
+        row = F.transform(row, lambda v: v * root)
     rows = df.select(
         *keys,
         F.coalesce(block_col, F.lit(0)).cast("int").alias("block"),
         step_col.cast("int").alias("step"),
         F.col(date).alias("date"),
-        F.array(*cells).alias("z"),
+        row.alias("z"),
     )
     fields = [f for f in rows.schema.fields if f.name != "z"]
     schema = T.StructType(
         [*fields, T.StructField("rows", T.LongType()), T.StructField("payload", T.ArrayType(T.DoubleType()))]
     )
-    return rows.mapInArrow(_summed(keys, len(cells)), schema)
+    return rows.mapInArrow(_summed(keys, size), schema)
 
 
 class KeyMoments:

@@ -44,8 +44,9 @@ def holiday_calendar(
     if not chosen:
         raise ValueError(f"no holiday rules for {country!r}; pass your own rules or holiday table")
     years = sorted({int(y) for y in years})
+    around = sorted({y + d for y in years for d in (-1, 0, 1)})  # an observed day may fall in the next year
     base = spark.createDataFrame(chosen, _RULE_SCHEMA).coalesce(1)
-    base = base.withColumn("year", F.explode(F.array(*[F.lit(y) for y in years]))).filter("year >= since")
+    base = base.withColumn("year", F.explode(F.array(*[F.lit(y) for y in around]))).filter("year >= since")
     month_start = F.make_date("year", F.greatest("month", F.lit(1)), F.lit(1))
     nth = F.expr("date_add(next_day(date_sub(make_date(year, greatest(month, 1), 1), 1), weekday), 7 * (d - 1))")
     last = F.expr("next_day(date_sub(last_day(make_date(year, greatest(month, 1), 1)), 7), weekday)")
@@ -55,8 +56,10 @@ def holiday_calendar(
         .when(F.col("kind") == "last", last)
         .otherwise(F.date_add(easter_sunday(F.col("year")), F.col("d")))
     )
-    base = base.withColumn("date", day)
-    out = base.select("country", "date", "name")
+    # the generator keeps the date rule from being copied into every later mention of `date`
+    base = base.select("*", F.explode(F.array(day)).alias("date"))
+    inside = F.year("date").isin(years)
+    out = base.filter(inside).select("country", "date", "name")
     if observed:
         weekday = F.dayofweek("date")  # 1 = Sunday, 7 = Saturday
         christmas_pair = F.when(F.col("name").isin("Christmas Day", "Boxing Day"), F.lit(2))
@@ -66,7 +69,7 @@ def holiday_calendar(
             .when((F.col("shift") == "next") & (weekday == 7), F.date_add("date", 2))
             .when((F.col("shift") == "next") & (weekday == 1), F.date_add("date", F.coalesce(christmas_pair, F.lit(1))))
         )
-        extra = base.withColumn("date", moved).filter(F.col("date").isNotNull() & F.year("date").isin(years))
+        extra = base.withColumn("date", moved).filter(F.col("date").isNotNull() & inside)
         out = out.unionByName(extra.select("country", "date", F.concat("name", F.lit(" (observed)")).alias("name")))
     return out
 
@@ -74,12 +77,12 @@ def holiday_calendar(
 def add_holidays(df: DataFrame, holidays: DataFrame, level: str, date: str = "date") -> DataFrame:
     """`holidays_fe`: 0/1 flag for daily series, count of distinct holiday dates in the bucket for weekly and monthly.
 
-    The holiday side is one row per calendar bucket of the listed years, so its size does not grow with the series;
-    the join strategy is left to the optimizer's own size check.
+    The holiday side is one row per calendar bucket of the listed years, so its size does not grow with the series
+    and broadcasting it is safe.
     """
     days = holidays.select(F.col("date").alias("__day")).distinct()
     if level == "daily":
         marks = days.select(F.col("__day").alias(date), F.lit(1).alias("holidays_fe"))
     else:
         marks = days.groupBy(bucket("__day", level).alias(date)).agg(F.count(F.lit(1)).cast("int").alias("holidays_fe"))
-    return df.join(marks, date, "left").withColumn("holidays_fe", F.coalesce("holidays_fe", F.lit(0)))
+    return df.join(F.broadcast(marks), date, "left").withColumn("holidays_fe", F.coalesce("holidays_fe", F.lit(0)))
