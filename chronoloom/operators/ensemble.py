@@ -18,6 +18,7 @@ AVERAGES = {"ts": "ts_avg", "tabular": "tab_avg", "baseline": "bsln_avg"}
 STACKS = {"baseline": "bsln_wavg", "ts": "ts_wavg", "tabular": "tab_wavg"}
 FAMILY_ORDER = ("ts", "tabular", "baseline")
 ENSEMBLE = "ensemble"
+NEARLY_EQUAL = 1e-8
 
 
 def label(preds: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -65,8 +66,10 @@ def _stack(warmup_share: float):
                 if ok.any():
                     xs, ys = x[:i][ok], y[:i][ok]
                     mx, my = xs.mean(axis=0), ys.mean()
-                    beta = np.linalg.lstsq(xs - mx, ys - my, rcond=None)[0]
-                    pred = my + (x[i] - mx) @ beta
+                    size = np.where((xs - mx).any(axis=0), np.linalg.norm(xs - mx, axis=0), 1.0)
+                    # forecasts that agree to rounding count as one, or their difference would be amplified
+                    beta = np.linalg.lstsq((xs - mx) / size, ys - my, rcond=NEARLY_EQUAL)[0]
+                    pred = my + (x[i] - mx) / size @ beta
             out.append(pred)
         res = pdf.drop(columns=["preds"])
         res["pred"] = pd.Series(out, dtype=float).where(np.isfinite(out), None)
