@@ -25,7 +25,7 @@ from chronoloom.operators import timegrid as tg
 from chronoloom.operators import transforms as tr
 from chronoloom.plans.run import run
 from chronoloom.plans.spec import spec_from_dict
-from chronoloom.session import ensure_checkpoint_dir
+from chronoloom.session import cut_lineage, ensure_checkpoint_dir
 from chronoloom.sources import cleaning, readers, sinks
 
 KEY = ["priority"]
@@ -82,9 +82,7 @@ FEATURES = ["lag_y_1", "lag_y_2", "lag_y_3", "lag_y_4", "mean_y_1_10", "Year", "
 
 def baseline_preds(spark: SparkSession, sf: str) -> DataFrame:
     s = complete(spark, sf)
-    p = baseline_forecasts(s, target="y", horizon=HORIZON, k=LATEST, keys=KEY)
-    truth = backtest.actuals(s, target="y", horizon=HORIZON, keys=KEY).select(*KEY, "step", "y")
-    return p.join(truth, [*KEY, "step"])
+    return baseline_forecasts(s, target="y", horizon=HORIZON, k=LATEST, keys=KEY, with_actual=True)
 
 
 # Two families out of the six baselines, so that family rules can be checked without fitted models.
@@ -391,7 +389,7 @@ def stack_tables(spark, sf):
 
 @query
 def zip_tables(spark, sf):
-    s = frame.with_step(complete(spark, sf), KEY, HORIZON).filter("step is not null")
+    s = cut_lineage(frame.with_step(complete(spark, sf), KEY, HORIZON).filter("step is not null"))
     return frame.zip_by_step(s.select(*KEY, "step", "y"), s.select(*KEY, "step", "x"), KEY)
 
 
@@ -400,8 +398,7 @@ def zip_tables(spark, sf):
 
 def _scaled(spark, sf, method):
     s = complete(spark, sf)
-    return rounded(scaling.apply_scaler(s, scaling.fit_scaler(s, ["y", "x"], method, KEY), ["y", "x"], KEY), "y", "x",
-                   digits=6)
+    return rounded(scaling.scale_series(s, ["y", "x"], method, KEY).select(*s.columns), "y", "x", digits=6)
 
 
 @query
@@ -429,13 +426,13 @@ def norm_parameters(spark, sf):
 @query
 def norm_train_only(spark, sf):
     s = frame.with_step(complete(spark, sf), KEY, HORIZON)
-    stats = scaling.fit_scaler(s, ["y"], "minmax", KEY, keep=F.col("step").isNull())
-    return rounded(scaling.apply_scaler(s.select(*KEY, "date", "y"), stats, ["y"], KEY), "y", digits=6)
+    out = scaling.scale_series(s, ["y"], "minmax", KEY, keep=F.col("step").isNull())
+    return rounded(out.select(*KEY, "date", "y"), "y", digits=6)
 
 
 @query
 def norm_round_trip(spark, sf):
-    s = complete(spark, sf)
+    s = cut_lineage(complete(spark, sf))
     stats = scaling.fit_scaler(s, ["y"], "robust_scaler", KEY)
     back = scaling.invert_scaler(scaling.apply_scaler(s, stats, ["y"], KEY), stats, "y", ["y"], KEY)
     return rounded(back, "y")
@@ -581,7 +578,7 @@ def backtest_origins(spark, sf):
 
 @query
 def undo_differences(spark, sf):
-    s = complete(spark, sf)
+    s = cut_lineage(complete(spark, sf))
     d = tr.differences(s, "y", KEY)
     p = baseline_forecasts(d, target="secdifference", horizon=HORIZON, k=LATEST, keys=KEY, models=["last"])
     truth = backtest.actuals(s, target="y", horizon=HORIZON, keys=KEY)
@@ -885,9 +882,8 @@ def whole_run(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly revenue per priority -> baselines -> recent-performance selection -> error metrics."""
     s = missing.interpolate(gappy(spark, sf, "monthly"), ["y", "x"], KEY)
-    p = baseline_forecasts(s, target="y", horizon=HORIZON, k=LATEST, keys=KEY)
-    truth = backtest.actuals(s, target="y", horizon=HORIZON, keys=KEY).select(*KEY, "step", "y")
-    p = ensemble.label(p.join(truth, [*KEY, "step"]), {"baseline": list(BASELINES)})
+    p = baseline_forecasts(s, target="y", horizon=HORIZON, k=LATEST, keys=KEY, with_actual=True)
+    p = ensemble.label(p, {"baseline": list(BASELINES)})
     chosen = ensemble.select_model(p, min_steps=WINDOW, keys=KEY)
     scored = p.filter(F.col("step") >= WINDOW).select(*KEY, "step", "model", "pred", "y").unionByName(
         chosen.select(*KEY, "step", F.lit(metrics.SELECTOR).alias("model"), "pred", "y")

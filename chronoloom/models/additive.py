@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators.frame import whole, with_step
 from chronoloom.operators.gram import KeyMoments, cross_products, fit, residual_sum, solve_per_key
+from chronoloom.session import cut_lineage
 
 # Season lengths in days and their Fourier orders; hinge count and the share of history they cover.
 SEASONS = {"yearly": (365.25, 10), "weekly": (7.0, 3), "daily": (1.0, 4)}
@@ -175,6 +176,8 @@ def _ridge(gram: np.ndarray, xs: list[int], pen: np.ndarray):
 
 
 def _expanding(xs: list[int], pen: np.ndarray, name: str):
+    """The last two cells of a row are not regressors: they carry the key's scale to the output."""
+
     def run(m: KeyMoments) -> pd.DataFrame:
         out = []
         gram = m.total() if m.width else None
@@ -183,10 +186,11 @@ def _expanding(xs: list[int], pen: np.ndarray, name: str):
             if gram[0, 0] >= 2:
                 b0, beta, used = _ridge(gram, xs, pen)
                 pred = b0 + (z[used] @ beta if used else 0.0)
-            out.append((int(step), m.dates[i], name, None if not np.isfinite(pred) else float(pred)))
+            pred = None if not np.isfinite(pred) else float(pred)
+            out.append((int(step), m.dates[i], name, pred, float(z[-2]), float(z[-1])))
             if m.complete(i):
                 gram = gram + np.outer(z, z)
-        return pd.DataFrame(out, columns=["step", "date", "model", "work"])
+        return pd.DataFrame(out, columns=["step", "date", "model", "work", "__top", "__size"])
 
     return run
 
@@ -212,12 +216,11 @@ def additive_forecasts(
     roles = _roles(widths, params)
     pen = _penalty(widths, roles, params)
     base = base.withColumn("__work", _targets(params.cap)[params.transform])
-    z = _row([F.lit(1.0), F.col("__work")], roles)
-    parts = cross_products(base, z, width=2 + len(pen), keys=keys, date=date, step="step")
+    z = F.concat(_row([F.lit(1.0), F.col("__work")], roles), F.array("__top", "__size"))
+    parts = cross_products(base, z, width=4 + len(pen), keys=keys, date=date, step="step")
     xs = list(range(2, 2 + len(pen)))
-    solved = solve_per_key(parts, keys, _expanding(xs, pen, name), "step int, date date, model string, work double")
-    scale = base.filter(F.col("step").isNotNull()).select(*keys, "step", "__top", "__size")
-    out = solved.join(scale, [*keys, "step"])
+    schema = "step int, date date, model string, work double, __top double, __size double"
+    out = solve_per_key(parts, keys, _expanding(xs, pen, name), schema)
     return out.select(*keys, "step", "date", "model", _back(params.transform, F.col("work"), params.cap).alias("pred"))
 
 
@@ -266,7 +269,7 @@ def additive_search(
         df, target=target, horizon=horizon, keys=keys, date=date, holidays=holidays, exogenous=exogenous,
         changepoints=changepoints,
     )
-    base = base.filter(F.col("step").isNull())
+    base = cut_lineage(base.filter(F.col("step").isNull()))  # read again by every fit and every scoring
     period = max(horizon_days // 2, 1)
     newest = F.date_sub("__last", horizon_days)
     count = F.floor(F.datediff(newest, F.date_add("__first", initial_days)) / period)  # cutoffs - 1

@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.backtest import actuals, undo_differences
 from chronoloom.operators.frame import attach, by_time, with_step
 from chronoloom.operators.gram import KeyMoments, cross_products, fit, gaussian_criterion, residual_sum, solve_per_key
 from chronoloom.operators.stationarity import choose_difference
 from chronoloom.operators.transforms import differences
+from chronoloom.session import cut_lineage
 
 
 def _long_fit(m: KeyMoments) -> pd.DataFrame:
@@ -36,7 +36,10 @@ def _long_fit(m: KeyMoments) -> pd.DataFrame:
 
 
 def _order_search(max_p: int, max_q: int, exogenous: int, criterion: str, name: str):
-    """z = [1, w, w_lag1..p, e_lag1..q, exogenous..]; every origin picks its own order."""
+    """z = [1, w, w_lag1..p, e_lag1..q, exogenous.., d, base]; every origin picks its own order.
+
+    `base` is what the differencing of order `d` took off the origin's value, so adding it restores the level.
+    """
     ar = list(range(2, 2 + max_p))
     ma = list(range(2 + max_p, 2 + max_p + max_q))
     exo = list(range(2 + max_p + max_q, 2 + max_p + max_q + exogenous))
@@ -55,11 +58,12 @@ def _order_search(max_p: int, max_q: int, exogenous: int, criterion: str, name:
                     score = gaussian_criterion(residual_sum(gram, b0, beta, used), gram[0, 0], len(used) + 2, criterion)
                     if best is None or score < best[0]:
                         best = (score, b0 + (z[used] @ beta if used else 0.0), p, q)
-            pred = best[1] if best and np.isfinite(best[1]) else None
-            out.append((int(step), m.dates[i], name, pred, best[2] if best else None, best[3] if best else None))
+            level = best[1] + z[-1] if best else np.nan
+            found = (best[2], best[3]) if best else (None, None)
+            out.append((int(step), m.dates[i], name, level if np.isfinite(level) else None, int(z[-2]), *found))
             if m.complete(i):
                 gram = gram + np.outer(z, z)
-        return pd.DataFrame(out, columns=["step", "date", "model", "pred", "p", "q"])
+        return pd.DataFrame(out, columns=["step", "date", "model", "pred", "d", "p", "q"])
 
     return run
 
@@ -85,7 +89,7 @@ def arima_forecasts(
     """One-step forecasts on the scale of `target`. `d=None` chooses the differencing order per key by repeated
     unit-root tests on the rows before the first origin; exogenous columns are differenced alongside."""
     base = df.select(*keys, date, F.col(target).cast("double").alias("y"), *exogenous)
-    base = with_step(base, keys, horizon, date)
+    base = cut_lineage(with_step(base, keys, horizon, date))  # the stages below read it once each
     w = by_time(keys, date)
     if d is None:
         train = differences(base.filter(F.col("step").isNull()).select(*keys, date, "y"), "y", keys, date, max_d)
@@ -100,7 +104,9 @@ def arima_forecasts(
         return F.when(F.col("__d") == 1, one).when(F.col("__d") == 2, two).otherwise(F.col(c).cast("double"))
 
     top = 0 if d == 0 else (max_d if d is None else d)
-    work = {"__w": differenced("y") if top else F.col("y")}
+    y1, y2 = F.lag("y", 1).over(w), F.lag("y", 2).over(w)
+    taken = F.when(F.col("__d") == 1, y1).when(F.col("__d") == 2, 2 * y1 - y2).otherwise(F.lit(0.0))
+    work = {"__w": differenced("y") if top else F.col("y"), "__base": taken if top else F.lit(0.0)}
     work |= {f"__x{i}": differenced(c) if top else F.col(c).cast("double") for i, c in enumerate(exogenous)}
     base = base.withColumns(work)
     xs = [f"__x{i}" for i in range(len(exogenous))]
@@ -118,15 +124,9 @@ def arima_forecasts(
     ma = {f"__e{i}": F.lag("__e", i).over(w) for i in range(1, max_q + 1)}
     base = base.withColumns(ma)
     ar = [f"__w{i}" for i in range(1, max_p + 1)]
-    second = cross_products(base, [F.lit(1.0), "__w", *ar, *ma, *xs], keys=keys, date=date, step="step")
+    z2 = [F.lit(1.0), "__w", *ar, *ma, *xs, "__d", "__base"]
+    second = cross_products(base, z2, keys=keys, date=date, step="step")
     run = _order_search(max_p, max_q, len(xs), criterion, name)
-    out = solve_per_key(second, keys, run, "step int, date date, model string, pred double, p int, q int")
-    if top:
-        known = base.filter(F.col("step").isNotNull()).select(*keys, "step", F.col("__d").alias("d"))
-        out = out.join(known, [*keys, "step"])
-        truth = actuals(df, target=target, horizon=horizon, keys=keys, date=date)
-        out = undo_differences(out, truth, order="d", keys=keys)
-    else:
-        out = out.withColumn("d", F.lit(0))
+    out = solve_per_key(second, keys, run, "step int, date date, model string, pred double, d int, p int, q int")
     columns = [*keys, "step", "date", "model", "pred"]
     return out.select(*columns, "d", "p", "q") if detail else out.select(*columns)

@@ -44,8 +44,10 @@ def baseline_forecasts(
     date: str = "date",
     max_k: int | None = None,
     models: Sequence[str] = BASELINES,
+    with_actual: bool = False,
 ) -> DataFrame:
     """`k` is the length of the "latest" window: a number, or a column holding one per key (then give `max_k`).
+    `with_actual` keeps the true value as `y`.
 
     Expanding means are prefix sums. Expanding medians are wanted for `horizon` rows only, so they are `horizon`
     conditional medians over the key instead of one per row. All windows share the keys' one shuffle.
@@ -79,4 +81,5 @@ def baseline_forecasts(
         ramp = F.sum(F.col("y") * F.col("rn")).over(frame) - (F.min("rn").over(frame) - 1) * F.sum("y").over(frame)
         new["weight_last"] = F.when(F.count("y").over(frame) == m, ramp / (m * (m + 1) / 2))
     wide = wide.withColumns(new).filter(F.col("step").isNotNull())
-    return wide.select(*keys, "step", date, *models).unpivot([*keys, "step", date], list(models), "model", "pred")
+    ids = [*keys, "step", date] + (["y"] if with_actual else [])
+    return wide.select(*ids, *models).unpivot(ids, list(models), "model", "pred")

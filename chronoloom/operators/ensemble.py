@@ -122,6 +122,8 @@ def select_model(
         pool = pool.filter(~F.col("model").isin(list(ignore_models)))
     if exclude_families:
         pool = pool.filter(~F.col("family").isin(list(exclude_families)))
+    if keys:  # a key has horizon x models rows; this one exchange serves both the window and the aggregate
+        pool = pool.repartition(*keys)
     past = Window.partitionBy(*keys, "model").orderBy("step").rowsBetween(-min_steps, -1)
     scored = pool.withColumn("window_mae", F.avg(F.abs(F.col("pred") - F.col("y"))).over(past))
     scored = scored.filter((F.col("step") >= min_steps) & F.col("window_mae").isNotNull())

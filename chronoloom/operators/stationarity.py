@@ -200,12 +200,8 @@ def lag_order_scores(
 def choose_lag_order(
     df: DataFrame, var: str, max_lags: int, *, criterion: str = "AIC", keys: Sequence[str] = (), date: str = "date"
 ) -> DataFrame:
-    """(keys, lag_order): the order with the lowest score, 1 where no order could be fitted."""
+    """(keys, lag_order): the order with the lowest score. A key for which no order could be fitted has no row; its
+    order is 1."""
     scores = lag_order_scores(df, var, max_lags, criterion=criterion, keys=keys, date=date)
     best = scores.groupBy(*keys).agg(F.min_by("lags", F.struct("score", "lags")).alias("lag_order"))
-    if not keys:
-        return best.select(F.coalesce("lag_order", F.lit(1)).alias("lag_order"))
-    every = df.select(*keys).distinct()
-    return every.join(best, list(keys), "left").withColumn("lag_order", F.coalesce("lag_order", F.lit(1)))
-
-
+    return best if keys else best.select(F.coalesce("lag_order", F.lit(1)).alias("lag_order"))

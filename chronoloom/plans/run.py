@@ -176,6 +176,10 @@ def _newest_first(keys):
     return Window.partitionBy(*keys).orderBy(F.col("date").desc())
 
 
+def with_lag_order(df: DataFrame, orders: DataFrame, keys: list[str]) -> DataFrame:
+    return attach(df, orders, keys, "left").withColumn("lag_order", F.coalesce("lag_order", F.lit(1)))
+
+
 def build_matrix(
     df: DataFrame, spec: RunSpec, variable: str, holidays: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None, int]:
@@ -185,8 +189,8 @@ def build_matrix(
     level = spec.prepare.aggr_time_level
     if lag.compute_lags:
         orders = cut_lineage(choose_lag_order(df, variable, lag.max_lags, criterion=lag.metric, keys=keys))
-        longest = int(orders.agg(F.max("lag_order")).first()[0])
-        df = attach(df, orders, keys)
+        longest = int(orders.agg(F.max("lag_order")).first()[0] or 1)
+        df = with_lag_order(df, orders, keys)
         df = lag_block_by_order(df, lagged, longest, "lag_order", keys) if keys else lag_block(df, lagged, longest)
     else:
         orders, longest = None, int(lag.steps)
@@ -338,7 +342,7 @@ def run(
     tabular = tabular_forecasts(matrix, variable, features, keys, m)
     base_k = dict(k="lag_order", max_k=longest) if lag_orders is not None else dict(k=longest)
     original = m.use_original_for_baseline
-    base_source = attach(levels, lag_orders, keys) if lag_orders is not None else levels
+    base_source = with_lag_order(levels, lag_orders, keys) if lag_orders is not None else levels
     base = baseline_forecasts(
         base_source, target=target if original else variable, horizon=m.horizon, keys=keys, **base_k
     )
