@@ -79,7 +79,7 @@ def baseline_forecasts(
         new["median_latest"] = F.percentile("y", F.lit(0.5)).over(frame)
         m = F.count(F.lit(1)).over(frame)
         ramp = F.sum(F.col("y") * F.col("rn")).over(frame) - (F.min("rn").over(frame) - 1) * F.sum("y").over(frame)
-        new["weight_last"] = F.when(F.count("y").over(frame) == m, ramp / (m * (m + 1) / 2))
+        new["weight_last"] = F.when((m > 0) & (F.count("y").over(frame) == m), ramp / (m * (m + 1) / 2))
     wide = wide.withColumns(new).filter(F.col("step").isNotNull())
     ids = [*keys, "step", date] + (["y"] if with_actual else [])
     return wide.select(*ids, *models).unpivot(ids, list(models), "model", "pred")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.frame import attach, by_time, whole, with_position
@@ -17,13 +17,23 @@ CYCLE = {"daily": 7, "weekly": 52, "monthly": 12}
 _WIDE = 16  # above this many columns, pairs are rows instead of aggregate columns
 
 
+def pair_correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both are present; NULL when either one does not vary.
+
+    The built-in `corr` raises on zero variance in ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, a, b, corr) for every ordered pair, using the rows where both values are present."""
     cols = list(cols)
     data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     if len(cols) <= _WIDE:
         pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-        one = data.groupBy(*keys).agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+        one = data.groupBy(*keys).agg(*[pair_correlation(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
         rows = []
         for i, (a, b) in enumerate(pairs):
             for x, y in {(a, b), (b, a)}:
@@ -33,13 +43,13 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] =
     left = data.select(*keys, cells.alias("cells")).select(*keys, "cells", F.explode("cells").alias("x"))
     both = left.select(*keys, F.col("x"), F.explode("cells").alias("y"))
     return both.groupBy(*keys, F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(
-        F.corr("x.v", "y.v").alias("corr")
+        pair_correlation(F.col("x.v"), F.col("y.v")).alias("corr")
     )
 
 
 def varying(corr: DataFrame) -> DataFrame:
     """Drops the pairs of constant columns (their correlation is undefined)."""
-    return corr.filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    return corr.filter(F.col("corr").isNotNull())
 
 
 def correlation_columns(
@@ -127,10 +137,9 @@ def partial_autocorrelation(
           sequence(1, size(r) - 1),
           struct(cast(array() as array<double>) as phi, cast(array() as array<double>) as out),
           (s, k) -> transform(
-            array((r[k] - aggregate(zip_with(s.phi, reverse(slice(r, 2, size(s.phi))), (a, b) -> a * b),
-                                    0d, (t, x) -> t + x))
-                  / (1 - aggregate(zip_with(s.phi, slice(r, 2, size(s.phi)), (a, b) -> a * b),
-                                   0d, (t, x) -> t + x))),
+            array(try_divide(
+              r[k] - aggregate(zip_with(s.phi, reverse(slice(r, 2, size(s.phi))), (a, b) -> a * b), 0d, (t, x) -> t + x),
+              1 - aggregate(zip_with(s.phi, slice(r, 2, size(s.phi)), (a, b) -> a * b), 0d, (t, x) -> t + x))),
             f -> struct(
               concat(zip_with(s.phi, reverse(s.phi), (a, b) -> a - f * b), array(f)) as phi,
               concat(s.out, array(f)) as out))[0],
