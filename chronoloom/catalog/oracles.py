@@ -309,6 +309,314 @@ def filled(level: str = "daily") -> str:
     filled AS (SELECT priority, date, {line} FROM ended)"""
 
 
+# --- least squares in SQL -----------------------------------------------------------------------------------------
+
+
+def expanding_cells(p: int) -> str:
+    """CTE cells(priority, step, i, j, s): z'[z, y] over the rows before each origin, from
+    design(priority, rn, n, y, z) whose rows are complete. Position p + 1 stands for y."""
+    return f"""zy AS (SELECT priority, CASE WHEN rn > n - {H} THEN rn - (n - {H}) ELSE 0 END AS block,
+        list_append(z, y) AS v FROM design),
+    sums AS (SELECT priority, block, i, j, SUM(v[i] * v[j]) AS s
+      FROM zy, (SELECT unnest(range(1, {p + 2})) AS i), (SELECT unnest(range(1, {p + 2})) AS j) GROUP BY ALL),
+    cells AS (SELECT * FROM (SELECT priority, CAST(block AS INTEGER) AS step, i, j,
+        SUM(s) OVER (PARTITION BY priority, i, j ORDER BY block) AS s FROM sums) WHERE step < {H})"""
+
+
+def fixed_cells(ids: str, p: int) -> str:
+    """CTE cells(ids, i, j, s) over all rows of design(ids, y, z)."""
+    return f"""cells AS (SELECT {ids}, i, j, SUM(list_append(z, y)[i] * list_append(z, y)[j]) AS s
+      FROM design, (SELECT unnest(range(1, {p + 2})) AS i), (SELECT unnest(range(1, {p + 2})) AS j) GROUP BY ALL)"""
+
+
+def gauss(ids: str, p: int, source: str = "cells", extra: str = "0", name: str = "") -> str:
+    """CTE beta(ids, b): solves the normal equations in `source` by elimination. `extra` is added to the diagonal
+    (a ridge penalty, or 1 for a column that is switched off). The last list entry is the solution for the second
+    unit vector's own place, i.e. the inverse's (2, 2) cell."""
+    return f"""dense{name} AS (SELECT {ids}, i, j, s + CASE WHEN i = j THEN {extra} ELSE 0 END AS s FROM {source} WHERE i <= {p}
+      UNION ALL SELECT DISTINCT {ids}, i, {p + 2}, CASE WHEN i = 2 THEN 1.0 ELSE 0.0 END FROM {source} WHERE i <= {p}),
+    lines{name} AS (SELECT {ids}, i, LIST(s ORDER BY j) AS r FROM dense{name} GROUP BY ALL),
+    start{name} AS (SELECT {ids}, LIST(r ORDER BY i) AS m FROM lines{name} GROUP BY ALL),
+    steps{name} AS (SELECT {ids}, 1 AS k, m FROM start{name}
+      UNION ALL SELECT {ids}, k + 1, list_transform(range(1, {p + 1}), lambda i: CASE WHEN i = k
+          THEN list_transform(m[k], lambda v: v / m[k][k])
+          ELSE list_transform(range(1, {p + 3}), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END)
+        FROM steps{name} WHERE k <= {p}),
+    beta{name} AS (SELECT {ids}, list_transform(range(1, {p + 1}), lambda i: m[i][{p + 1}]) AS b, m[2][{p + 2}] AS inv
+      FROM steps{name} WHERE k = {p + 1})"""
+
+
+def dot(a: str, b: str, p: int) -> str:
+    return f"list_sum(list_transform(range(1, {p + 1}), lambda i: {a}[i] * {b}[i]))"
+
+
+def _centred(cols: list[str]) -> str:
+    return ", ".join(f"{c} - AVG({c}) OVER (PARTITION BY priority)" for c in cols)
+
+
+def _many_regressors() -> str:
+    names = ["lag_y_1", "lag_y_2", "lag_y_3", "lag_y_4", "mean_y", "yr", "wk"]
+    p = len(names) + 1
+    parts = []
+    for model, extra, tag in (("linear", "0", "_a"), ("ridge", "CASE WHEN i > 1 THEN 1.0 ELSE 0 END", "_b")):
+        parts.append((model, tag, gauss("priority, step", p, extra=extra, name=tag)))
+    rows = " UNION ALL ".join(
+        f"""SELECT o.priority, o.step, o.date, '{model}' AS model, {rd(dot('b.b', 'o.z', p), 0)} AS pred
+        FROM origin o JOIN beta{tag} b ON b.priority = o.priority AND b.step = o.step""" for model, tag, _ in parts
+    )
+    return f"""WITH RECURSIVE {complete()},
+    f AS (SELECT priority, date, y, rn, n, {_lags({'y': 4})},
+        AVG(y) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 2 PRECEDING) AS mean_y, year(date) AS yr,
+        CASE WHEN week(date) >= 52 AND month(date) = 1 THEN 0 ELSE week(date) END AS wk FROM placed),
+    design AS (SELECT priority, date, y, rn, n, [1.0, {_centred(names)}] AS z FROM f WHERE lag_y_4 IS NOT NULL),
+    origin AS (SELECT *, CAST(rn - (n - {H}) - 1 AS INTEGER) AS step FROM design WHERE rn > n - {H}),
+    {expanding_cells(p)}, {', '.join(g for _, _, g in parts)}
+    {rows}"""
+
+
+def _ar_order(top: int = 12) -> str:
+    p = top + 1
+    lags = ", ".join(f"LAG(y, {i}) OVER ({W}) AS l{i}" for i in range(1, top + 1))
+    z = ", ".join(f"CASE WHEN o.o >= {i} THEN l{i} - mu ELSE 0 END" for i in range(1, top + 1))
+    return f"""WITH RECURSIVE {complete()},
+    f AS (SELECT priority, rn, y, AVG(y) OVER (PARTITION BY priority) AS mu, {lags} FROM placed),
+    design AS (SELECT priority, o.o, y - mu AS y, [1.0, {z}] AS z FROM f,
+        (SELECT CAST(unnest(range(1, {top + 1})) AS INTEGER) AS o) o WHERE rn > o.o),
+    {fixed_cells('priority, o', p)}, {gauss('priority, o', p, extra='CASE WHEN i > o + 1 THEN 1.0 ELSE 0 END')},
+    e AS (SELECT d.priority, d.o, COUNT(*) AS m, SUM(POWER(d.y - {dot('b.b', 'd.z', p)}, 2)) AS sse
+      FROM design d JOIN beta b ON b.priority = d.priority AND b.o = d.o GROUP BY ALL),
+    s AS (SELECT *, m * (LN(2 * PI() * sse / m) + 1) + 2 * (o + 2) * LN(LN(m)) AS score FROM e)
+    SELECT priority, o AS lag_order FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY priority ORDER BY score, o) = 1"""
+
+
+def _unit_root_augmented(series: str, keys: str, top: int) -> str:
+    """CTE list ending in tests(keys, stat, used_lag, nobs); `series` is a CTE with keys, date and y."""
+    w = f"PARTITION BY {keys} ORDER BY date"
+    p = top + 2
+    lags = ", ".join(f"LAG(d, {i}) OVER ({w}) AS d{i}" for i in range(1, top + 1))
+    on = " AND ".join(f"{{a}}.{k.strip()} = {{b}}.{k.strip()}" for k in keys.split(","))
+    ids = f"{keys}, o"
+
+    def z(limit: str) -> str:
+        return ", ".join(f"CASE WHEN {limit} >= {i} THEN d{i} ELSE 0 END" for i in range(1, top + 1))
+
+    off = "CASE WHEN i > o + 2 THEN 1.0 ELSE 0 END"
+    return f"""a AS (SELECT {keys}, date, y - LAG(y) OVER ({w}) AS d, LAG(y) OVER ({w}) AS y1,
+        COUNT(y) OVER (PARTITION BY {keys}) AS nobs FROM {series} WHERE y IS NOT NULL),
+    c AS (SELECT {keys}, date, d, y1 - AVG(y1) OVER (PARTITION BY {keys}) AS y1, nobs,
+        CAST(LEAST(CEIL(12 * POWER(nobs / 100.0, 0.25)), nobs // 2 - 2) AS INTEGER) AS cap,
+        ROW_NUMBER() OVER ({w}) - 1 AS r, {lags} FROM a WHERE d IS NOT NULL),
+    design AS (SELECT {keys}, o.o, d AS y, [1.0, y1, {z('o.o')}] AS z FROM c,
+        (SELECT CAST(unnest(range(0, {top + 1})) AS INTEGER) AS o) o WHERE o.o <= cap AND r >= cap),
+    {fixed_cells(ids, p)}, {gauss(ids, p, extra=off)},
+    e AS (SELECT {', '.join('g.' + k.strip() for k in keys.split(','))}, g.o, COUNT(*) AS m,
+        SUM(POWER(g.y - {dot('b.b', 'g.z', p)}, 2)) AS sse
+      FROM design g JOIN beta b ON {on.format(a='b', b='g')} AND b.o = g.o GROUP BY ALL),
+    chosen AS (SELECT {keys}, o FROM e
+      QUALIFY ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY m * (LN(2 * PI() * sse / m) + 1) + 2 * (o + 2), o) = 1),
+    final AS (SELECT {', '.join('c.' + k.strip() for k in keys.split(','))}, h.o, nobs, d AS y, [1.0, y1, {z('h.o')}] AS z
+      FROM c JOIN chosen h ON {on.format(a='h', b='c')} WHERE r >= h.o),
+    {fixed_cells(ids, p).replace('cells AS', 'cells2 AS').replace('FROM design', 'FROM final')},
+    {gauss(ids, p, source='cells2', extra=off, name='2')},
+    tests AS (SELECT {', '.join('g.' + k.strip() for k in keys.split(','))}, ANY_VALUE(g.nobs) AS nobs, g.o AS used_lag,
+        ANY_VALUE(b.b[2]) / SQRT(SUM(POWER(g.y - {dot('b.b', 'g.z', p)}, 2)) / (COUNT(*) - g.o - 2) * ANY_VALUE(b.inv))
+        AS stat
+      FROM final g JOIN beta2 b ON {on.format(a='b', b='g')} GROUP BY {', '.join('g.' + k.strip() for k in keys.split(','))}, g.o)"""
+
+
+def p_value(tau: str) -> str:
+    low = f"(2.1659 + 1.4412 * {tau} + 0.038269 * {tau} * {tau})"
+    high = f"(1.7339 + 0.93202 * {tau} - 0.12745 * {tau} * {tau} - 0.010368 * {tau} * {tau} * {tau})"
+    return (f"CASE WHEN {tau} < -18.83 THEN 0 WHEN {tau} <= -1.61 THEN {_erf_cdf(low)} "
+            f"WHEN {tau} <= 2.74 THEN {_erf_cdf(high)} ELSE 1 END")
+
+
+def _difference_choice(top: int = 17) -> str:
+    names = (("y", "p_level"), ("f", "p_first"), ("g", "p_second"))
+    wide = ", ".join(f"MAX(CASE WHEN kind = '{k}' THEN {p_value('stat')} END) AS {name}" for k, name in names)
+    return f"""WITH RECURSIVE {complete()},
+    diffs AS (SELECT priority, date, y, y - LAG(y) OVER ({W}) AS f,
+        y - 2 * LAG(y) OVER ({W}) + LAG(y, 2) OVER ({W}) AS g FROM placed),
+    kinds AS (SELECT priority, 'y' AS kind, date, y FROM diffs UNION ALL SELECT priority, 'f', date, f FROM diffs
+      UNION ALL SELECT priority, 'g', date, g FROM diffs),
+    {_unit_root_augmented('kinds', 'priority, kind', top)},
+    w AS (SELECT priority, {wide} FROM tests GROUP BY 1)
+    SELECT priority, {rd('p_level', 5)} AS p_level, {rd('p_first', 5)} AS p_first, {rd('p_second', 5)} AS p_second,
+      CAST(CASE WHEN p_level < 0.05 THEN 0 WHEN p_first < 0.05 THEN 1 WHEN p_second < 0.05 THEN 2 ELSE 0 END AS INTEGER)
+      AS diff_order FROM w"""
+
+
+def _arma(max_p: int = 4, max_q: int = 4, long: int = 12) -> str:
+    p1, p2 = long + 1, max_p + max_q + 1
+    ls = ", ".join(f"LAG(v, {i}) OVER ({W}) AS l{i}" for i in range(1, long + 1))
+    es = ", ".join(f"LAG(e, {i}) OVER ({W}) AS e{i}" for i in range(1, max_q + 1))
+    z1 = ", ".join(f"l{i}" for i in range(1, long + 1))
+    z2 = ", ".join([f"l{i}" for i in range(1, max_p + 1)] + [f"e{i}" for i in range(1, max_q + 1)])
+    used = f"(i = 1 OR i <= 1 + p OR (i > {1 + max_p} AND i <= {1 + max_p} + q) OR i = {p2 + 1})"
+    return f"""WITH RECURSIVE {complete()},
+    level AS (SELECT priority, AVG(y) AS mu FROM placed GROUP BY 1),
+    v AS (SELECT priority, date, rn, n, y - mu AS v FROM placed JOIN level USING (priority)),
+    lagged AS (SELECT *, {ls} FROM v),
+    first_design AS (SELECT priority, rn, n, v AS y, [1.0, {z1}] AS z FROM lagged WHERE l{long} IS NOT NULL),
+    {fixed_cells('priority', p1).replace('cells AS', 'cells1 AS').replace('FROM design', f'FROM (SELECT * FROM first_design WHERE rn <= n - {H})')},
+    {gauss('priority', p1, source='cells1', name='1')},
+    resid AS (SELECT l.priority, l.date, l.rn, l.n, l.v, {', '.join(f'l{i}' for i in range(1, max_p + 1))},
+        l.v - {dot('b.b', f'[1.0, {z1}]', p1)} AS e FROM lagged l JOIN beta1 b ON b.priority = l.priority
+        WHERE l{long} IS NOT NULL),
+    with_e AS (SELECT *, {es} FROM resid),
+    design AS (SELECT priority, date, rn, n, v AS y, [1.0, {z2}] AS z FROM with_e WHERE e{max_q} IS NOT NULL),
+    origin AS (SELECT *, CAST(rn - (n - {H}) - 1 AS INTEGER) AS step FROM design WHERE rn > n - {H}),
+    {expanding_cells(p2)},
+    orders AS (SELECT p, q FROM (SELECT CAST(unnest(range(0, {max_p + 1})) AS INTEGER) AS p),
+        (SELECT CAST(unnest(range(0, {max_q + 1})) AS INTEGER) AS q)),
+    tried AS (SELECT priority, step, p, q, i, j, CASE WHEN {used} AND {used.replace('i ', 'j ')} THEN s
+        WHEN i = j THEN 1.0 ELSE 0.0 END AS s FROM cells, orders),
+    {gauss('priority, step, p, q', p2, source='tried', name='2')},
+    fits AS (SELECT b.*, m.s AS m, yy.s - list_sum(list_transform(range(1, {p2 + 1}), lambda i: b.b[i] * cy.c[i])) AS sse
+      FROM beta2 b JOIN cells m ON m.priority = b.priority AND m.step = b.step AND m.i = 1 AND m.j = 1
+      JOIN cells yy ON yy.priority = b.priority AND yy.step = b.step AND yy.i = {p2 + 1} AND yy.j = {p2 + 1}
+      JOIN (SELECT priority, step, p, q, LIST(s ORDER BY i) AS c FROM tried WHERE j = {p2 + 1} GROUP BY ALL) cy
+        ON cy.priority = b.priority AND cy.step = b.step AND cy.p = b.p AND cy.q = b.q),
+    best AS (SELECT * FROM fits QUALIFY ROW_NUMBER() OVER (PARTITION BY priority, step
+      ORDER BY m * (LN(2 * PI() * sse / m) + 1) + 2 * (p + q + 2), p, q) = 1)
+    SELECT o.priority, o.step, o.date, 'arima_eda' AS model, {rd(f"{dot('b.b', 'o.z', p2)} + l.mu", 0)} AS pred
+    FROM origin o JOIN best b ON b.priority = o.priority AND b.step = o.step JOIN level l ON l.priority = o.priority"""
+
+
+def _harmonic(level: str = "daily", periods=(7, 30), top: int = 3, memory: int = 2) -> str:
+    waves = []
+    for period in periods:
+        for k in range(1, min(top, period // 2) + 1):
+            for fn in ("SIN", "COS"):
+                waves.append((k, f"{fn}(rn * (2 * PI() * {k} / {period}))"))
+    p = 2 + len(waves) + memory
+    ls = ", ".join(f"LAG(y, {i}) OVER ({W}) AS l{i}" for i in range(1, memory + 1))
+    z = ", ".join(["CAST(rn AS DOUBLE) / n - 0.5", *[w for _, w in waves],
+                   *[f"l{i} - mu" for i in range(1, memory + 1)]])
+    orders = "[" + ", ".join(["0", "0", *[str(k) for k, _ in waves], *["-1"] * memory, "0"]) + "]"
+    keep = "(CASE WHEN kinds[{c}] = -1 THEN memory = 1 ELSE kinds[{c}] <= harmonics END)"
+    used = f"len(list_filter(kinds, lambda k: CASE WHEN k = -1 THEN memory = 1 ELSE k <= harmonics END)) - 2"
+    return f"""WITH RECURSIVE {complete(level)},
+    f AS (SELECT priority, date, y, rn, n, AVG(y) OVER (PARTITION BY priority) AS mu, {ls} FROM placed),
+    design AS (SELECT priority, date, rn, n, y - mu AS y, mu, [1.0, {z}] AS z FROM f WHERE l{memory} IS NOT NULL),
+    origin AS (SELECT *, CAST(rn - (n - {H}) - 1 AS INTEGER) AS step FROM design WHERE rn > n - {H}),
+    {expanding_cells(p)},
+    designs AS (SELECT harmonics, memory, {orders} AS kinds, harmonics * 2 + (1 - memory) AS o
+      FROM (SELECT CAST(unnest(range(0, {top + 1})) AS INTEGER) AS harmonics), (VALUES (1), (0)) t(memory)),
+    tried AS (SELECT priority, step, o, i, j, CASE WHEN {keep.format(c='i')} AND {keep.format(c='j')} THEN s
+        WHEN i = j THEN 1.0 ELSE 0.0 END AS s FROM cells, designs),
+    {gauss('priority, step, o', p, source='tried', name='2')},
+    fits AS (SELECT b.*, m.s AS m, {used} AS k,
+        yy.s - list_sum(list_transform(range(1, {p + 1}), lambda i: b.b[i] * cy.c[i])) AS sse
+      FROM beta2 b JOIN designs d ON d.o = b.o
+      JOIN cells m ON m.priority = b.priority AND m.step = b.step AND m.i = 1 AND m.j = 1
+      JOIN cells yy ON yy.priority = b.priority AND yy.step = b.step AND yy.i = {p + 1} AND yy.j = {p + 1}
+      JOIN (SELECT priority, step, o, LIST(s ORDER BY i) AS c FROM tried WHERE j = {p + 1} GROUP BY ALL) cy
+        ON cy.priority = b.priority AND cy.step = b.step AND cy.o = b.o),
+    best AS (SELECT * FROM fits QUALIFY ROW_NUMBER() OVER (PARTITION BY priority, step
+      ORDER BY m * (LN(2 * PI() * sse / m) + 1) + 2 * (k + 2), o) = 1)
+    SELECT o.priority, o.step, o.date, 'tbats' AS model, {rd(f"{dot('b.b', 'o.z', p)} + o.mu", 0)} AS pred
+    FROM origin o JOIN best b ON b.priority = o.priority AND b.step = o.step"""
+
+
+def _stacked() -> str:
+    return f"""WITH RECURSIVE {ALL_PREDS},
+    c AS (SELECT *, pred - AVG(pred) OVER (PARTITION BY priority, model) AS cp FROM labelled),
+    design_all AS (SELECT priority, family, step, ANY_VALUE(y) AS y, list_prepend(1.0, LIST(cp ORDER BY ord)) AS z,
+        AVG(pred) AS mean FROM c GROUP BY ALL),
+    design AS (SELECT o.priority, o.family, o.step, d.y, d.z FROM design_all o JOIN design_all d
+        ON d.priority = o.priority AND d.family = o.family AND d.step < o.step WHERE o.step >= 6),
+    {fixed_cells('priority, family, step', 4)}, {gauss('priority, family, step', 4)}
+    SELECT o.priority, o.step, CASE o.family WHEN 'ts' THEN 'ts_wavg' ELSE 'bsln_wavg' END AS model,
+        {rd(f"CASE WHEN o.step < 6 THEN o.mean ELSE {dot('b.b', 'o.z', 4)} END", 1)} AS pred
+    FROM design_all o LEFT JOIN beta b ON b.priority = o.priority AND b.family = o.family AND b.step = o.step"""
+
+
+def _penalised(alpha: str = "2e10", rounds: int = 240) -> str:
+    """Lasso and elastic net on three lags by coordinate steps, one coordinate per round."""
+    p = 3
+    return f"""WITH RECURSIVE {complete()},
+    f AS (SELECT priority, date, y, rn, n, {_lags({'y': 3})} FROM placed),
+    design AS (SELECT priority, date, y, rn, n, [1.0, {_centred(['lag_y_1', 'lag_y_2', 'lag_y_3'])}] AS z FROM f
+      WHERE lag_y_3 IS NOT NULL),
+    origin AS (SELECT *, CAST(rn - (n - {H}) - 1 AS INTEGER) AS step FROM design WHERE rn > n - {H}),
+    {expanding_cells(p + 1)},
+    lines AS (SELECT priority, step, i, LIST(s ORDER BY j) AS r FROM cells GROUP BY ALL),
+    g AS (SELECT priority, step, LIST(r ORDER BY i) AS g FROM lines GROUP BY ALL),
+    s AS (SELECT priority, step, model, l1, l2, g[1][1] AS m, list_transform(range(2, 5), lambda i: g[1][i] / g[1][1]) AS mx,
+        g[1][5] / g[1][1] AS my,
+        list_transform(range(2, 5), lambda i: list_transform(range(2, 6), lambda j:
+          (g[i][j] - g[1][i] * g[1][j] / g[1][1]) / g[1][1])) AS a
+      FROM g, (VALUES ('lasso', CAST({alpha} AS DOUBLE), 0.0), ('elastic', 0.3, 0.7)) t(model, l1, l2)),
+    cd AS (SELECT *, 0 AS k, CAST([0, 0, 0] AS DOUBLE[]) AS w FROM s
+      UNION ALL SELECT priority, step, model, l1, l2, m, mx, my, a, k + 1, list_transform(range(1, 4), lambda i: CASE WHEN i = k % 3 + 1
+          THEN SIGN(a[i][4] - list_sum(list_transform(range(1, 4), lambda j: CASE WHEN j = i THEN 0 ELSE a[i][j] * w[j] END)))
+            * GREATEST(ABS(a[i][4] - list_sum(list_transform(range(1, 4), lambda j: CASE WHEN j = i THEN 0 ELSE a[i][j] * w[j] END)))
+            - l1, 0) / (a[i][i] + l2) ELSE w[i] END) FROM cd WHERE k < {rounds})
+    SELECT o.priority, o.step, o.date, model,
+        {rd('my + list_sum(list_transform(range(1, 4), lambda i: w[i] * (o.z[i + 1] - mx[i])))', 0)} AS pred
+    FROM origin o JOIN cd ON cd.priority = o.priority AND cd.step = o.step WHERE k = {rounds}"""
+
+
+def _knn_search() -> str:
+    return f"""WITH {complete()},
+    f AS (SELECT priority, y, rn, n, {_lags({'y': 2})} FROM placed),
+    member AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY priority ORDER BY rn) - 1 AS pos, COUNT(*) OVER (PARTITION BY priority)
+      AS m FROM f WHERE lag_y_2 IS NOT NULL AND rn < n),
+    folds AS (SELECT priority, y, rn, lag_y_1 AS a, lag_y_2 AS b, CASE WHEN pos < (m % 3) * (m // 3 + 1)
+      THEN pos // (m // 3 + 1) ELSE (m % 3) + (pos - (m % 3) * (m // 3 + 1)) // (m // 3) END AS fold FROM member),
+    pairs AS (SELECT v.priority, v.rn AS vr, v.y AS vy, v.fold, t.rn, t.y, pw.p, CASE pw.p WHEN 1
+        THEN ABS(v.a - t.a) + ABS(v.b - t.b) ELSE SQRT((v.a - t.a) * (v.a - t.a) + (v.b - t.b) * (v.b - t.b)) END AS d
+      FROM folds v JOIN folds t ON t.priority = v.priority AND t.fold <> v.fold, (VALUES (1), (2)) pw(p)),
+    near AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY priority, p, vr ORDER BY d, rn) AS place FROM pairs
+      QUALIFY place <= 9),
+    tried AS (SELECT priority, p, vr, fold, ANY_VALUE(vy) AS vy, c.i, c.k, c.w, CASE c.w WHEN 'uniform' THEN AVG(y)
+        ELSE CASE WHEN COUNT(*) FILTER (d = 0) > 0 THEN AVG(y) FILTER (d = 0)
+          ELSE SUM(y / NULLIF(d, 0)) / SUM(1 / NULLIF(d, 0)) END END AS pred
+      FROM near JOIN (VALUES (0, 3, 'uniform'), (1, 3, 'distance'), (2, 5, 'uniform'), (3, 5, 'distance'),
+        (4, 9, 'uniform'), (5, 9, 'distance')) c(i, k, w) ON place <= c.k GROUP BY priority, p, vr, fold, c.i, c.k, c.w),
+    mse AS (SELECT priority, p, i, k, w, fold, AVG((vy - pred) * (vy - pred)) AS e FROM tried GROUP BY ALL),
+    mean AS (SELECT priority, p, i, k, w, AVG(e) AS e FROM mse GROUP BY ALL)
+    SELECT priority, CAST(k AS INTEGER) AS n_neighbors, w AS weights, CAST(p AS INTEGER) AS p FROM mean
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY priority ORDER BY e, i, p) = 1"""
+
+
+def _seasonal(m: int = 4) -> str:
+    """Four trend/season candidates of one period over a 2 x 2 x 2 weight grid."""
+    ahead = "(CASE WHEN tk = 'add' THEN level + trend ELSE level * trend END)"
+    season = f"season[CAST((k % {m}) AS INTEGER) + 1]"
+    full = f"(CASE WHEN sk = 'add' THEN {ahead} + {season} ELSE {ahead} * {season} END)"
+    bare = f"(CASE WHEN sk = 'add' THEN v - {season} ELSE v / NULLIF({season}, 0) END)"
+    new = f"(a * {bare} + (1 - a) * {ahead})"
+    grown = f"(CASE WHEN tk = 'add' THEN {new} - level ELSE {new} / NULLIF(level, 0) END)"
+    fresh = f"(CASE WHEN sk = 'add' THEN g * (v - {ahead}) ELSE g * (v / NULLIF({ahead}, 0)) END + (1 - g) * {season})"
+    return f"""WITH RECURSIVE {complete()},
+    grid AS (SELECT a, b, g, tk, sk, ROW_NUMBER() OVER (ORDER BY tk, sk) AS cand, ROW_NUMBER() OVER (ORDER BY a, b, g) AS pt FROM
+      (VALUES (CAST(0.1 AS DOUBLE)), (0.5)) x1(a), (VALUES (CAST(0.1 AS DOUBLE)), (0.5)) x2(b),
+      (VALUES (CAST(0.1 AS DOUBLE)), (0.5)) x3(g), (VALUES ('add'), ('mul')) x4(tk), (VALUES ('add'), ('mul')) x5(sk)),
+    lists AS (SELECT priority, LIST(y ORDER BY rn) AS ys, ANY_VALUE(n) AS n FROM placed GROUP BY 1),
+    init AS (SELECT *, list_avg(ys[1:{m}]) AS f1, list_avg(ys[{m + 1}:{2 * m}]) AS f2 FROM lists WHERE n >= {2 * m}),
+    scan AS (
+      SELECT priority, n, a, b, g, tk, sk, pt, CAST(0 AS BIGINT) AS k, f1 AS level,
+        CASE WHEN tk = 'add' THEN (f2 - f1) / {m} ELSE POWER(f2 / f1, 1.0 / {m}) END AS trend,
+        list_transform(ys[1:{m}], lambda v: CASE WHEN sk = 'add' THEN v - f1 ELSE v / f1 END) AS season,
+        CAST(0 AS DOUBLE) AS sse FROM init, grid
+      UNION ALL
+      SELECT priority, n, a, b, g, tk, sk, pt, k + 1, {new}, b * {grown} + (1 - b) * trend,
+        list_transform(range(1, {m + 1}), lambda i: CASE WHEN i = k % {m} + 1 THEN {fresh} ELSE season[i] END),
+        sse + (v - {full}) * (v - {full})
+      FROM (SELECT s.*, l.ys[k + 1] AS v FROM scan s JOIN lists l USING (priority) WHERE k < s.n - 1)),
+    ahead AS (SELECT priority, n, k, tk, sk, pt, sse, {full} AS pred FROM scan WHERE k >= n - {H} AND k >= {2 * m}),
+    dead AS (SELECT priority, MIN(rn) AS first_zero FROM placed WHERE y <= 0 GROUP BY 1),
+    live AS (SELECT a.* FROM ahead a LEFT JOIN dead d USING (priority)
+      WHERE (tk = 'add' AND sk = 'add') OR first_zero IS NULL OR first_zero > k),
+    points AS (SELECT * FROM live QUALIFY ROW_NUMBER() OVER (PARTITION BY priority, k, tk, sk ORDER BY sse, pt) = 1),
+    best AS (SELECT * FROM points QUALIFY ROW_NUMBER() OVER (PARTITION BY priority, k
+      ORDER BY k * LN(sse / k) + 2 * {5 + m}, tk, sk) = 1)
+    SELECT p.priority, p.date, CAST(p.rn - (p.n - {H}) - 1 AS INTEGER) AS step, 'exp_smooth' AS model, {rd('b.pred', 1)} AS pred
+    FROM placed p LEFT JOIN best b ON b.priority = p.priority AND b.k = p.rn - 1 WHERE p.rn > p.n - {H}"""
+
+
 _CORR_COLS = ("y", "x", "lag_y_1", "lag_y_2")
 
 ORACLES: dict[str, str] = {
@@ -521,4 +829,16 @@ ORACLES: dict[str, str] = {
         every AS (SELECT priority, model, pred, y FROM labelled WHERE step >= {WINDOW}
           UNION ALL SELECT priority, 'mdl_slct_pred', pred, y FROM selection)
         SELECT priority, model, {metric_list()} FROM every GROUP BY 1, 2""",
+    "linear_many_regressors": _many_regressors(),
+    "penalised_three_lags": _penalised(),
+    "ar_order_choice": _ar_order(),
+    "unit_root_augmented": f"""WITH RECURSIVE {complete()}, {_unit_root_augmented('placed', 'priority', 17)}
+        SELECT priority, {rd('stat', 5)} AS stat, CAST(used_lag AS INTEGER) AS used_lag, nobs,
+        {rd(p_value('stat'), 5)} AS p_value FROM tests""",
+    "difference_choice": _difference_choice(),
+    "arima_fixed_order": _arma(),
+    "harmonic": _harmonic(),
+    "stacked_averages": _stacked(),
+    "knn_grid_search": _knn_search(),
+    "seasonal_smoothing": _seasonal(),
 }

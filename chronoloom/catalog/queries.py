@@ -550,12 +550,13 @@ def unit_root_simple(spark, sf):
 
 @query
 def unit_root_augmented(spark, sf):
-    return sta.unit_root_test(complete(spark, sf), "y", keys=KEY)
+    return rounded(sta.unit_root_test(complete(spark, sf), "y", keys=KEY), "stat", "p_value", digits=5)
 
 
 @query
 def difference_choice(spark, sf):
-    return sta.choose_difference(tr.differences(complete(spark, sf), "y", KEY), "y", keys=KEY)
+    out = sta.choose_difference(tr.differences(complete(spark, sf), "y", KEY), "y", keys=KEY)
+    return rounded(out, "p_level", "p_first", "p_second", digits=5)
 
 
 @query
@@ -636,6 +637,25 @@ def linear_two_regressors(spark, sf):
     return rounded(out, "pred", digits=1)
 
 
+@query
+def linear_many_regressors(spark, sf):
+    out = linear_forecasts(
+        matrix(spark, sf), target="y", features=FEATURES, horizon=HORIZON, keys=KEY, models=["linear", "ridge"],
+        elastic_grid=None,
+    )
+    return rounded(out, "pred", digits=0)
+
+
+@query
+def penalised_three_lags(spark, sf):
+    s = tr.lag_block(complete(spark, sf), ["y"], 3, KEY)
+    out = linear_forecasts(
+        s, target="y", features=["lag_y_1", "lag_y_2", "lag_y_3"], horizon=HORIZON, keys=KEY,
+        models=["lasso", "elastic"], lasso_alpha=2e10, elastic_params=(1.0, 0.3), elastic_grid=None,
+    )
+    return rounded(out, "pred", digits=0)
+
+
 @query
 def linear_models(spark, sf):
     return linear_forecasts(matrix(spark, sf), target="y", features=FEATURES, horizon=HORIZON, keys=KEY)
@@ -687,6 +707,14 @@ def holt(spark, sf):
     return rounded(out, "pred", digits=2)
 
 
+@query
+def seasonal_smoothing(spark, sf):
+    out = seasonal_forecasts(
+        complete(spark, sf), target="y", horizon=HORIZON, keys=KEY, periods=(4,), weights=(0.1, 0.5)
+    )
+    return rounded(out, "pred", digits=1)
+
+
 @query
 def holt_winters(spark, sf):
     return seasonal_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY)
@@ -699,7 +727,8 @@ def arima(spark, sf):
 
 @query
 def arima_fixed_order(spark, sf):
-    return arima_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY, d=0, name="arima_eda")
+    out = arima_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY, d=0, name="arima_eda")
+    return rounded(out, "pred", digits=0)
 
 
 @query
@@ -712,7 +741,7 @@ def arima_exogenous(spark, sf):
 
 @query
 def harmonic(spark, sf):
-    return harmonic_forecasts(complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY)
+    return rounded(harmonic_forecasts(complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY), "pred", digits=0)
 
 
 @query
@@ -752,7 +781,8 @@ def family_averages(spark, sf):
 
 @query
 def stacked_averages(spark, sf):
-    return ensemble.stacked_averages(labelled(spark, sf), KEY)
+    out = ensemble.stacked_averages(labelled(spark, sf), KEY).select(*KEY, "step", "model", "pred")
+    return rounded(out, "pred", digits=1)
 
 
 @query
