@@ -446,30 +446,33 @@ def _difference_choice(top: int = 17) -> str:
       AS diff_order FROM w"""
 
 
-def _arma(max_p: int = 4, max_q: int = 4, long: int = 12) -> str:
-    p1, p2 = long + 1, max_p + max_q + 1
+def _arma(max_p: int = 4, max_q: int = 4, exogenous: bool = False, name: str = "arima_eda") -> str:
+    long = max_p + max_q + 4
+    e = int(exogenous)
+    p1, p2 = long + 1 + e, max_p + max_q + 1 + e
+    x = ", x0" if exogenous else ""
     ls = ", ".join(f"LAG(v, {i}) OVER ({W}) AS l{i}" for i in range(1, long + 1))
     es = ", ".join(f"LAG(e, {i}) OVER ({W}) AS e{i}" for i in range(1, max_q + 1))
-    z1 = ", ".join(f"l{i}" for i in range(1, long + 1))
-    z2 = ", ".join([f"l{i}" for i in range(1, max_p + 1)] + [f"e{i}" for i in range(1, max_q + 1)])
-    used = f"(i = 1 OR i <= 1 + p OR (i > {1 + max_p} AND i <= {1 + max_p} + q) OR i = {p2 + 1})"
+    z1 = ", ".join(f"l{i}" for i in range(1, long + 1)) + x
+    z2 = ", ".join([f"l{i}" for i in range(1, max_p + 1)] + [f"e{i}" for i in range(1, max_q + 1)]) + x
+    used = f"({{c}} <= 1 + p OR ({{c}} > {1 + max_p} AND {{c}} <= {1 + max_p} + q) OR {{c}} > {1 + max_p + max_q})"
     return f"""WITH RECURSIVE {complete()},
     level AS (SELECT priority, AVG(y) AS mu FROM placed GROUP BY 1),
-    v AS (SELECT priority, date, rn, n, y - mu AS v FROM placed JOIN level USING (priority)),
+    v AS (SELECT priority, date, rn, n, y - mu AS v, LAG(x) OVER ({W}) AS x0 FROM placed JOIN level USING (priority)),
     lagged AS (SELECT *, {ls} FROM v),
     first_design AS (SELECT priority, rn, n, v AS y, [1.0, {z1}] AS z FROM lagged WHERE l{long} IS NOT NULL),
-    {fixed_cells('priority', p1).replace('cells AS', 'cells1 AS').replace('FROM design', f'FROM (SELECT * FROM first_design WHERE rn <= n - {H})')},
+    {fixed_cells('priority', p1).replace('cells AS', 'cells1 AS')
+        .replace('FROM design', f'FROM (SELECT * FROM first_design WHERE rn <= n - {H})')},
     {gauss('priority', p1, source='cells1', name='1')},
-    resid AS (SELECT l.priority, l.date, l.rn, l.n, l.v, {', '.join(f'l{i}' for i in range(1, max_p + 1))},
-        l.v - {dot('b.b', f'[1.0, {z1}]', p1)} AS e FROM lagged l JOIN beta1 b ON b.priority = l.priority
-        WHERE l{long} IS NOT NULL),
+    resid AS (SELECT l.*, l.v - {dot('b.b', f'[1.0, {z1}]', p1)} AS e FROM lagged l JOIN beta1 b
+        ON b.priority = l.priority WHERE l{long} IS NOT NULL),
     with_e AS (SELECT *, {es} FROM resid),
     design AS (SELECT priority, date, rn, n, v AS y, [1.0, {z2}] AS z FROM with_e WHERE e{max_q} IS NOT NULL),
     origin AS (SELECT *, CAST(rn - (n - {H}) - 1 AS INTEGER) AS step FROM design WHERE rn > n - {H}),
     {expanding_cells(p2)},
     orders AS (SELECT p, q FROM (SELECT CAST(unnest(range(0, {max_p + 1})) AS INTEGER) AS p),
         (SELECT CAST(unnest(range(0, {max_q + 1})) AS INTEGER) AS q)),
-    tried AS (SELECT priority, step, p, q, i, j, CASE WHEN {used} AND {used.replace('i ', 'j ')} THEN s
+    tried AS (SELECT priority, step, p, q, i, j, CASE WHEN {used.format(c='i')} AND {used.format(c='j')} THEN s
         WHEN i = j THEN 1.0 ELSE 0.0 END AS s FROM cells, orders),
     {gauss('priority, step, p, q', p2, source='tried', name='2')},
     fits AS (SELECT b.*, m.s AS m, yy.s - list_sum(list_transform(range(1, {p2 + 1}), lambda i: b.b[i] * cy.c[i])) AS sse
@@ -478,11 +481,47 @@ def _arma(max_p: int = 4, max_q: int = 4, long: int = 12) -> str:
       JOIN (SELECT priority, step, p, q, LIST(s ORDER BY i) AS c FROM tried WHERE j = {p2 + 1} GROUP BY ALL) cy
         ON cy.priority = b.priority AND cy.step = b.step AND cy.p = b.p AND cy.q = b.q),
     best AS (SELECT * FROM fits QUALIFY ROW_NUMBER() OVER (PARTITION BY priority, step
-      ORDER BY m * (LN(2 * PI() * sse / m) + 1) + 2 * (p + q + 2), p, q) = 1)
-    SELECT o.priority, o.step, o.date, 'arima_eda' AS model, {rd(f"{dot('b.b', 'o.z', p2)} + l.mu", 0)} AS pred
+      ORDER BY m * (LN(2 * PI() * sse / m) + 1) + 2 * (p + q + {e} + 2), p, q) = 1)
+    SELECT o.priority, o.step, o.date, '{name}' AS model, {rd(f"{dot('b.b', 'o.z', p2)} + l.mu", 0)} AS pred
     FROM origin o JOIN best b ON b.priority = o.priority AND b.step = o.step JOIN level l ON l.priority = o.priority"""
 
 
+def _additive(hinges: int = 3, weekly: int = 3) -> str:
+    """Daily series: trend with hinges, weekly waves, holiday and day-after marks; ridge with a noise level from a
+    first, lightly penalised fit."""
+    hinge = [f"GREATEST(t - {0.8 * j / hinges}, 0)" for j in range(1, hinges + 1)]
+    day = "date_diff('day', DATE '1970-01-01', date)"
+    waves = [f"{fn}({day} * (2 * PI() / 7.0) * {k})" for k in range(1, weekly + 1) for fn in ("SIN", "COS")]
+    p = 2 + len(hinge) + len(waves) + 2
+    weights = [0.0, 0.0] + [1 / 0.05**2] * hinges + [1 / 10.0**2] * (len(waves) + 2)
+    scale = "[" + ", ".join(str(w) for w in weights) + "]"
+    mix = f"list_sum(list_transform(range(1, {p + 1}), lambda i: b.b[i] * {{o}}[i]))"
+    return f"""WITH RECURSIVE {complete('daily')}, {HOLIDAYS},
+    core AS (SELECT priority, MIN(date) AS first, MAX(date) FILTER (rn <= n - {H}) AS last,
+        MAX(ABS(y)) FILTER (rn <= n - {H}) AS size FROM placed GROUP BY 1),
+    f AS (SELECT p.priority, p.date, p.rn, p.n, p.y / c.size AS y, c.size,
+        date_diff('day', c.first, p.date) / CAST(date_diff('day', c.first, c.last) AS DOUBLE) AS t,
+        CAST(a.date IS NOT NULL AS DOUBLE) AS h0, CAST(b.date IS NOT NULL AS DOUBLE) AS h1
+      FROM placed p JOIN core c ON c.priority = p.priority LEFT JOIN holidays a ON a.date = p.date
+      LEFT JOIN holidays b ON b.date = p.date - 1),
+    design AS (SELECT priority, date, rn, n, size, y, [1.0, t, {', '.join(hinge + waves)}, h0, h1] AS z FROM f),
+    origin AS (SELECT *, CAST(rn - (n - {H}) - 1 AS INTEGER) AS step FROM design WHERE rn > n - {H}),
+    {expanding_cells(p)},
+    sizes AS (SELECT priority, step, s AS m FROM cells WHERE i = 1 AND j = 1),
+    light AS (SELECT c.priority, c.step, i, j, s + CASE WHEN i = j AND i <= {p} AND {scale}[i] > 0 THEN 1e-6 * m ELSE 0 END AS s
+      FROM cells c JOIN sizes z ON z.priority = c.priority AND z.step = c.step),
+    {gauss('priority, step', p, source='light', name='1')},
+    misfit AS (SELECT c.priority, c.step, GREATEST(SUM(s * CASE WHEN i = {p + 1} THEN 1 ELSE -b.b[i] END
+          * CASE WHEN j = {p + 1} THEN 1 ELSE -b.b[j] END) / (ANY_VALUE(m) - {p - 1} - 1), 1e-12) AS noise
+      FROM cells c JOIN beta1 b ON b.priority = c.priority AND b.step = c.step
+      JOIN sizes z ON z.priority = c.priority AND z.step = c.step GROUP BY 1, 2),
+    ridge AS (SELECT c.priority, c.step, i, j, s + CASE WHEN i = j AND i <= {p} THEN noise * {scale}[i] ELSE 0 END AS s
+      FROM cells c JOIN misfit z ON z.priority = c.priority AND z.step = c.step),
+    {gauss('priority, step', p, source='ridge', name='2')}
+    SELECT o.priority, o.step, o.date, 'prophet' AS model, {rd(mix.format(o='o.z') + ' * o.size', 0)} AS pred
+    FROM origin o JOIN beta2 b ON b.priority = o.priority AND b.step = o.step"""
+
+
 def _harmonic(level: str = "daily", periods=(7, 30), top: int = 3, memory: int = 2) -> str:
     waves = []
     for period in periods:
@@ -837,7 +876,9 @@ ORACLES: dict[str, str] = {
         {rd(p_value('stat'), 5)} AS p_value FROM tests""",
     "difference_choice": _difference_choice(),
     "arima_fixed_order": _arma(),
+    "arima_exogenous_fixed_order": _arma(3, 2, True, "arima_exo_eda"),
     "harmonic": _harmonic(),
+    "additive_weekly": _additive(),
     "stacked_averages": _stacked(),
     "knn_grid_search": _knn_search(),
     "seasonal_smoothing": _seasonal(),

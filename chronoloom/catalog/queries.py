@@ -126,11 +126,8 @@ def split_reader(spark, sf):
 @query
 def split_text_file(spark, sf):
     path = _scratch(spark)
-    rows = table(spark, sf, "customer").select(
-        F.lit(1).alias("o"), F.concat_ws(",", "c_custkey", "c_mktsegment").alias("value")
-    )
-    head = table(spark, sf, "region").select(F.lit(0).alias("o"), F.lit("key,segment").alias("value")).distinct()
-    head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    rows = table(spark, sf, "customer").select(F.concat_ws(",", "c_custkey", "c_mktsegment").alias("key,segment"))
+    rows.write.option("header", True).option("sep", "\u0001").csv(path)  # every part file starts with the header line
     return readers.read_source(spark, readers.SourceSpec("local_excel", path, split=True))
 
 
@@ -739,11 +736,28 @@ def arima_exogenous(spark, sf):
     )
 
 
+@query
+def arima_exogenous_fixed_order(spark, sf):
+    s = tr.shift_columns(complete(spark, sf), ["x"], KEY)
+    out = arima_forecasts(
+        s, target="y", horizon=HORIZON, keys=KEY, exogenous=["x"], d=0, max_p=3, max_q=2, name="arima_exo_eda"
+    )
+    return rounded(out, "pred", digits=0)
+
+
 @query
 def harmonic(spark, sf):
     return rounded(harmonic_forecasts(complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY), "pred", digits=0)
 
 
+@query
+def additive_weekly(spark, sf):
+    out = additive_forecasts(
+        complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY, holidays=_holidays(spark), changepoints=3
+    )
+    return rounded(out, "pred", digits=0)
+
+
 @query
 def additive(spark, sf):
     return additive_forecasts(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.operators.frame import with_step
+from chronoloom.operators.frame import spread, with_step
 
 # Smoothing weights tried, and the seasonal candidates in declared order.
 HOLT_WEIGHTS = (0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99)
@@ -187,7 +187,8 @@ def ordered_scan(
     """Streams every key's rows in time order through a state from `make()`; forecasts are taken before each of the
     newest `horizon` rows updates it."""
     keys = list(keys)
-    base = with_step(df.select(*keys, date, F.col(target).cast("double").alias("y")), keys, horizon, date)
+    base = spread(df.select(*keys, date, F.col(target).cast("double").alias("y")), keys)
+    base = with_step(base, keys, horizon, date)
     # Window output is already sorted by (keys, date) within partitions; state it, the planner drops the extra sort.
     rows = base.select(*keys, F.col(date).alias("date"), "y", F.coalesce("step", F.lit(-1)).alias("step"))
     rows = rows.sortWithinPartitions(*keys, "date")

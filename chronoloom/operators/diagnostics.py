@@ -214,8 +214,9 @@ def value_counts(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame
 
 
 def column_mode(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Most frequent value; the smallest one on ties."""
-    return df.groupBy(*keys).agg(F.mode(col, True).alias("mode"))
+    """Most frequent value; the smallest one on ties. Counts first, so no group ever holds its distinct values."""
+    counts = value_counts(df.filter(F.col(col).isNotNull()), col, keys)
+    return counts.groupBy(*keys).agg(F.min_by(col, F.struct(-F.col("times"), F.col(col))).alias("mode"))
 
 
 def row_minimum(df: DataFrame, cols: Sequence[str], name: str = "row_min") -> DataFrame:

@@ -25,6 +25,14 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash partitions by the keys in the configured number, for work that is heavy per byte: adaptive execution would
+    merge such partitions by their small size. A later grouping or window on the keys needs no further shuffle."""
+    if not keys:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_position(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
     """Adds `rn` (1-based, oldest first) and `n` (rows of the key)."""
     return df.withColumns({"rn": F.row_number().over(by_time(keys, date)), "n": F.count(F.lit(1)).over(whole(keys))})

@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.operators.frame import spread
+
 
 def _summed(keys: list[str], width: int):
-    """Batch function: sums complete core rows per (keys, block); passes origin rows through."""
+    """Batch function: sums complete core rows per (keys, block), upper triangle only; passes origin rows through."""
+    upper = np.triu_indices(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,7 +45,7 @@ def _summed(keys: list[str], width: int):
                     part = z[members]
                     first.append(members[0])
                     count.append(len(members))
-                    payload.append((part.T @ part).ravel())
+                    payload.append((part.T @ part)[upper])
             origin = np.flatnonzero(step.notna().to_numpy())
             for i in origin:
                 first.append(i)
@@ -71,7 +74,8 @@ def cross_products(
     weight: Column | None = None,
     width: int | None = None,
 ) -> DataFrame:
-    """(keys, block, step, date, rows, payload): partial z'z where step is NULL, the row z itself elsewhere.
+    """(keys, block, step, date, rows, payload): partial z'z (packed upper triangle) where step is NULL, the row z
+    itself elsewhere.
 
     `z` is a list of columns, or one array column of `width` doubles (wide designs: it keeps generated code small).
     Core rows with any missing value are left out; origin rows keep theirs as NaN. `weight` scales a core row's
@@ -115,16 +119,21 @@ class KeyMoments:
         if len(own):
             width = self.rows.shape[1]
         elif len(core):
-            width = int(round(len(core["payload"].iloc[0]) ** 0.5))
+            width = int(round(((8 * len(core["payload"].iloc[0]) + 1) ** 0.5 - 1) / 2))
         else:
             width = 0
         self.width = width
         self.gram: dict[int, np.ndarray] = {}
         self.count: dict[int, int] = {}
+        sums: dict[int, np.ndarray] = {}
         for b, k, p in zip(core["block"], core["rows"], core["payload"]):
             b = int(b)
-            self.gram[b] = self.gram.get(b, 0) + np.asarray(p, dtype=float).reshape(width, width)
+            sums[b] = sums.get(b, 0) + np.asarray(p, dtype=float)
             self.count[b] = self.count.get(b, 0) + int(k)
+        for b, packed in sums.items():
+            g = np.zeros((width, width))
+            g[np.triu_indices(width)] = packed
+            self.gram[b] = g + np.triu(g, 1).T
 
     def total(self) -> np.ndarray:
         out = np.zeros((self.width, self.width))
@@ -140,7 +149,11 @@ class KeyMoments:
 def solve_per_key(
     parts: DataFrame, keys: Sequence[str], fn: Callable[[KeyMoments], pd.DataFrame], out: str | T.StructType
 ) -> DataFrame:
-    """Runs `fn` on the summed cells of each key; `out` is the DDL of the columns `fn` returns."""
+    """Runs `fn` on the summed cells of each key; `out` is the DDL of the columns `fn` returns.
+
+    The cells are few bytes but much work, so they are spread over the configured number of shuffle partitions rather
+    than left to be coalesced by size.
+    """
     keys = list(keys)
     names = [f.name for f in (T._parse_datatype_string(out) if isinstance(out, str) else out).fields]
     out_fields = (T._parse_datatype_string(out) if isinstance(out, str) else out).fields
@@ -152,7 +165,7 @@ def solve_per_key(
             res.insert(0, k, [pdf[k].iloc[0]] * len(res))
         return res[[*keys, *names]]
 
-    return parts.groupBy(*keys).applyInPandas(per_key, schema)
+    return spread(parts, keys).groupBy(*keys).applyInPandas(per_key, schema)
 
 
 # --- numpy on already aggregated cells -------------------------------------------------------------------------

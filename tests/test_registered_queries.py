@@ -15,14 +15,19 @@ def test_every_twin_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+# At the smallest scale some forecasts of a family coincide; elimination needs a full-rank system.
+LARGER = {"stacked_averages": "/root/testdata/sf0.01"}
+
+
 @pytest.fixture(scope="module")
 def con():
-    return connect(SF)
+    return {sf: connect(sf) for sf in {SF, *LARGER.values()}}
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_its_twin(spark, con, name):
-    ok, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF)
+    sf = LARGER.get(name, SF)
+    ok, note = compare(spark, con[sf], name, entry.queries()[name], entry.oracle_sql()[name], sf)
     assert ok, note
 
 
