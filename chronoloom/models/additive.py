@@ -63,7 +63,7 @@ def _design(
     changepoints: int,
 ) -> tuple[DataFrame, dict[str, int]]:
     """Rows with one design array per role (trend, hinge, seasons, holiday, exogenous), and the width of each."""
-    base = df.select(*keys, date, F.col(target).cast("double").alias("y"), *exogenous)
+    base = df.select(*keys, date, F.col(target).cast("double").alias("__y"), *exogenous)
     base = with_step(base, keys, horizon, date)
     w0 = whole(keys)
     core = F.col("step").isNull()
@@ -71,8 +71,8 @@ def _design(
         {
             "__first": F.min(date).over(w0),
             "__last": F.max(F.when(core, F.col(date))).over(w0),
-            "__top": F.max(F.when(core, F.col("y"))).over(w0),
-            "__size": F.max(F.when(core, F.abs("y"))).over(w0),
+            "__top": F.max(F.when(core, F.col("__y"))).over(w0),
+            "__size": F.max(F.when(core, F.abs("__y"))).over(w0),
         }
     )
     t = F.coalesce(
@@ -113,7 +113,7 @@ def fourier_array(position: Column, period: float, order: int) -> Column:
 
 def _targets(cap: float | None) -> dict[str, Column]:
     """The working target under each transform, scaled to about one."""
-    y = F.col("y")
+    y = F.col("__y")
     top = F.lit(float(cap)) if cap else F.col("__top") * 1.1
     share = F.try_divide(y, top)
     share = F.least(F.greatest(share, F.lit(0.001)), F.lit(0.999))
@@ -299,14 +299,14 @@ def additive_search(
         fits = solve_per_key(parts, keys, _cutoff_fits(plans), "cut int, candidate int, coef array<double>")
         row = _row([F.lit(1.0), F.lit(0.0)], union)
         tested = work.filter(F.col("__cuts") > 0).select(
-            *keys, F.col(date).alias("date"), "y", "__top", "__size", row.alias("z"),
+            *keys, F.col(date).alias("date"), "__y", "__top", "__size", row.alias("z"),
             F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1)).alias("cut"), "__oldest",
         )
         cutoff = F.date_add("__oldest", F.col("cut") * period)
         tested = tested.filter((F.col("date") > cutoff) & (F.col("date") <= F.date_add(cutoff, horizon_days)))
         joined = tested.join(fits, [*keys, "cut"])
         dot = F.aggregate(F.zip_with("z", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        miss = F.col("y") - _back(kind, dot, cap)
+        miss = F.col("__y") - _back(kind, dot, cap)
         scored = joined.groupBy(*keys, "candidate").agg(F.sqrt(F.avg(miss * miss)).alias("rmse"))
         results = scored if results is None else results.unionByName(scored)
     return results

@@ -68,6 +68,23 @@ def _order_search(max_p: int, max_q: int, exogenous: int, criterion: str, name:
     return run
 
 
+def difference_orders(
+    df: DataFrame,
+    *,
+    target: str,
+    horizon: int,
+    keys: Sequence[str] = (),
+    date: str = "date",
+    max_d: int = 2,
+    max_test_lag: int | None = None,
+) -> DataFrame:
+    """(keys, .., diff_order) by repeated unit-root tests on the rows before the first origin."""
+    base = df if "step" in df.columns else with_step(df.select(*keys, date, target), keys, horizon, date)
+    train = base.filter(F.col("step").isNull()).select(*keys, date, F.col(target).cast("double").alias("__y"))
+    train = differences(train, "__y", keys, date, max_d)
+    return choose_difference(train, "__y", keys=keys, date=date, max_order=max_d, max_lag=max_test_lag)
+
+
 def arima_forecasts(
     df: DataFrame,
     *,
@@ -83,17 +100,24 @@ def arima_forecasts(
     long_lags: int | None = None,
     criterion: str = "AIC",
     max_test_lag: int | None = None,
+    orders: DataFrame | None = None,
+    stored: bool = False,
     name: str = "arima_diff",
     detail: bool = False,
 ) -> DataFrame:
-    """One-step forecasts on the scale of `target`. `d=None` chooses the differencing order per key by repeated
-    unit-root tests on the rows before the first origin; exogenous columns are differenced alongside."""
-    base = df.select(*keys, date, F.col(target).cast("double").alias("y"), *exogenous)
-    base = cut_lineage(with_step(base, keys, horizon, date))  # the stages below read it once each
+    """One-step forecasts on the scale of `target`. `d=None` takes the differencing order per key from `orders`, by
+    default `difference_orders`; exogenous columns are differenced alongside. `stored` says that `df` is already
+    written, so its several readers need no lineage cut here."""
+    base = df.select(*keys, date, F.col(target).cast("double").alias("__y"), *exogenous)
+    base = with_step(base, keys, horizon, date)
+    if not stored:  # the stages below read it once each
+        base = cut_lineage(base)
     w = by_time(keys, date)
     if d is None:
-        train = differences(base.filter(F.col("step").isNull()).select(*keys, date, "y"), "y", keys, date, max_d)
-        orders = choose_difference(train, "y", keys=keys, date=date, max_order=max_d, max_lag=max_test_lag)
+        if orders is None:
+            orders = difference_orders(
+                base, target="__y", horizon=horizon, keys=keys, date=date, max_d=max_d, max_test_lag=max_test_lag
+            )
         base = attach(base, orders.select(*keys, F.col("diff_order").alias("__d")), keys, "left")
     else:
         base = base.withColumn("__d", F.lit(int(d)))
@@ -104,9 +128,9 @@ def arima_forecasts(
         return F.when(F.col("__d") == 1, one).when(F.col("__d") == 2, two).otherwise(F.col(c).cast("double"))
 
     top = 0 if d == 0 else (max_d if d is None else d)
-    y1, y2 = F.lag("y", 1).over(w), F.lag("y", 2).over(w)
+    y1, y2 = F.lag("__y", 1).over(w), F.lag("__y", 2).over(w)
     taken = F.when(F.col("__d") == 1, y1).when(F.col("__d") == 2, 2 * y1 - y2).otherwise(F.lit(0.0))
-    work = {"__w": differenced("y") if top else F.col("y"), "__base": taken if top else F.lit(0.0)}
+    work = {"__w": differenced("__y") if top else F.col("__y"), "__base": taken if top else F.lit(0.0)}
     work |= {f"__x{i}": differenced(c) if top else F.col(c).cast("double") for i, c in enumerate(exogenous)}
     base = base.withColumns(work)
     xs = [f"__x{i}" for i in range(len(exogenous))]

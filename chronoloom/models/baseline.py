@@ -62,23 +62,23 @@ def baseline_forecasts(
     wide = base.withColumn("mean_all", F.avg("y").over(unbounded_before(keys, date)))
     if "median" in models:
         before = [
-            F.percentile(F.when(F.col("rn") <= F.col("n") - horizon + s, F.col("y")), F.lit(0.5)).over(w0)
+            F.percentile(F.when(F.col("__row") <= F.col("__rows") - horizon + s, F.col("y")), F.lit(0.5)).over(w0)
             for s in range(horizon)
         ]
         wide = wide.withColumn("__medians", F.array(*before))
         wide = wide.withColumn("median", F.get("__medians", F.col("step")))
-    wide = wide.filter(F.col("rn") > F.col("n") - horizon - width)
+    wide = wide.filter(F.col("__row") > F.col("__rows") - horizon - width)
     new: dict[str, Column] = {"last": F.lag("y", 1).over(w)}
     frame = w.rowsBetween(-width, -1)
     if isinstance(k, str):
-        entry = F.struct(F.col("rn").alias("rn"), F.col("y").alias("v"))
+        entry = F.struct(F.col("__row").alias("__row"), F.col("y").alias("v"))
         wide = wide.withColumn("__recent", F.collect_list(entry).over(frame))
         new |= _from_recent(F.col("__recent"), F.col(k).cast("int"))
     else:
         new["mean_latest"] = F.avg("y").over(frame)
         new["median_latest"] = F.percentile("y", F.lit(0.5)).over(frame)
         m = F.count(F.lit(1)).over(frame)
-        ramp = F.sum(F.col("y") * F.col("rn")).over(frame) - (F.min("rn").over(frame) - 1) * F.sum("y").over(frame)
+        ramp = F.sum(F.col("y") * F.col("__row")).over(frame) - (F.min("__row").over(frame) - 1) * F.sum("y").over(frame)
         new["weight_last"] = F.when((m > 0) & (F.count("y").over(frame) == m), ramp / (m * (m + 1) / 2))
     wide = wide.withColumns(new).filter(F.col("step").isNotNull())
     ids = [*keys, "step", date] + (["y"] if with_actual else [])

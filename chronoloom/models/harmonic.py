@@ -71,10 +71,10 @@ def harmonic_forecasts(
     base = df.select(*keys, date, (F.when(y > 0, F.log(y)) if log else y).alias("y"))
     base = with_step(base, keys, horizon, date)
     w = by_time(keys, date)
-    cols: dict[str, Column] = {"__t": F.col("rn") / F.col("n")}
+    cols: dict[str, Column] = {"__t": F.col("__row") / F.col("__rows")}
     groups: list[dict[str, Column]] = []
     for j, period in enumerate(periods):
-        groups.append(fourier(F.col("rn"), float(period), min(max_order, int(period // 2)), f"p{j}"))
+        groups.append(fourier(F.col("__row"), float(period), min(max_order, int(period // 2)), f"p{j}"))
         cols |= groups[-1]
     lags = {f"__l{i}": F.lag("y", i).over(w) for i in range(1, memory + 1)}
     cols |= lags

@@ -51,14 +51,14 @@ def knn_forecasts(
     no shuffle beyond the keys' own. `params` (from `knn_search`) gives k, weights and p per key; pass the largest
     possible k as `max_k` with it.
     """
-    base = df.select(*keys, date, F.col(target).cast("double").alias("y"), *features)
+    base = df.select(*keys, date, F.col(target).cast("double").alias("__y"), *features)
     base = with_step(base, keys, horizon, date)
     before = unbounded_before(keys, date)
     x = F.array(*[F.col(c).cast("double") for c in features])
     on = F.array(*[F.coalesce(F.min(c).over(before) < F.max(c).over(before), F.lit(False)) for c in features])
     base = base.withColumns({"__x": x, "__on": on}).drop(*features)
     usable = ~F.exists("__x", lambda v: v.isNull() | F.isnan(v))
-    origin = F.struct("rn", "step", F.col(date).alias("date"), F.col("__x").alias("x"), F.col("__on").alias("on"))
+    origin = F.struct("__row", "step", F.col(date).alias("date"), F.col("__x").alias("x"), F.col("__on").alias("on"))
     base = base.withColumn("__usable", usable)
     base = base.withColumn(
         "__origins", F.collect_list(F.when(F.col("step").isNotNull() & F.col("__usable"), origin)).over(whole(keys))
@@ -69,25 +69,25 @@ def knn_forecasts(
     else:
         width, kk, ww, pp = k, F.lit(k), F.lit(weights), p
     extra = ["n_neighbors", "weights", "p"] if params is not None else []
-    history = base.filter(F.col("__usable") & F.col("y").isNotNull()).select(
-        *keys, "rn", "y", "__x", *extra, F.explode("__origins").alias("o")
+    history = base.filter(F.col("__usable") & F.col("__y").isNotNull()).select(
+        *keys, "__row", "__y", "__x", *extra, F.explode("__origins").alias("o")
     )
-    pairs = history.filter(F.col("rn") < F.col("o.rn")).select(
+    pairs = history.filter(F.col("__row") < F.col("o.__row")).select(
         *keys,
         F.col("o.step").alias("step"),
         F.col("o.date").alias("date"),
-        "y",
-        "rn",
+        "__y",
+        "__row",
         *extra,
         _distance(F.col("__x"), F.col("o.x"), F.col("o.on"), features, pp).alias("d"),
     )
-    near = Window.partitionBy(*keys, "step", "date").orderBy("d", "rn")
+    near = Window.partitionBy(*keys, "step", "date").orderBy("d", "__row")
     top = pairs.withColumn("__rank", F.row_number().over(near)).filter(F.col("__rank") <= width)
     top = top.filter(F.col("__rank") <= kk)
     hit = F.count_if(F.col("d") == 0)
-    plain = F.avg("y")
-    inverse = F.when(hit > 0, F.avg(F.when(F.col("d") == 0, F.col("y")))).otherwise(
-        F.try_divide(F.sum(F.try_divide("y", "d")), F.sum(F.try_divide(F.lit(1.0), F.col("d"))))
+    plain = F.avg("__y")
+    inverse = F.when(hit > 0, F.avg(F.when(F.col("d") == 0, F.col("__y")))).otherwise(
+        F.try_divide(F.sum(F.try_divide("__y", "d")), F.sum(F.try_divide(F.lit(1.0), F.col("d"))))
     )
     kind = F.first(ww) if params is not None else ww
     return top.groupBy(*keys, "step", "date").agg(
@@ -115,10 +115,10 @@ def _block_neighbours(keys: Sequence[str], powers: Sequence[int], most: int):
                     take = np.argsort(gap, axis=1, kind="stable")[:, :most]
                     for i in range(len(lx)):
                         chosen = [j for j in take[i] if np.isfinite(gap[i, j])]
-                        near = [{"d": float(gap[i, j]), "rn": int(row.rr[j]), "y": float(ry[j])} for j in chosen]
+                        near = [{"d": float(gap[i, j]), "__row": int(row.rr[j]), "y": float(ry[j])} for j in chosen]
                         key = [getattr(row, f"k{n}") for n in range(len(keys))]
                         out.append((*key, power, int(row.lr[i]), int(lf[i]), float(row.ly[i]), near))
-            yield pd.DataFrame(out, columns=[*keys, "p", "rn", "fold", "y", "near"])
+            yield pd.DataFrame(out, columns=[*keys, "p", "__row", "fold", "y", "near"])
 
     return run
 
@@ -145,38 +145,38 @@ def knn_search(
     full = F.lit(True)
     for c in (target, *features):
         full = full & F.col(c).isNotNull()
-    member = full & (F.col("rn") < F.col("n") if tune_on == "newest" else F.col("step").isNull())
+    member = full & (F.col("__row") < F.col("__rows") if tune_on == "newest" else F.col("step").isNull())
     rows = base.withColumn("__fold", contiguous_fold(member, folds, keys, date)).filter(F.col("__fold").isNotNull())
     at = F.row_number().over(by_time(keys, date)) - 1
     rows = rows.withColumn("__chunk", F.floor(at / CHUNK).cast("int"))
     x = F.array(*[F.col(c).cast("double") for c in features])
-    cell = F.struct("rn", F.col("__fold").alias("f"), F.col(target).cast("double").alias("y"), x.alias("x"))
+    cell = F.struct("__row", F.col("__fold").alias("f"), F.col(target).cast("double").alias("y"), x.alias("x"))
     blocks = rows.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]
     ids = [f"k{i}" for i in range(len(keys))]
 
     def side(tag: str) -> DataFrame:
-        cols = {"r": "rn", "f": "f", "y": "y", "x": "x"}
+        cols = {"r": "__row", "f": "f", "y": "y", "x": "x"}
         return blocks.select(*named, *[F.col(f"cells.{c}").alias(f"{tag}{n}") for n, c in cols.items()])
 
     pairs = side("l").join(side("r"), ids) if ids else side("l").join(side("r"), how="cross")
     # many more block pairs than blocks: spread them before the distance work
     pairs = pairs.repartition(*ids, "lr") if ids else pairs.repartition("lr")
     near_type = T.ArrayType(
-        T.StructType([T.StructField("d", T.DoubleType()), T.StructField("rn", T.LongType()), T.StructField("y", T.DoubleType())])
+        T.StructType([T.StructField("d", T.DoubleType()), T.StructField("__row", T.LongType()), T.StructField("y", T.DoubleType())])
     )
     schema = T.StructType(
         [df.schema[c] for c in keys]
         + [
             T.StructField("p", T.IntegerType()),
-            T.StructField("rn", T.LongType()),
+            T.StructField("__row", T.LongType()),
             T.StructField("fold", T.IntegerType()),
             T.StructField("y", T.DoubleType()),
             T.StructField("near", near_type),
         ]
     )
     found = pairs.mapInPandas(_block_neighbours(list(keys), list(grid["p"]), most), schema)
-    merged = found.groupBy(*keys, "p", "rn", "fold", "y").agg(
+    merged = found.groupBy(*keys, "p", "__row", "fold", "y").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near")
     )
     scores = []

@@ -151,7 +151,7 @@ def linear_forecasts(
     whole_row = F.lit(True)
     for c in (target, *features):
         whole_row = whole_row & F.col(c).isNotNull()
-    in_tuning = F.col("rn") < F.col("n") if tune_on == "newest" else F.col("step").isNull()
+    in_tuning = F.col("__row") < F.col("__rows") if tune_on == "newest" else F.col("step").isNull()
     base = base.withColumn("__fold", contiguous_fold(whole_row & in_tuning, FOLDS, keys, date))
     z = [F.lit(1.0), target, *features]
     parts = cross_products(base, z, keys=keys, date=date, step="step", block="__fold")

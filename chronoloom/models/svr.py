@@ -90,7 +90,7 @@ def _dot(z: str, coef: str) -> Column:
 
 def _prepare(df, target, features, horizon, keys, date, kernels, dims, seed) -> DataFrame:
     """Rows with `y`, `step`, positions and one random-feature array `phi_<kernel>` per kernel."""
-    base = df.select(*keys, date, F.col(target).cast("double").alias("y"), *features)
+    base = df.select(*keys, date, F.col(target).cast("double").alias("__y"), *features)
     base = with_step(base, keys, horizon, date)
     w0 = whole(keys)
     core = F.col("step").isNull()
@@ -100,7 +100,7 @@ def _prepare(df, target, features, horizon, keys, date, kernels, dims, seed) ->
         # a column that is constant in training carries nothing
         scaled[f"__x{i}"] = F.when(F.col(c).isNotNull(), F.coalesce(
             F.try_divide(F.col(c).cast("double") - F.avg(v).over(w0), F.stddev_pop(v).over(w0)), F.lit(0.0)))
-    base = base.withColumns(scaled).withColumn("__mid", F.avg(F.when(core, F.col("y"))).over(w0))
+    base = base.withColumns(scaled).withColumn("__mid", F.avg(F.when(core, F.col("__y"))).over(w0))
     x = F.array(*scaled)
     phis = {f"phi_{k}": kernel_array(x, max(len(scaled), 1), k, dims, seed) for k in kernels}
     return base.withColumns(phis)
@@ -115,12 +115,12 @@ def _rounds(rows: DataFrame, ids: Sequence[str], date: str, width: int, rounds:
     state = rows.withColumns({"__fit": F.col("__mid")})
     coefs = None
     for _ in range(rounds):
-        r = F.col("y") - F.col("__fit")
+        r = F.col("__y") - F.col("__fit")
         over = F.abs(r) - F.col("epsilon")
         floor = F.greatest(F.lit(1e-3) * F.col("__spread"), F.lit(1e-9))
         idle = 1e-6 * F.col("C") / F.greatest(F.col("__spread"), F.lit(1e-9))
         weight = F.when(over > 0, F.col("C") / F.greatest(over, floor)).otherwise(idle)
-        moved = F.when(over > 0, F.col("y") - F.signum(r) * F.col("epsilon")).otherwise(F.col("__fit"))
+        moved = F.when(over > 0, F.col("__y") - F.signum(r) * F.col("epsilon")).otherwise(F.col("__fit"))
         state = state.withColumns({"__w": weight, "__ys": moved})
         train = state.filter(F.col("__train"))
         design = F.concat(F.array(F.lit(1.0), F.col("__ys")), F.col("phi"))
@@ -161,9 +161,9 @@ def svr_forecasts(
     else:
         rows = rows.withColumns({"C": F.lit(float(C)), "epsilon": F.lit(float(epsilon))})
         phi = F.col(f"phi_{kernel}")
-    spread = F.stddev_pop(F.when(F.col("step").isNull(), F.col("y"))).over(whole(keys))
+    spread = F.stddev_pop(F.when(F.col("step").isNull(), F.col("__y"))).over(whole(keys))
     rows = rows.withColumns({"phi": phi, "__spread": spread, "__train": F.col("step").isNull()})
-    rows = rows.select(*keys, date, "step", "y", "phi", "__mid", "__spread", "C", "epsilon", "__train")
+    rows = rows.select(*keys, date, "step", "__y", "phi", "__mid", "__spread", "C", "epsilon", "__train")
     rows = cut_lineage(rows)
     width = len(features) if kernel == "linear" and params is None else dims
     state, _ = _rounds(rows, keys, date, width, rounds)
@@ -190,17 +190,17 @@ def svr_search(
     """(keys, kernel, C, epsilon) with the lowest mean squared error over contiguous folds. Every (candidate, held
     fold) is an extra key of the same reweighting job."""
     rows = _prepare(df, target, features, horizon, keys, date, grid["kernel"], dims, seed)
-    full = F.col("y").isNotNull() & ~F.exists(f"phi_{grid['kernel'][0]}", lambda v: v.isNull())
-    member = full & (F.col("rn") < F.col("n") if tune_on == "newest" else F.col("step").isNull())
+    full = F.col("__y").isNotNull() & ~F.exists(f"phi_{grid['kernel'][0]}", lambda v: v.isNull())
+    member = full & (F.col("__row") < F.col("__rows") if tune_on == "newest" else F.col("step").isNull())
     rows = rows.withColumn("__fold", contiguous_fold(member, folds, keys, date)).filter(F.col("__fold").isNotNull())
-    spread = F.stddev_pop("y").over(whole(keys))
+    spread = F.stddev_pop("__y").over(whole(keys))
     rows = cut_lineage(rows.withColumn("__spread", spread))
     trials = []
     for i, (k, c, e) in enumerate(product(grid["kernel"], grid["C"], grid["epsilon"])):
         trials.append(F.struct(F.lit(i).alias("candidate"), F.lit(k).alias("kernel"), F.lit(float(c)).alias("C"),
                                F.lit(float(e)).alias("epsilon")))
     spread_out = rows.select("*", F.explode(F.array(*trials)).alias("c")).select(
-        *keys, date, "y", "__mid", "__spread", "__fold", "c.*",
+        *keys, date, "__y", "__mid", "__spread", "__fold", "c.*",
         *[f"phi_{k}" for k in grid["kernel"]],
         F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held"),
     )
@@ -211,7 +211,7 @@ def svr_search(
     state, _ = _rounds(spread_out, [*keys, "candidate", "held"], date, dims, rounds)
     tested = state.filter(F.col("__fold") == F.col("held"))
     mse = tested.groupBy(*keys, "candidate", "kernel", "C", "epsilon", "held").agg(
-        F.avg((F.col("y") - F.col("__fit")) ** 2).alias("mse")
+        F.avg((F.col("__y") - F.col("__fit")) ** 2).alias("mse")
     )
     mean = mse.groupBy(*keys, "candidate", "kernel", "C", "epsilon").agg(F.avg("mse").alias("mse"))
     best = mean.groupBy(*keys).agg(F.min_by(F.struct("kernel", "C", "epsilon"), F.struct("mse", "candidate")).alias("b"))

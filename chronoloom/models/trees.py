@@ -51,14 +51,14 @@ def _settings(kind: str, params: Mapping) -> dict:
 
 def _regressor(kind: str, settings: Mapping, seed: int):
     made = RandomForestRegressor if kind == "rf" else GBTRegressor
-    return made(featuresCol="features", labelCol="y", predictionCol="pred", seed=seed, **settings)
+    return made(featuresCol="features", labelCol="__y", predictionCol="pred", seed=seed, **settings)
 
 
 def _assembled(df, target, features, horizon, keys, date) -> DataFrame:
-    base = with_step(df.select(*keys, date, F.col(target).cast("double").alias("y"), *features), keys, horizon, date)
+    base = with_step(df.select(*keys, date, F.col(target).cast("double").alias("__y"), *features), keys, horizon, date)
     filled = {f"__f{i}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for i, c in enumerate(features)}
     if keys:  # the key enters as its mean level before the first origin
-        level = F.avg(F.when(F.col("step").isNull(), F.col("y"))).over(whole(keys))
+        level = F.avg(F.when(F.col("step").isNull(), F.col("__y"))).over(whole(keys))
         filled["__level"] = F.coalesce(level, F.lit(MISSING))
     base = base.withColumns(filled)
     return VectorAssembler(inputCols=list(filled), outputCol="features").transform(base)
@@ -89,15 +89,15 @@ def tree_forecasts(
     label = name or TREE_MODELS[kind]
     rows = _assembled(df, target, features, horizon, keys, date)
     if grid:
-        member = F.col("y").isNotNull() & (F.col("rn") < F.col("n") if tune_on == "newest" else F.col("step").isNull())
+        member = F.col("__y").isNotNull() & (F.col("__row") < F.col("__rows") if tune_on == "newest" else F.col("step").isNull())
         rows = rows.withColumn("fold", contiguous_fold(member, folds, keys, date))
-    ids = [*keys, F.col(date).alias("date"), "step", "rn", "n", "y", "features"] + (["fold"] if grid else [])
+    ids = [*keys, F.col(date).alias("date"), "step", "__row", "__rows", "__y", "features"] + (["fold"] if grid else [])
     rows = cut_lineage(rows.select(*ids))
     settings = _settings(kind, params or {})
     if grid:
         settings |= _search(rows.filter(F.col("fold").isNotNull()), kind, grid, settings, seed, folds)
     regressor = _regressor(kind, settings, seed)
-    known = rows.filter(F.col("y").isNotNull())
+    known = rows.filter(F.col("__y").isNotNull())
     out = None
     for at in [None] if refit == "once" else range(horizon):
         if at is None:
@@ -118,7 +118,7 @@ def _search(rows: DataFrame, kind: str, grid: Mapping, settings: Mapping, seed:
         chosen = _settings(kind, dict(zip(names, values)))
         maps.append({regressor.getParam(k): v for k, v in chosen.items()})
     maps = maps or ParamGridBuilder().build()
-    evaluator = RegressionEvaluator(labelCol="y", predictionCol="pred", metricName="mse")
+    evaluator = RegressionEvaluator(labelCol="__y", predictionCol="pred", metricName="mse")
     search = CrossValidator(
         estimator=regressor, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold",
         parallelism=2,

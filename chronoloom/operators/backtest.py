@@ -25,7 +25,7 @@ def contiguous_fold(member: Column, folds: int, keys: Sequence[str] = (), date:
 
 def origins(df: DataFrame, *, horizon: int, keys: Sequence[str] = (), date: str = "date") -> DataFrame:
     """The newest `horizon` rows with their `step`, and `train_rows`, the number of rows before each."""
-    return with_step(df, keys, horizon, date).filter(F.col("step").isNotNull()).withColumn("train_rows", F.col("rn") - 1)
+    return with_step(df, keys, horizon, date).filter(F.col("step").isNotNull()).withColumn("train_rows", F.col("__row") - 1)
 
 
 def actuals(

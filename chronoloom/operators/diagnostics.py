@@ -168,7 +168,7 @@ def decompose(
     if regularize:
         base = fill_forward(fill_calendar(base, level=level, keys=keys, date=date), ["observed"], keys, date)
     w = by_time(keys, date)
-    base = with_position(base, keys, date).filter(F.col("n") >= 2 * p)
+    base = with_position(base, keys, date).filter(F.col("__rows") >= 2 * p)
     half = p // 2
     if p % 2:
         total = F.sum("observed").over(w.rowsBetween(-half, half)) / p
@@ -176,8 +176,8 @@ def decompose(
         inner = F.sum("observed").over(w.rowsBetween(-half + 1, half - 1))
         edge = F.lag("observed", half).over(w) + F.lead("observed", half).over(w)
         total = (inner + 0.5 * edge) / p
-    full = (F.col("rn") > half) & (F.col("rn") <= F.col("n") - half)
-    base = base.withColumns({"trend": F.when(full, total), "__phase": ((F.col("rn") - 1) % p).cast("int")})
+    full = (F.col("__row") > half) & (F.col("__row") <= F.col("__rows") - half)
+    base = base.withColumns({"trend": F.when(full, total), "__phase": ((F.col("__row") - 1) % p).cast("int")})
     base = base.withColumn("__off", F.col("observed") - F.col("trend"))
     w0 = whole(keys)
     phase_means = [F.avg(F.when(F.col("__phase") == i, F.col("__off"))).over(w0) for i in range(p)]

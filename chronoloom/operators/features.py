@@ -78,7 +78,7 @@ def feature_columns(
     date: str = "date",
     lags: bool = True,
     engineered: bool = True,
-    helpers: Sequence[str] = ("rn", "n", "step", "lag_order"),
+    helpers: Sequence[str] = ("lag_order",),
 ) -> list[str]:
     """Numeric columns a model may use: never the keys, date, target or its differences.
 

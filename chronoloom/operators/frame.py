@@ -34,18 +34,18 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_position(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
-    """Adds `rn` (1-based, oldest first) and `n` (rows of the key)."""
-    return df.withColumns({"rn": F.row_number().over(by_time(keys, date)), "n": F.count(F.lit(1)).over(whole(keys))})
+    """Adds `__row` (1-based, oldest first) and `__rows` (rows of the key)."""
+    return df.withColumns({"__row": F.row_number().over(by_time(keys, date)), "__rows": F.count(F.lit(1)).over(whole(keys))})
 
 
 def with_step(df: DataFrame, keys: Sequence[str], horizon: int, date: str = "date") -> DataFrame:
-    """Adds `rn`, `n` and `step`: 0..horizon-1 on the newest `horizon` rows (oldest first), NULL before them.
+    """Adds `__row`, `__rows` and `step`: 0..horizon-1 on the newest `horizon` rows (oldest first), NULL before them.
 
     A row needs history, so the first row of a key is never a backtest origin.
     """
     df = with_position(df, keys, date)
-    step = F.col("rn") - F.col("n") + horizon - 1
-    return df.withColumn("step", F.when((step >= 0) & (F.col("rn") > 1), step.cast("int")))
+    step = F.col("__row") - F.col("__rows") + horizon - 1
+    return df.withColumn("step", F.when((step >= 0) & (F.col("__row") > 1), step.cast("int")))
 
 
 def tail(df: DataFrame, keys: Sequence[str], rows: int, date: str = "date") -> DataFrame:

@@ -29,9 +29,9 @@ def _summed(keys: list[str], width: int):
             rows = batch.num_rows
             if rows == 0:
                 continue
-            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, width)
+            z = batch.column("__z").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, width)
             step = batch.column("step").to_pandas()
-            group_cols = [*keys, "block"]
+            group_cols = [*keys, "__block"]
             labels = pd.DataFrame({c: batch.column(c).to_pandas() for c in group_cols})
             core = step.isna().to_numpy() & np.isfinite(z).all(axis=1)
             first, count, payload = [], [], []
@@ -56,8 +56,8 @@ def _summed(keys: list[str], width: int):
             idx = pa.array(np.asarray(first, dtype=np.int64))
             offsets = np.r_[0, np.cumsum([len(p) for p in payload])].astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(payload)))
-            arrays = [batch.column(c).take(idx) for c in [*keys, "block", "step", "date"]]
-            names = [*keys, "block", "step", "date", "rows", "payload"]
+            arrays = [batch.column(c).take(idx) for c in [*keys, "__block", "step", "date"]]
+            names = [*keys, "__block", "step", "date", "__count", "__payload"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(count, pa.int64()), flat], names=names)
 
     return run
@@ -94,14 +94,14 @@ def cross_products(
         row = F.transform(row, lambda v: v * root)
     rows = df.select(
         *keys,
-        F.coalesce(block_col, F.lit(0)).cast("int").alias("block"),
+        F.coalesce(block_col, F.lit(0)).cast("int").alias("__block"),
         step_col.cast("int").alias("step"),
         F.col(date).alias("date"),
-        row.alias("z"),
+        row.alias("__z"),
     )
-    fields = [f for f in rows.schema.fields if f.name != "z"]
+    fields = [f for f in rows.schema.fields if f.name != "__z"]
     schema = T.StructType(
-        [*fields, T.StructField("rows", T.LongType()), T.StructField("payload", T.ArrayType(T.DoubleType()))]
+        [*fields, T.StructField("__count", T.LongType()), T.StructField("__payload", T.ArrayType(T.DoubleType()))]
     )
     return rows.mapInArrow(_summed(keys, size), schema)
 
@@ -114,19 +114,19 @@ class KeyMoments:
         own = pdf[pdf["step"].notna()].sort_values("step")
         self.steps = own["step"].astype(int).to_numpy()
         self.dates = own["date"].to_numpy()
-        self.blocks = own["block"].astype(int).to_numpy()
-        self.rows = np.vstack(own["payload"].to_numpy()) if len(own) else np.zeros((0, 0))
+        self.blocks = own["__block"].astype(int).to_numpy()
+        self.rows = np.vstack(own["__payload"].to_numpy()) if len(own) else np.zeros((0, 0))
         if len(own):
             width = self.rows.shape[1]
         elif len(core):
-            width = int(round(((8 * len(core["payload"].iloc[0]) + 1) ** 0.5 - 1) / 2))
+            width = int(round(((8 * len(core["__payload"].iloc[0]) + 1) ** 0.5 - 1) / 2))
         else:
             width = 0
         self.width = width
         self.gram: dict[int, np.ndarray] = {}
         self.count: dict[int, int] = {}
         sums: dict[int, np.ndarray] = {}
-        for b, k, p in zip(core["block"], core["rows"], core["payload"]):
+        for b, k, p in zip(core["__block"], core["__count"], core["__payload"]):
             b = int(b)
             sums[b] = sums.get(b, 0) + np.asarray(p, dtype=float)
             self.count[b] = self.count.get(b, 0) + int(k)
@@ -198,6 +198,8 @@ def varying_columns(gram: np.ndarray, xs: Sequence[int]) -> list[int]:
 
 def least_squares(sxx: np.ndarray, sxy: np.ndarray, penalty: np.ndarray | float = 0.0) -> np.ndarray:
     """Minimum-norm solution on scaled columns; `penalty` is added to the diagonal before scaling."""
+    if not len(sxy):
+        return np.zeros(0)
     a = sxx + np.diag(np.broadcast_to(np.asarray(penalty, dtype=float), (len(sxy),)))
     d = np.sqrt(np.clip(np.diag(a), 1e-300, None))
     vals, vecs = np.linalg.eigh(a / np.outer(d, d))

@@ -27,7 +27,7 @@ def cut_extremes(
 ) -> DataFrame:
     """Drops the first and last buckets of every key (usually only partly covered by data)."""
     placed = with_position(df, keys, date)
-    return placed.filter((F.col("rn") > first) & (F.col("rn") <= F.col("n") - last)).drop("rn", "n")
+    return placed.filter((F.col("__row") > first) & (F.col("__row") <= F.col("__rows") - last)).drop("__row", "__rows")
 
 
 def difference(

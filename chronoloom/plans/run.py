@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.columns import parse_date, parse_short_year_month, parse_timestamp_day
 from chronoloom.models.additive import additive_forecasts, additive_search, best_additive, params_grid
-from chronoloom.models.arima import arima_forecasts
+from chronoloom.models.arima import arima_forecasts, difference_orders
 from chronoloom.models.baseline import BASELINES, baseline_forecasts
 from chronoloom.models.harmonic import harmonic_forecasts
 from chronoloom.models.knn import KNN_GRID, knn_forecasts, knn_search
@@ -28,7 +28,13 @@ from chronoloom.operators.frame import attach
 from chronoloom.operators.holidays import add_holidays, holiday_calendar
 from chronoloom.operators.missing import repair
 from chronoloom.operators.scaling import apply_scaler, fit_scaler, invert_scaler
-from chronoloom.operators.stationarity import choose_difference, choose_lag_order, drop_leading
+from chronoloom.operators.stationarity import (
+    choose_difference,
+    choose_lag_order,
+    default_test_lags,
+    drop_leading,
+    longest_series,
+)
 from chronoloom.operators.timegrid import bucket_aggregate, fill_calendar
 from chronoloom.operators.transforms import (
     cut_extremes,
@@ -117,7 +123,7 @@ def prepare_series(df: DataFrame, spec: RunSpec) -> DataFrame:
     return series
 
 
-def choose_work(series: DataFrame, spec: RunSpec) -> tuple[DataFrame, DataFrame, str]:
+def choose_work(series: DataFrame, spec: RunSpec, max_test_lag: int) -> tuple[DataFrame, DataFrame, str]:
     """(series with differences and the working variable, orders per key, name of the working variable).
 
     A single series names its working variable after the chosen level. With keys the choice may differ per key, so
@@ -125,7 +131,7 @@ def choose_work(series: DataFrame, spec: RunSpec) -> tuple[DataFrame, DataFrame,
     """
     pre, target, keys = spec.prepare, spec.extract.prediction_column, list(spec.prepare.keys)
     df = differences(series, target, keys, order=pre.max_difference)
-    orders = choose_difference(df, target, keys=keys, max_order=pre.max_difference)
+    orders = choose_difference(df, target, keys=keys, max_order=pre.max_difference, max_lag=max_test_lag)
     orders = cut_lineage(orders)
     shifted = spec.mode != "ts_only" and bool(pre.columns_to_shift)
     df = attach(df, orders.select(*keys, "diff_order"), keys)
@@ -253,9 +259,12 @@ def ts_forecasts(
     m: ModelSpec,
     mode: str,
     holidays: DataFrame | None,
+    max_test_lag: int,
 ) -> DataFrame:
     common = dict(target=variable, horizon=m.horizon, keys=keys)
-    orders = dict(max_p=m.max_p, max_q=m.max_q)
+    free = {"arima_diff", "arima_exo_diff"} - set(m.skip)
+    found = cut_lineage(difference_orders(matrix, max_test_lag=max_test_lag, **common)) if free else None
+    orders = dict(max_p=m.max_p, max_q=m.max_q, stored=True, orders=found)
     makers = {
         "arima_diff": lambda: arima_forecasts(matrix, name="arima_diff", **orders, **common),
         "arima_eda": lambda: arima_forecasts(matrix, d=0, name="arima_eda", **orders, **common),
@@ -324,21 +333,22 @@ def run(
     keys, target, m = list(spec.prepare.keys), spec.extract.prediction_column, spec.model
     raw = clean(source, spec) if source is not None else extract(spark, spec, root)
     series = cut_lineage(prepare_series(raw, spec))
-    levels, orders, variable = choose_work(series, spec)
+    max_test_lag = default_test_lags(longest_series(series, keys))
+    levels, orders, variable = choose_work(series, spec, max_test_lag)
     scaled, stats = scale(levels, spec, variable)
     if holidays is None and spec.features.add_holidays:
         holidays = holiday_calendar(spark, spec.features.country, spec.features.years_list)
     matrix, lag_orders, longest = build_matrix(scaled, spec, variable, holidays)
     matrix = cut_lineage(matrix.drop("diff_order"))
 
-    helpers = ("rn", "n", "step", "lag_order", "work", "diff_order", target)
+    helpers = ("lag_order", "work", "diff_order", target)
     features = feature_columns(matrix, target=variable, keys=keys, helpers=helpers)
     exogenous = feature_columns(
         matrix, target=variable, keys=keys, helpers=helpers, lags=m.use_lags_on_ts_models,
         engineered=m.use_feature_eng_on_ts_models,
     )
     daily_holidays = holidays if spec.features.add_holidays and spec.prepare.aggr_time_level == "daily" else None
-    ts = ts_forecasts(matrix, variable, exogenous, keys, m, spec.mode, daily_holidays)
+    ts = ts_forecasts(matrix, variable, exogenous, keys, m, spec.mode, daily_holidays, max_test_lag)
     tabular = tabular_forecasts(matrix, variable, features, keys, m)
     base_k = dict(k="lag_order", max_k=longest) if lag_orders is not None else dict(k=longest)
     original = m.use_original_for_baseline

@@ -340,3 +340,21 @@ def test_tree_grid_search(panel):
     got = preds(tree_forecasts(df, target="y", features=["x1", "x2"], horizon=2, keys=K, params={"n_estimators": 5},
                                grid={"max_depth": [1, 3]}))
     assert set(got) == {"a", "b", "c"}
+
+
+def test_user_columns_may_have_any_everyday_name(panel):
+    df, arrays = panel
+    plain = df.withColumnRenamed("y", "target")
+    odd = plain.withColumnsRenamed({"target": "n", "x1": "rn", "x2": "y", "x3": "z"})
+    for make in (linear_forecasts, knn_forecasts):
+        a = preds(make(plain, target="target", features=["x1", "x2", "x3"], horizon=H, keys=K))
+        b = preds(make(odd, target="n", features=["rn", "y", "z"], horizon=H, keys=K))
+        assert a == b
+    a = preds(arima_forecasts(plain.fillna(0.0), target="target", horizon=H, keys=K, max_p=1, max_q=1, exogenous=["x1", "x2"]))
+    b = preds(arima_forecasts(odd.fillna(0.0), target="n", horizon=H, keys=K, max_p=1, max_q=1, exogenous=["rn", "y"]))
+    assert a == b
+    assert preds(holt_forecasts(plain, target="target", horizon=H, keys=K)) == preds(holt_forecasts(odd, target="n", horizon=H, keys=K))
+    params = {"n_estimators": 3, "max_depth": 2}
+    a = preds(tree_forecasts(plain, target="target", features=["x1", "x2"], horizon=2, keys=K, params=params))
+    b = preds(tree_forecasts(odd, target="n", features=["rn", "y"], horizon=2, keys=K, params=params))
+    assert set(a) == set(b)
