@@ -32,6 +32,7 @@ HEADLINE = (
     "selector",
     "metric_table",
     "random_forest",
+    "whole_run",
 )
 
 

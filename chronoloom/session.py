@@ -19,6 +19,8 @@ def build_session(app: str = "chronoloom", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # checkpoint files go when the frames that use them are gone
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # call-site capture costs several driver round trips per column expression
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
