@@ -571,7 +571,7 @@ def _stacked() -> str:
     FROM design_all o LEFT JOIN beta b ON b.priority = o.priority AND b.family = o.family AND b.step = o.step"""
 
 
-def _penalised(alpha: str = "2e10", rounds: int = 240) -> str:
+def _penalised(alpha: str = "2e10", rounds: int = 900) -> str:
     """Lasso and elastic net on three lags by coordinate steps, one coordinate per round."""
     p = 3
     return f"""WITH RECURSIVE {complete()},

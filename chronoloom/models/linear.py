@@ -53,7 +53,7 @@ def elastic_net(sxx, sxy, n, alpha, l1_ratio, start=None, sweeps=2000, tol=1e-10
             if step:
                 grad -= a[:, j] * step
                 w[j] = new
-                change = max(change, abs(step) * np.sqrt(diag[j]))
+                change = max(change, abs(step) * diag[j])  # in units of b
         now = np.sign(w)
         if signs is not None and (now == signs).all():
             on = np.flatnonzero(now)
@@ -65,7 +65,7 @@ def elastic_net(sxx, sxy, n, alpha, l1_ratio, start=None, sweeps=2000, tol=1e-10
             if fits:
                 return exact
         signs = now
-        if change <= tol * np.sqrt(max(b @ b, 1e-300)):
+        if change <= tol * max(np.abs(b).max(initial=0.0), 1e-300):
             break
     return w
 

@@ -107,6 +107,16 @@ def test_elastic_net_satisfies_its_optimality_conditions(alpha, ratio):
     assert (np.abs(grad[~on]) <= alpha * ratio + 1e-6).all()
 
 
+def test_elastic_net_from_a_near_start_is_still_exact():
+    rng = np.random.default_rng(4)
+    x, noise = rng.normal(size=(200, 3)) * 1e6, rng.normal(size=200) * 1e6
+    y = x @ [0.1, -0.05, 0.02] + noise
+    x, y = x - x.mean(0), y - y.mean()
+    cold = elastic_net(x.T @ x, x.T @ y, 200, 1.0, 0.3)
+    warm = elastic_net(x.T @ x, x.T @ y, 200, 1.0, 0.3, start=cold + 1e-6)
+    assert np.allclose(cold, np.linalg.lstsq(x, y, rcond=None)[0], rtol=1e-9) and np.allclose(warm, cold, rtol=1e-12)
+
+
 def test_elastic_grid_uses_the_fold_rule(panel):
     df, arrays = panel
     grid = {"alpha": [0.001, 1000.0], "l1_ratio": [0.5]}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import yaml
 
-from chronoloom.plans import load_spec, run, spec_from_dict
+from chronoloom.plans import load_spec, report_tables, run, spec_from_dict
 from chronoloom.operators.ensemble import AVERAGES, STACKS
 from chronoloom.operators.metrics import METRICS, SELECTOR
 
@@ -40,6 +40,7 @@ model:
   xgb: {optimize_params: false, xgb_params: {n_estimators: 3, max_depth: 2}}
   prophet: {prophet_params: {growth: linear, weekly_seasonality: true}}
 model_selector: {min_steps: 3, ignore_models: [last], exclude_bagging_models: false}
+EDA: {vars_to_plot_scatter: [["n", "holidays_fe"]], vars_to_add_heatmap: [], feature_eng_vars: true}
 """
 
 
@@ -93,6 +94,22 @@ def test_written_tables(spark, daily_result):
     assert spark.read.parquet(f"{base}/raw_data").count() == 8
 
 
+def test_report_tables(spark, daily_result):
+    result, _ = daily_result
+    tables = report_tables(result, spec_from_dict(yaml.safe_load(DAILY)), max_lag=8)
+    names = {"correlation", "lag_correlation", "decomposition_n", "rolling_n", "autocorrelation", "partial_autocorrelation",
+             "scatter_n_holidays_fe", "metric_bars", "selected_models", "non_baseline_share", "difference_evolution",
+             "decomposition_difference", "rolling_difference"}
+    assert set(tables) == names
+    pairs = {(r["a"], r["b"]) for r in tables["correlation"].collect()}
+    assert ("n", "mean_n_1_6") in pairs and not any("Year" in p for p in pairs)  # the year does not vary
+    assert tables["autocorrelation"].filter("lag = 7 and acf > 0.5").count() == 1
+    assert tables["partial_autocorrelation"].count() == 8
+    assert sum(r["times"] for r in tables["selected_models"].collect()) == 5
+    assert tables["scatter_n_holidays_fe"].count() > 0
+    assert tables["metric_bars"].count() == 8 * result.metrics.count()
+
+
 def test_keyed_run_with_exogenous_columns(spark):
     rng = np.random.default_rng(1)
     rows = []
