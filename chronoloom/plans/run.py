@@ -84,10 +84,9 @@ def clean(df: DataFrame, spec: RunSpec) -> DataFrame:
     if ex.clean_columns_rows:
         df = drop_header_rows(df, ex.prediction_column)
     df = fix_numbers(df, ex.variable_issues)
-    wanted = None
-    if spec.mode == "ts_only":
-        wanted = [ex.prediction_column]
-    df = coerce_numeric(df, wanted)
+    # only text columns the run will use as numbers are checked: for typed sources this costs no scan at all
+    numbers = {ex.prediction_column, *spec.prepare.mean_columns, *spec.prepare.sum_columns}
+    df = coerce_numeric(df, sorted(numbers - {ex.ts_column, *spec.prepare.keys}))
     return prune_columns(
         df, spec.mode, ts=ex.ts_column, target=ex.prediction_column, categoric=ex.categoric_numeric_columns,
         keys=spec.prepare.keys,
