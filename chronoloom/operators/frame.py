@@ -30,7 +30,11 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     merge such partitions by their small size. A later grouping or window on the keys needs no further shuffle."""
     if not keys:
         return df
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):  # cores are fixed; more tasks would only add start-up cost
+        parts = min(parts, 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
