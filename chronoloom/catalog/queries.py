@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from chronoloom.operators import timegrid as tg
 from chronoloom.operators import transforms as tr
 from chronoloom.plans.run import run
 from chronoloom.plans.spec import spec_from_dict
-from chronoloom.session import cut_lineage, ensure_checkpoint_dir
+from chronoloom.session import cut_lineage, scratch_path
 from chronoloom.sources import cleaning, readers, sinks
 
 KEY = ["priority"]
@@ -96,14 +95,9 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and cleaning -----------------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
-
-
 @query
 def read_csv_typed(spark, sf):
-    path = _scratch(spark)
+    path = scratch_path(spark)
     cols = ["o_orderkey", "o_orderpriority", "o_totalprice"]
     table(spark, sf, "orders").select(*cols).write.option("header", True).csv(path)
     return cleaning.coerce_numeric(readers.read_source(spark, readers.SourceSpec("local_csv", path)))
@@ -125,7 +119,7 @@ def split_reader(spark, sf):
 
 @query
 def split_text_file(spark, sf):
-    path = _scratch(spark)
+    path = scratch_path(spark)
     rows = table(spark, sf, "customer").select(F.concat_ws(",", "c_custkey", "c_mktsegment").alias("key,segment"))
     rows.write.option("header", True).option("sep", "\u0001").csv(path)  # every part file starts with the header line
     return readers.read_source(spark, readers.SourceSpec("local_excel", path, split=True))
@@ -178,7 +172,7 @@ def column_roles(spark, sf):
 
 @query
 def write_and_read_results(spark, sf):
-    path = _scratch(spark)
+    path = scratch_path(spark)
     name = sinks.result_name("revenue", "y", HORIZON, "z_score")
     written = sinks.write_results({"raw_data": complete(spark, sf, "monthly")}, path, name)
     return spark.read.parquet(written[0])

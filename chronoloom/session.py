@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,19 +30,33 @@ def build_session(app: str = "chronoloom", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; fall back to a scratch folder in local mode only."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
-        shared = tempfile.mkdtemp(prefix="chronoloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(shared)
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that spark.checkpoint.dir names: the one place that driver and executors all read and write."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` once to the reliable checkpoint folder, so its many readers do not recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Compute `df` once for its many readers: in the reliable checkpoint folder, or on the executors' disks if there is none.
+
+    Without a folder the lineage stays, so blocks lost with an executor are computed again.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not folder:
+        return df.persist(StorageLevel.DISK_ONLY)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, tag: str = "scratch") -> str:
+    """A new path for a written table: in the shared folder, or in the warehouse where no folder is named."""
+    root = shared_folder(spark) or f"{spark.conf.get('spark.sql.warehouse.dir')}/chronoloom-scratch"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str = "table") -> DataFrame:
+    """Write `df` as Parquet to a scratch path and read it back: a lineage cut with sizes that the optimizer can see."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

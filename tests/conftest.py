@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from chronoloom.session import build_session
 
     s = build_session(
@@ -18,6 +18,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     s.sparkContext.setLogLevel("ERROR")
