@@ -108,25 +108,40 @@ def balanced_rates(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
     return joined.select("doc_id", "source", "size", "source_size", "target", rate.cast("long").alias("units"))
 
 
+PHASES = 32
+
+
 def copies(rated: DataFrame, rows_per_bucket: int = 200_000) -> DataFrame:
-    """`rated` with copies: rates rounded so that each source's words stay within about one document of the rates' sum.
+    """`rated` with copies: rates rounded to whole copies so that each source's words come near its target.
 
-    Documents of a source stand in order of size (bands of a quarter octave); a document takes as many copies as whole
-    numbers lie in its stretch of the running sum of rates, the rate rounded down or up. Running sums go over buckets
-    of a band, then over the buckets of a source, in exact whole numbers. A null doc_id orders first.
+    Documents of a source stand in order of size (bands of a quarter octave, long ones first); a document takes as many
+    copies as whole numbers lie in its stretch of the running sum of rates, the rate rounded down or up. So rounding
+    errors of neighbours, which are of like size, cancel. Where the count starts is a free phase: of PHASES phases each
+    source takes the one whose words come nearest to its target. Running sums go over buckets of a band, then over the
+    buckets of a source, in exact whole numbers. `rated` is read four times; a null doc_id orders first.
     """
     buckets = max(1, -(-rated.count() // rows_per_bucket))
-    band = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
+    band = -F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
     keyed = rated.withColumns({"__band": band, "__b": F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")})
     group = ["source", "__band", "__b"]
     sums = keyed.groupBy(*group).agg(F.sum("units").alias("__u"))
     before = F.sum("__u").over(Window.partitionBy("source").orderBy("__band", "__b").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*[F.col(c).alias(f"{c}_") for c in group], F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*group).orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keyed = keyed.withColumn("__to", F.sum("units").over(inside))
-    joined = keyed.join(sums, F.col("source").eqNullSafe(F.col("source_")) & (F.col("__band") == F.col("__band_")) & (F.col("__b") == F.col("__b_")))
-    exact = F.expr(f"(__before + __to + {UNIT // 2}) div {UNIT} - (__before + __to + {UNIT // 2} - units) div {UNIT}")
-    return joined.select(*rated.columns, exact.cast("long").alias("copies"))
+    sums = sums.select(*[F.col(c).alias(f"__of_{c}") for c in group], F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*group).orderBy(F.desc("size"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = keyed.withColumn("__sum", F.sum("units").over(inside))
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group]
+    joined = keyed.join(sums, same[0] & same[1] & same[2])
+    ranked = written(joined.select(*rated.columns, (F.col("__before") + F.col("__sum")).alias("__end")), "mix-ranked")
+
+    def taken(phase: str) -> str:
+        return f"((__end + {phase}) div {UNIT} - (__end + {phase} - units) div {UNIT})"
+
+    words = [F.sum(F.expr(f"size * {taken(str(k * UNIT // PHASES))}")).alias(f"__w{k}") for k in range(PHASES)]
+    tried = ranked.groupBy(F.col("source").alias("__src")).agg(F.max("target").alias("__t"), *words)
+    misses = F.array(*[F.struct(F.abs(F.col(f"__w{k}") - F.col("__t")).alias("miss"), F.lit(k * UNIT // PHASES).alias("phase")) for k in range(PHASES)])
+    best = tried.select("__src", F.array_min(misses)["phase"].alias("__phase"))
+    out = ranked.join(best, F.col("source").eqNullSafe(F.col("__src")))
+    return out.select(*rated.columns, F.expr(taken("__phase")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
