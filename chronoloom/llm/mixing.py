@@ -8,6 +8,7 @@ source. The multipliers solve a convex dual; Newton steps find them, all sources
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -111,16 +112,16 @@ def balanced_rates(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
 PHASES = 32
 
 
-def copies(rated: DataFrame, rows_per_bucket: int = 200_000) -> DataFrame:
+def copies(rated: DataFrame) -> DataFrame:
     """`rated` with copies: rates rounded to whole copies so that each source's words come near its target.
 
     Documents of a source stand in order of size (bands of a quarter octave, long ones first); a document takes as many
     copies as whole numbers lie in its stretch of the running sum of rates, the rate rounded down or up. So rounding
     errors of neighbours, which are of like size, cancel. Where the count starts is a free phase: of PHASES phases each
-    source takes the one whose words come nearest to its target. Running sums go over buckets of a band, then over the
-    buckets of a source, in exact whole numbers. `rated` is read four times; a null doc_id orders first.
+    source takes the one whose words come nearest to its target. Running sums go over buckets of a band (an
+    eighth of the square root of the number of rows), then over the buckets of a source, in exact whole numbers. `rated` is read four times; a null doc_id orders first.
     """
-    buckets = max(1, -(-rated.count() // rows_per_bucket))
+    buckets = math.isqrt(rated.count()) // 8 + 1
     band = -F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
     keyed = rated.withColumns({"__band": band, "__b": F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")})
     group = ["source", "__band", "__b"]

@@ -7,6 +7,7 @@ rows are exchanged, and each shard is permuted again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,14 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BLOCK = 500_000
 
 
 def communication_matrix(blocks: Sequence[int], shards: int, seed: int) -> np.ndarray:
     """Rows of block i that go to shard j: row sums are the blocks, column sums at most one apart.
 
     Each row is a multivariate hypergeometric draw from the places left; the rows' joint law is that of a uniform
-    permutation cut at the shards' bounds. Sequential in the blocks, whose number is rows / 500,000.
+    permutation cut at the shards' bounds. It needs the blocks' counts only, one after the other.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     total = int(sum(blocks))
@@ -52,17 +52,18 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return int(min(max(round(rng.normal(mean, sd)), draws - bad, 0), good, draws))
 
 
-def shuffle_shards(df: DataFrame, by: Sequence[str], shards: int = 8, seed: int = 20260101, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def shuffle_shards(df: DataFrame, by: Sequence[str], shards: int = 8, seed: int = 20260101, blocks: int | None = None) -> DataFrame:
     """`df` with shard (0..shards-1) and slot (gapless from 0 in each shard): a uniform shuffle, sizes at most one apart.
 
     `by` are the columns that identify a row; they decide its random numbers, so reruns and retried tasks agree. Rows
     equal in all of them are exchanged freely, and nulls count as values. An empty table gives an empty result. Blocks
-    are hash buckets of whole rows, so a common text or source is spread evenly. Read twice: once for the block counts.
+    are hash buckets of whole rows, so a common text or source is spread evenly; by default there are as many as the
+    square root of the number of rows, and a shard is sorted in parts of about that size. Read twice.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     rows = df.count()
-    blocks = max(1, -(-rows // rows_per_block))
+    blocks = blocks or math.isqrt(rows) + 1
     draw = F.xxhash64(F.lit(seed), *by)
     dealt = df.withColumn("__block", F.pmod(F.xxhash64(draw, F.lit(1)), F.lit(blocks)).cast("int"))
     counts = dict(dealt.groupBy("__block").count().collect())  # a number per block
@@ -75,7 +76,7 @@ def shuffle_shards(df: DataFrame, by: Sequence[str], shards: int = 8, seed: int
     shard = F.size(F.filter("__ends", lambda end: end <= F.col("__rank")))
     ranked = ranked.join(cuts, F.col("__block") == F.col("__of")).withColumn("shard", shard.cast("int"))
     # The second permutation: a shard is cut into parts by its random number, so no task sorts a whole shard.
-    parts = max(1, -(-rows // (rows_per_block * shards)))
+    parts = math.isqrt(rows // shards) + 1
     number = F.xxhash64(draw, F.lit(3))
     exchanged = ranked.withColumn("__part", F.pmod(F.shiftright(number, 20), F.lit(parts)).cast("int"))
     sizes = exchanged.groupBy(F.col("shard").alias("__s"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))

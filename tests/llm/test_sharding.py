@@ -27,14 +27,14 @@ def test_large_counts_stay_exact():
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 403])
 def test_shards_are_even_slots_gapless_and_runs_agree(spark, n):
     df = clashing(docs(spark, [None if i % 50 == 3 else "same" for i in range(n)]))
-    placed = sharding.shuffle_shards(df, by=["doc_id"], shards=8, rows_per_block=40)
+    placed = sharding.shuffle_shards(df, by=["doc_id"], shards=8, blocks=11)
     rows = [(r["doc_id"], r["shard"], r["slot"]) for r in placed.collect()]
     assert sorted(r[0] for r in rows) == list(range(n))
     sizes = [sum(r[1] == s for r in rows) for s in range(8)]
     assert max(sizes) - min(sizes) <= 1
     for s in range(8):
         assert sorted(r[2] for r in rows if r[1] == s) == list(range(sizes[s]))
-    again = sharding.shuffle_shards(df, by=["doc_id"], shards=8, rows_per_block=40)
+    again = sharding.shuffle_shards(df, by=["doc_id"], shards=8, blocks=11)
     assert sorted(rows) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in again.repartition(3).collect())
     if n == 403:
         assert abs(np.corrcoef([r[0] for r in rows], [r[1] for r in rows])[0, 1]) < 0.2
