@@ -719,8 +719,9 @@ ORACLES: dict[str, str] = {
     "single_row_back": f"WITH {complete()} SELECT priority, date, y, x FROM placed WHERE rn = n - 3",
     "wide_to_long": f"""WITH {complete('monthly')} SELECT priority, date, 'y' AS name, y AS value FROM complete
         UNION ALL SELECT priority, date, 'x', x FROM complete""",
-    "long_to_wide": f"""WITH {revenue('monthly')} PIVOT (SELECT date, priority, x FROM revenue) ON priority
-        USING FIRST(x) GROUP BY date""",
+    "long_to_wide": f"""WITH {revenue('monthly')} SELECT date, {', '.join(
+        f'MAX(x) FILTER (priority = {chr(39)}{p}{chr(39)}) AS "{p}"'
+        for p in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'))} FROM revenue GROUP BY date""",
     "stack_tables": f"""WITH {revenue('monthly')}, w AS (SELECT priority, CAST(date_trunc('week', d) AS DATE) AS date,
         CAST(SUM(v) AS DOUBLE) AS y FROM raw GROUP BY 1, 2)
         SELECT priority, date, y, 'monthly' AS level FROM revenue UNION ALL SELECT priority, date, y, 'weekly' FROM w""",
@@ -883,3 +884,26 @@ ORACLES: dict[str, str] = {
     "knn_grid_search": _knn_search(),
     "seasonal_smoothing": _seasonal(),
 }
+
+
+def _alone(sql: str) -> str:
+    """The same statement for all orders as one series: a constant stands for the key and is left out at the end."""
+    return f"SELECT * EXCLUDE (priority) FROM ({sql.replace('o_orderpriority AS priority', chr(39) + 'all' + chr(39) + ' AS priority')})"
+
+
+ORACLES |= {
+    "single_gap_spine": _alone(ORACLES["gap_spine_daily"]),
+    "single_interpolate": _alone(ORACLES["interpolate_linear"]),
+    "single_differences": _alone(ORACLES["differences"]),
+    "single_lag_block": _alone(ORACLES["lag_block"]),
+    "single_unit_root": _alone(ORACLES["unit_root_simple"]),
+    "single_ar_order_score": _alone(ORACLES["ar_order_one_score"]),
+    "single_baselines": _alone(ORACLES["baselines"]),
+    "single_linear": _alone(ORACLES["linear_one_regressor"]),
+    "single_knn": _alone(ORACLES["knn_forecast"]),
+    "single_selector": _alone(ORACLES["selector"]),
+    "single_metric_table": _alone(ORACLES["metric_table"]),
+    "linear_large_offset": f"SELECT * FROM ({ORACLES['linear_one_regressor']}) WHERE model = 'linear'",
+    "unbucketed_events": f"""SELECT event_type, CAST(ts AS DATE) AS date, {rd('AVG(value)')} AS value FROM events
+        GROUP BY event_type, CAST(ts AS DATE)""",
+}

@@ -22,7 +22,7 @@ from chronoloom.operators import holidays as hol
 from chronoloom.operators import stationarity as sta
 from chronoloom.operators import timegrid as tg
 from chronoloom.operators import transforms as tr
-from chronoloom.plans.run import run
+from chronoloom.plans.run import prepare_series, run
 from chronoloom.plans.spec import spec_from_dict
 from chronoloom.session import cut_lineage, scratch_path
 from chronoloom.sources import cleaning, readers, sinks
@@ -31,7 +31,6 @@ KEY = ["priority"]
 HORIZON = 20
 LATEST = 8
 WINDOW = 6
-YEARS = list(range(1995, 2002))
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -368,7 +367,8 @@ def wide_to_long(spark, sf):
 
 @query
 def long_to_wide(spark, sf):
-    return tr.to_wide(revenue(spark, sf, "monthly").select("date", "priority", "x"), ["date"], "priority", "x")
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return tr.to_wide(revenue(spark, sf, "monthly").select("date", "priority", "x"), ["date"], "priority", "x", names)
 
 
 @query
@@ -464,23 +464,23 @@ def calendar_daily(spark, sf):
     return features.add_calendar_parts(complete(spark, sf, "daily").select(*KEY, "date"), "daily")
 
 
-def _holidays(spark) -> DataFrame:
-    return hol.holiday_calendar(spark, "US", YEARS)
+def _holidays(spark, sf) -> DataFrame:
+    return hol.holiday_calendar(spark, "US", hol.years_of(table(spark, sf, "orders"), "o_orderdate"))
 
 
 @query
 def holiday_flag(spark, sf):
-    return hol.add_holidays(complete(spark, sf, "daily").select(*KEY, "date"), _holidays(spark), "daily")
+    return hol.add_holidays(complete(spark, sf, "daily").select(*KEY, "date"), _holidays(spark, sf), "daily")
 
 
 @query
 def holiday_week(spark, sf):
-    return hol.add_holidays(complete(spark, sf, "weekly").select(*KEY, "date"), _holidays(spark), "weekly")
+    return hol.add_holidays(complete(spark, sf, "weekly").select(*KEY, "date"), _holidays(spark, sf), "weekly")
 
 
 @query
 def holiday_month(spark, sf):
-    return hol.add_holidays(complete(spark, sf, "monthly").select(*KEY, "date"), _holidays(spark), "monthly")
+    return hol.add_holidays(complete(spark, sf, "monthly").select(*KEY, "date"), _holidays(spark, sf), "monthly")
 
 
 @query
@@ -747,7 +747,7 @@ def harmonic(spark, sf):
 @query
 def additive_weekly(spark, sf):
     out = additive_forecasts(
-        complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY, holidays=_holidays(spark), changepoints=3
+        complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY, holidays=_holidays(spark, sf), changepoints=3
     )
     return rounded(out, "pred", digits=0)
 
@@ -755,7 +755,7 @@ def additive_weekly(spark, sf):
 @query
 def additive(spark, sf):
     return additive_forecasts(
-        complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY, holidays=_holidays(spark),
+        complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY, holidays=_holidays(spark, sf),
         params=AdditiveParams(yearly_seasonality=True),
     )
 
@@ -899,10 +899,12 @@ def whole_run(spark, sf):
                 "deal_na": "substitute_interpolate",
             },
             "ts_into_tab": {"steps": 4, "compute_lags": False, "vars_to_lag": ["qty"]},
-            "feature_eng": {"add_date": True, "add_holidays": True, "country": "US", "years_list": YEARS,
+            "feature_eng": {"add_date": True, "add_holidays": True, "country": "US", "years_list": [],
                             "mean_vars": [["price", 1, 10]]},
             "model": {
-                "percentage_predicted": HORIZON, "skip": ["svr", "xgb", "exp_smooth"],
+                "percentage_predicted": HORIZON,
+                "xgb": {"xgb_params": {"n_estimators": 10, "max_depth": 3}},
+                "elastic": {"optimize_params": True, "elastic_param_grid": {"alpha": [0.01, 1.0, 10.0], "l1_ratio": [0.1, 0.5, 0.9]}},
                 "rf": {"rf_params": {"n_estimators": 10, "max_depth": 5}},
                 "prophet": {"prophet_params": {"weekly_seasonality": False, "yearly_seasonality": True}},
                 "prophet_ex": {"prophet_ex_params": {"weekly_seasonality": False, "yearly_seasonality": True}},
@@ -917,6 +919,107 @@ def whole_run(spark, sf):
     return run(spark, spec, source=rows).metrics.drop("ord")
 
 
+# --- one series without keys ----------------------------------------------------------------------------------------
+
+
+def _alone(spark: SparkSession, sf: str, level: str = "weekly", filled: bool = True) -> DataFrame:
+    """Revenue of all orders as a single regular series; an empty bucket is 0 if `filled`, else NULL."""
+    rows = table(spark, sf, "orders").select("o_orderdate", F.floor("o_totalprice").alias("y"), F.lit(1).alias("x"))
+    series = tg.fill_calendar(tg.bucket_aggregate(rows, ts="o_orderdate", level=level, sums=["y", "x"]), level=level)
+    return missing.fill_value(series, ["y", "x"], 0) if filled else series
+
+
+@query
+def single_gap_spine(spark, sf):
+    return _alone(spark, sf, "daily", filled=False)
+
+
+@query
+def single_interpolate(spark, sf):
+    return rounded(missing.interpolate(_alone(spark, sf, "daily", filled=False), ["y", "x"]), "y", "x")
+
+
+@query
+def single_differences(spark, sf):
+    return tr.differences(_alone(spark, sf), "y")
+
+
+@query
+def single_lag_block(spark, sf):
+    return tr.lag_block(_alone(spark, sf), ["y", "x"], 4)
+
+
+@query
+def single_unit_root(spark, sf):
+    out = sta.unit_root_test(_alone(spark, sf, "monthly"), "y", fixed_lag=0)
+    return rounded(out.select("stat", "nobs", "p_value"), "stat", "p_value", digits=5)
+
+
+@query
+def single_ar_order_score(spark, sf):
+    return rounded(sta.lag_order_scores(_alone(spark, sf), "y", 1, criterion="BIC"), "score")
+
+
+@query
+def single_baselines(spark, sf):
+    return rounded(baseline_forecasts(_alone(spark, sf), target="y", horizon=HORIZON, k=LATEST), "pred")
+
+
+@query
+def single_linear(spark, sf):
+    s = tr.lag_block(_alone(spark, sf), ["y"], 1)
+    out = linear_forecasts(
+        s, target="y", features=["lag_y_1"], horizon=HORIZON, ridge_alpha=1e12, lasso_alpha=1e10, elastic_params=(0.5, 0.5),
+        elastic_grid=None,
+    )
+    return rounded(out, "pred", digits=1)
+
+
+@query
+def linear_large_offset(spark, sf):
+    """A regressor whose level is millions of times its spread."""
+    s = tr.lag_block(complete(spark, sf), ["y"], 1, KEY).withColumn("far", F.col("lag_y_1") + 1e12)
+    out = linear_forecasts(s, target="y", features=["far"], horizon=HORIZON, keys=KEY, models=["linear"], elastic_grid=None)
+    return rounded(out, "pred", digits=1)
+
+
+@query
+def single_knn(spark, sf):
+    s = tr.lag_block(_alone(spark, sf), ["y"], 3)
+    lags = ["lag_y_1", "lag_y_2", "lag_y_3"]
+    plain = knn_forecasts(s, target="y", features=lags, horizon=HORIZON, k=5, p=1, name="knn_uniform")
+    near = knn_forecasts(s, target="y", features=lags, horizon=HORIZON, k=5, weights="distance", p=2, name="knn_distance")
+    return rounded(plain.unionByName(near), "pred", digits=2)
+
+
+def _alone_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    preds = baseline_forecasts(_alone(spark, sf), target="y", horizon=HORIZON, k=LATEST, with_actual=True)
+    return ensemble.label(preds, TWO_FAMILIES)
+
+
+@query
+def single_selector(spark, sf):
+    return rounded(ensemble.select_model(_alone_labelled(spark, sf), min_steps=WINDOW), "pred", "window_mae")
+
+
+@query
+def single_metric_table(spark, sf):
+    scored = _alone_labelled(spark, sf).filter(F.col("step") >= WINDOW)
+    return rounded(metrics.metric_table(scored, [], ("family", "model")), *metrics.METRICS, digits=3)
+
+
+@query
+def unbucketed_events(spark, sf):
+    """Event values per type without a bucket level: dates are cut to days, several rows a day are averaged, gaps stay."""
+    spec = spec_from_dict({
+        "type_analysis": "ts_num_cat", "data_extraction": {"ts_column": "ts", "prediction_column": "value"},
+        "preprocessing": {"date_type": "Y-M-D", "aggr_attr": "event_type", "aggr_time": False, "mean_columns": ["value"],
+                          "deal_na": "drop_na"},
+    })
+    rows = table(spark, sf, "events").select("ts", "event_type", "value")
+    return rounded(prepare_series(rows, spec).select("event_type", "date", "value"), "value")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Monthly revenue per priority -> baselines -> recent-performance selection -> error metrics."""
     s = missing.interpolate(gappy(spark, sf, "monthly"), ["y", "x"], KEY)

@@ -279,16 +279,15 @@ def additive_search(
     block = F.when(count < 0, F.lit(0)).otherwise(F.least(F.greatest(late, F.lit(0)), count + 1)).cast("int")
     base = base.withColumns({"__block": block, "__cuts": F.greatest(count + 1, F.lit(0)).cast("int"), "__oldest": oldest})
     results = None
-    by_kind: dict[str, list] = {}
+    by_kind: dict[tuple, list] = {}
     for i, p in enumerate(candidates):
-        by_kind.setdefault(p.transform, []).append((i, p))
-    for kind, members in by_kind.items():
+        by_kind.setdefault((p.transform, p.cap), []).append((i, p))
+    for (kind, cap), members in by_kind.items():
         union = [r for r in widths if any(r in _roles(widths, p) for _, p in members)]
         at, place = {}, 2
         for r in union:
             at[r] = list(range(place, place + widths[r]))
             place += widths[r]
-        cap = members[0][1].cap
         work = base.withColumn("__work", _targets(cap)[kind])
         z = _row([F.lit(1.0), F.col("__work")], union)
         parts = cross_products(work, z, width=place, keys=keys, date=date, block="__block")
@@ -298,9 +297,12 @@ def additive_search(
             plans.append((i, [c for r in roles for c in at[r]], _penalty(widths, roles, p)))
         fits = solve_per_key(parts, keys, _cutoff_fits(plans), "cut int, candidate int, coef array<double>")
         row = _row([F.lit(1.0), F.lit(0.0)], union)
+        # a row is scored by the cutoffs less than a horizon before it: a few numbers, not all cutoffs
+        late_from = F.floor(F.datediff(F.to_date(date), F.date_add("__oldest", horizon_days)) / period).cast("int")
+        reach = horizon_days // period + 2
         tested = work.filter(F.col("__cuts") > 0).select(
             *keys, F.col(date).alias("date"), "__y", "__top", "__size", row.alias("z"),
-            F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1)).alias("cut"), "__oldest",
+            F.explode(F.filter(F.sequence(late_from, late_from + reach), lambda c: (c >= 0) & (c < F.col("__cuts")))).alias("cut"), "__oldest",
         )
         cutoff = F.date_add("__oldest", F.col("cut") * period)
         tested = tested.filter((F.col("date") > cutoff) & (F.col("date") <= F.date_add(cutoff, horizon_days)))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.frame import attach, by_time, with_step
+from chronoloom.operators.frame import attach, by_time, whole, with_step
 from chronoloom.operators.gram import KeyMoments, cross_products, fit, gaussian_criterion, residual_sum, solve_per_key
 from chronoloom.operators.stationarity import choose_difference
 from chronoloom.operators.transforms import differences
@@ -125,13 +125,19 @@ def arima_forecasts(
     def differenced(c: str):
         one = F.col(c) - F.lag(c, 1).over(w)
         two = F.col(c) - 2 * F.lag(c, 1).over(w) + F.lag(c, 2).over(w)
-        return F.when(F.col("__d") == 1, one).when(F.col("__d") == 2, two).otherwise(F.col(c).cast("double"))
+        return F.when(F.col("__d") == 1, one).when(F.col("__d") == 2, two).otherwise(level_free(c))
+
+    def level(c: str):
+        return F.coalesce(F.avg(F.col(c).cast("double")).over(whole(keys)), F.lit(0.0))
+
+    def level_free(c: str):
+        return F.col(c).cast("double") - level(c)
 
     top = 0 if d == 0 else (max_d if d is None else d)
     y1, y2 = F.lag("__y", 1).over(w), F.lag("__y", 2).over(w)
-    taken = F.when(F.col("__d") == 1, y1).when(F.col("__d") == 2, 2 * y1 - y2).otherwise(F.lit(0.0))
-    work = {"__w": differenced("__y") if top else F.col("__y"), "__base": taken if top else F.lit(0.0)}
-    work |= {f"__x{i}": differenced(c) if top else F.col(c).cast("double") for i, c in enumerate(exogenous)}
+    taken = F.when(F.col("__d") == 1, y1).when(F.col("__d") == 2, 2 * y1 - y2).otherwise(level("__y"))
+    work = {"__w": differenced("__y") if top else level_free("__y"), "__base": taken if top else level("__y")}
+    work |= {f"__x{i}": differenced(c) if top else level_free(c) for i, c in enumerate(exogenous)}
     base = base.withColumns(work)
     xs = [f"__x{i}" for i in range(len(exogenous))]
     long = long_lags or max_p + max_q + 4

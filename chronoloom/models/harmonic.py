@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.frame import by_time, with_step
+from chronoloom.operators.frame import by_time, off_level, with_step
 from chronoloom.operators.gram import KeyMoments, cross_products, fit, gaussian_criterion, residual_sum, solve_per_key
 
 
@@ -41,7 +41,7 @@ def _harmonics(levels: list[list[int]], always: list[int], lags: list[int], expo
                     b0, beta, used = fit(gram, xs)
                     score = gaussian_criterion(residual_sum(gram, b0, beta, used), gram[0, 0], len(used) + 2)
                     if best is None or score < best[0]:
-                        best = (score, b0 + (z[used] @ beta if used else 0.0))
+                        best = (score, z[-1] + b0 + (z[used] @ beta if used else 0.0))
             pred = None
             if best and np.isfinite(best[1]):
                 pred = float(np.exp(best[1])) if exponential else float(best[1])
@@ -69,7 +69,7 @@ def harmonic_forecasts(
     """`memory` recent values carry the short-run dynamics; `log` models the logarithm of a positive series."""
     y = F.col(target).cast("double")
     base = df.select(*keys, date, (F.when(y > 0, F.log(y)) if log else y).alias("y"))
-    base = with_step(base, keys, horizon, date)
+    base = off_level(with_step(base, keys, horizon, date), ["y"], keys)
     w = by_time(keys, date)
     cols: dict[str, Column] = {"__t": F.col("__row") / F.col("__rows")}
     groups: list[dict[str, Column]] = []
@@ -84,6 +84,6 @@ def harmonic_forecasts(
     levels = []
     for order in range(0, max_order + 1):
         levels.append([at[c] for g in groups for c in g if int(c.rsplit("_", 1)[1]) <= order])
-    parts = cross_products(base, [F.lit(1.0), "y", *names], keys=keys, date=date, step="step")
+    parts = cross_products(base, [F.lit(1.0), "y", *names, "__level_y"], keys=keys, date=date, step="step")
     run = _harmonics(levels, [at["__t"]], [at[c] for c in lags], log, name)
     return solve_per_key(parts, keys, run, "step int, date date, model string, pred double")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.backtest import contiguous_fold
-from chronoloom.operators.frame import with_step
+from chronoloom.operators.frame import off_level, with_step
 from chronoloom.operators.gram import (
     KeyMoments,
     centred,
@@ -94,7 +94,7 @@ def _search(m: KeyMoments, xs: list[int], grid: list[tuple[float, float]], upto:
 
 def _forecasts(models, ridge_alpha, lasso_alpha, elastic_params, grid, tune_on):
     def run(m: KeyMoments) -> pd.DataFrame:
-        xs = list(range(2, m.width))
+        xs = list(range(2, m.width - 1))  # the last column is the level taken off the target
         gram = m.total() if m.width else np.zeros((0, 0))
         chosen = elastic_params
         if "elastic" in models and grid:
@@ -117,7 +117,7 @@ def _forecasts(models, ridge_alpha, lasso_alpha, elastic_params, grid, tune_on):
                         beta = elastic_net(sxx, sxy, n, alpha, ratio, old[1] if old and old[0] == used else None)
                         warm[name] = (used, beta)
                         b0 = my - mx @ beta
-                    pred = b0 + (z[used] @ beta if used else 0.0)
+                    pred = z[-1] + b0 + (z[used] @ beta if used else 0.0)
                 out.append((int(step), m.dates[i], name, None if not np.isfinite(pred) else float(pred)))
             if m.complete(i):
                 gram = gram + np.outer(z, z)
@@ -153,7 +153,8 @@ def linear_forecasts(
         whole_row = whole_row & F.col(c).isNotNull()
     in_tuning = F.col("__row") < F.col("__rows") if tune_on == "newest" else F.col("step").isNull()
     base = base.withColumn("__fold", contiguous_fold(whole_row & in_tuning, FOLDS, keys, date))
-    z = [F.lit(1.0), target, *features]
+    base = off_level(base, [target, *features], keys)
+    z = [F.lit(1.0), target, *features, f"__level_{target}"]
     parts = cross_products(base, z, keys=keys, date=date, step="step", block="__fold")
     run = _forecasts(tuple(models), ridge_alpha, lasso_alpha, tuple(elastic_params), grid, tune_on)
     return solve_per_key(parts, keys, run, "step int, date date, model string, pred double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -19,11 +20,15 @@ from chronoloom.session import cut_lineage
 # Output names, and the value that stands for "missing" (trees split it off to one side).
 TREE_MODELS = {"rf": "rf", "gbt": "xgb"}
 MISSING = -1.0e15
-DEEPEST = 15  # stands for "no depth limit"
+DEEPEST = 30  # the library's own limit; stands for "no depth limit"
 
 
 def _depth(value) -> int:
-    return DEEPEST if value in (None, "None", "null") else min(int(value), 30)
+    if value in (None, "None", "null"):
+        return DEEPEST
+    if int(value) > DEEPEST:
+        raise ValueError(f"max_depth {value} is above the limit of {DEEPEST}")
+    return int(value)
 
 
 def _subset(value) -> str:
@@ -46,6 +51,8 @@ def _settings(kind: str, params: Mapping) -> dict:
             out["minInstancesPerNode"] = max(int(value) // 2, 1)
         elif key == "learning_rate":
             out["stepSize"] = float(value)
+        else:
+            raise ValueError(f"{key!r} is not a parameter of these trees")
     return out
 
 
@@ -55,12 +62,28 @@ def _regressor(kind: str, settings: Mapping, seed: int):
 
 
 def _assembled(df, target, features, horizon, keys, date) -> DataFrame:
+    """Rows with `__y`, `__scale` and the feature vector.
+
+    All keys share one fit, so a key's target and its continuous features are divided by their mean size before the first
+    origin: else the keys with the largest values would decide the loss. Whole-number features (calendar parts, counts)
+    mean the same for all keys and stay.
+    """
     base = with_step(df.select(*keys, date, F.col(target).cast("double").alias("__y"), *features), keys, horizon, date)
-    filled = {f"__f{i}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for i, c in enumerate(features)}
+    kinds = dict(base.dtypes)
+
+    def size(c: str):
+        mean = F.avg(F.when(F.col("step").isNull(), F.abs(F.col(c)))).over(whole(keys))
+        return F.when(mean > 0, mean).otherwise(F.lit(1.0))
+
+    def sized(c: str):
+        return F.col(c).cast("double") / size(c) if keys and kinds[c] in ("double", "float") else F.col(c).cast("double")
+
+    base = base.withColumn("__scale", size("__y") if keys else F.lit(1.0))
+    filled = {f"__f{i}": F.coalesce(sized(c), F.lit(MISSING)) for i, c in enumerate(features)}
     if keys:  # the key enters as its mean level before the first origin
         level = F.avg(F.when(F.col("step").isNull(), F.col("__y"))).over(whole(keys))
         filled["__level"] = F.coalesce(level, F.lit(MISSING))
-    base = base.withColumns(filled)
+    base = base.withColumns(filled).withColumn("__y", F.col("__y") / F.col("__scale"))
     return VectorAssembler(inputCols=list(filled), outputCol="features").transform(base)
 
 
@@ -75,7 +98,8 @@ def tree_forecasts(
     kind: str = "rf",
     params: Mapping | None = None,
     grid: Mapping[str, Sequence] | None = None,
-    refit: str = "once",
+    refit: str = "each",
+    parallelism: int = 4,
     seed: int = 42,
     folds: int = 3,
     tune_on: str = "newest",
@@ -83,34 +107,43 @@ def tree_forecasts(
 ) -> DataFrame:
     """Random forest (`rf`) or boosted trees (`gbt`). Rows with missing features are kept.
 
-    `refit="once"` trains on the rows before the first origin; `"each"` trains anew for every origin, `horizon` fits
-    in all. `grid` is searched once over contiguous folds.
+    `refit="each"` trains anew for every origin on all rows before it, `horizon` fits in all, `parallelism` of them at a
+    time; `"once"` trains on the rows before the first origin only. `grid` is searched once over contiguous folds; entries
+    that these trees don't have raise.
     """
+    if refit not in ("each", "once"):
+        raise ValueError(f"refit is 'each' or 'once', not {refit!r}")
     label = name or TREE_MODELS[kind]
     rows = _assembled(df, target, features, horizon, keys, date)
     if grid:
         member = F.col("__y").isNotNull() & (F.col("__row") < F.col("__rows") if tune_on == "newest" else F.col("step").isNull())
         rows = rows.withColumn("fold", contiguous_fold(member, folds, keys, date))
-    ids = [*keys, F.col(date).alias("date"), "step", "__row", "__rows", "__y", "features"] + (["fold"] if grid else [])
+    ids = [*keys, F.col(date).alias("date"), "step", "__row", "__rows", "__y", "__scale", "features"] + (["fold"] if grid else [])
     rows = cut_lineage(rows.select(*ids))
     settings = _settings(kind, params or {})
     if grid:
-        settings |= _search(rows.filter(F.col("fold").isNotNull()), kind, grid, settings, seed, folds)
+        settings |= _search(rows.filter(F.col("fold").isNotNull()), kind, grid, settings, seed, folds, parallelism)
     regressor = _regressor(kind, settings, seed)
     known = rows.filter(F.col("__y").isNotNull())
-    out = None
-    for at in [None] if refit == "once" else range(horizon):
+
+    def forecast(at: int | None) -> DataFrame:
         if at is None:
             train, test = known.filter(F.col("step").isNull()), rows.filter(F.col("step").isNotNull())
         else:
             train = known.filter(F.col("step").isNull() | (F.col("step") < at))
             test = rows.filter(F.col("step") == at)
-        part = regressor.fit(train).transform(test).select(*keys, "step", "date", F.lit(label).alias("model"), "pred")
-        out = part if out is None else out.unionByName(part)
+        made = regressor.copy().fit(train).transform(test)
+        return made.select(*keys, "step", "date", F.lit(label).alias("model"), (F.col("pred") * F.col("__scale")).alias("pred"))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(forecast, [None] if refit == "once" else range(horizon)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def _search(rows: DataFrame, kind: str, grid: Mapping, settings: Mapping, seed: int, folds: int) -> dict:
+def _search(rows: DataFrame, kind: str, grid: Mapping, settings: Mapping, seed: int, folds: int, parallelism: int) -> dict:
     regressor = _regressor(kind, settings, seed)
     maps = []
     names = list(grid)
@@ -121,7 +154,7 @@ def _search(rows: DataFrame, kind: str, grid: Mapping, settings: Mapping, seed:
     evaluator = RegressionEvaluator(labelCol="__y", predictionCol="pred", metricName="mse")
     search = CrossValidator(
         estimator=regressor, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold",
-        parallelism=2,
+        parallelism=parallelism,
     )
     scores = search.fit(rows).avgMetrics
     best = maps[min(range(len(scores)), key=scores.__getitem__)]

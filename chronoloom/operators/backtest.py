@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.frame import by_time, whole, with_step
+from chronoloom.operators.frame import by_time, join_keys, whole, with_step
 
 
 def contiguous_fold(member: Column, folds: int, keys: Sequence[str] = (), date: str = "date") -> Column:
@@ -48,7 +48,7 @@ def undo_differences(
     `order` is a number or a column of `preds` that holds 0, 1 or 2 per row.
     """
     k = F.col(order) if isinstance(order, str) else F.lit(int(order))
-    joined = preds.join(truth.select(*keys, "step", "prev_level", "prev_diff"), [*keys, "step"])
+    joined = join_keys(preds, truth.select(*keys, "step", "prev_level", "prev_diff"), [*keys, "step"])
     level = (
         F.when(k == 0, F.col(pred))
         .when(k == 1, F.col(pred) + F.col("prev_level"))

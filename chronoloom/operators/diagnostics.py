@@ -14,7 +14,7 @@ from chronoloom.operators.timegrid import fill_calendar
 # Rows in one seasonal cycle of each bucket level.
 CYCLE = {"daily": 7, "weekly": 52, "monthly": 12}
 
-_WIDE = 16  # above this many columns, pairs are rows instead of aggregate columns
+PAIRS_AT_ONCE = 136  # pairs of columns in one aggregate
 
 
 def pair_correlation(a: Column, b: Column) -> Column:
@@ -28,23 +28,24 @@ def pair_correlation(a: Column, b: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, a, b, corr) for every ordered pair, using the rows where both values are present."""
+    """(keys, a, b, corr) for every ordered pair, using the rows where both values are present.
+
+    Pairs are aggregate columns, so a row is never multiplied; many columns take several aggregates over the data.
+    """
     cols = list(cols)
     data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
-    if len(cols) <= _WIDE:
-        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-        one = data.groupBy(*keys).agg(*[pair_correlation(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    out = None
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        some = pairs[at : at + PAIRS_AT_ONCE]
+        one = data.groupBy(*keys).agg(*[pair_correlation(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(some)])
         rows = []
-        for i, (a, b) in enumerate(pairs):
-            for x, y in {(a, b), (b, a)}:
+        for i, (a, b) in enumerate(some):
+            for x, y in sorted({(a, b), (b, a)}):
                 rows.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"p{i}").alias("corr")))
-        return one.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols])
-    left = data.select(*keys, cells.alias("cells")).select(*keys, "cells", F.explode("cells").alias("x"))
-    both = left.select(*keys, F.col("x"), F.explode("cells").alias("y"))
-    return both.groupBy(*keys, F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(
-        pair_correlation(F.col("x.v"), F.col("y.v")).alias("corr")
-    )
+        part = one.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def varying(corr: DataFrame) -> DataFrame:
@@ -91,10 +92,9 @@ def binned_counts(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), bins:
     )
 
 
-def scatter_data(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), points: int = 100, bins: int = 20):
-    """Raw points for a table of at most `points` rows, binned counts for a larger one."""
-    few = df.select(F.lit(1)).limit(points + 1).count() <= points
-    return df.select(*keys, x, y) if few else binned_counts(df, x, y, keys, bins)
+def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Raw points; `binned_counts` is the table for a series with too many of them to draw."""
+    return df.select(*keys, x, y)
 
 
 def autocorrelation(

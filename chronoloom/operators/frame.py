@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,16 +25,13 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hash partitions by the keys in the configured number, for work that is heavy per byte: adaptive execution would
-    merge such partitions by their small size. A later grouping or window on the keys needs no further shuffle."""
+def spread(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Hash partitions by the keys, by default as many as spark.sql.shuffle.partitions, for work that is heavy per byte:
+    adaptive execution would merge such partitions by their small size. A later grouping or window on the keys needs no
+    further shuffle."""
     if not keys:
         return df
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):  # cores are fixed; more tasks would only add start-up cost
-        parts = min(parts, 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, *keys)
+    return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
@@ -71,21 +68,32 @@ def row_at(df: DataFrame, keys: Sequence[str], back: int, date: str = "date") ->
 
 def zip_by_step(left: DataFrame, right: DataFrame, keys: Sequence[str], step: str = "step") -> DataFrame:
     """Two equally long tables side by side: an equi join on the keys and the step number."""
-    return left.join(right, [*keys, step])
+    return join_keys(left, right, [*keys, step])
 
 
-def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
-    """Null-safe equality of all keys of two aliased frames."""
+def join_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, which appear once. A NULL key is a key like any other, as in grouping and windows."""
+    theirs = {c: f"__right_{c}" for c in on}
+    renamed = right.withColumnsRenamed(theirs)
     cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return cond
+    for c in on:
+        cond = cond & left[c].eqNullSafe(renamed[theirs[c]])
+    return left.join(renamed, cond, how).drop(*theirs.values())
+
+
+def off_level(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """`cols` as doubles less their mean over the key, and `__level_<column>` with that mean (0 where nothing is known).
+
+    Sums of squares lose the digits that a common level takes up; regressions with an intercept don't need the level.
+    """
+    out = df.withColumns({f"__level_{c}": F.coalesce(F.avg(F.col(c).cast("double")).over(whole(keys)), F.lit(0.0)) for c in cols})
+    return out.withColumns({c: F.col(c).cast("double") - F.col(f"__level_{c}") for c in cols})
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-key table onto rows; without keys `right` is a single aggregate row, so broadcasting it is safe."""
     if keys:
-        return left.join(right, list(keys), how)
+        return join_keys(left, right, list(keys), how)
     return left.join(F.broadcast(right), how="cross")
 
 

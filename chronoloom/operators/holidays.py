@@ -44,6 +44,8 @@ def holiday_calendar(
     if not chosen:
         raise ValueError(f"no holiday rules for {country!r}; pass your own rules or holiday table")
     years = sorted({int(y) for y in years})
+    if not years:
+        raise ValueError("a holiday calendar needs at least one year")
     around = sorted({y + d for y in years for d in (-1, 0, 1)})  # an observed day may fall in the next year
     base = spark.createDataFrame(chosen, _RULE_SCHEMA).coalesce(1)
     base = base.withColumn("year", F.explode(F.array(*[F.lit(y) for y in around]))).filter("year >= since")
@@ -74,9 +76,17 @@ def holiday_calendar(
     return out
 
 
+def years_of(df: DataFrame, date: str = "date") -> list[int]:
+    """The years that the dates of `df` span: one aggregated row."""
+    low, high = df.agg(F.year(F.min(date)), F.year(F.max(date))).first()
+    return list(range(low, high + 1)) if low is not None else []
+
+
 def add_holidays(df: DataFrame, holidays: DataFrame, level: str, date: str = "date") -> DataFrame:
     """`holidays_fe`: 0/1 flag for daily series, count of distinct holiday dates in the bucket for weekly and monthly.
 
+    A date in a year before the first or after the last year of the calendar is not known to be free: it gets NULL.
+
     The holiday side is one row per calendar bucket of the listed years, so its size does not grow with the series
     and broadcasting it is safe.
     """
@@ -85,4 +95,8 @@ def add_holidays(df: DataFrame, holidays: DataFrame, level: str, date: str = "da
         marks = days.select(F.col("__day").alias(date), F.lit(1).alias("holidays_fe"))
     else:
         marks = days.groupBy(bucket("__day", level).alias(date)).agg(F.count(F.lit(1)).cast("int").alias("holidays_fe"))
-    return df.join(F.broadcast(marks), date, "left").withColumn("holidays_fe", F.coalesce("holidays_fe", F.lit(0)))
+    span = days.agg(F.year(F.min("__day")).alias("__low"), F.year(F.max("__day")).alias("__high"))
+    marked = df.join(F.broadcast(marks), date, "left").join(F.broadcast(span), how="cross")  # one row
+    known = F.year(date).between(F.col("__low"), F.col("__high"))
+    flag = F.coalesce("holidays_fe", F.when(known, F.lit(0)))
+    return marked.withColumn("holidays_fe", flag).drop("__low", "__high")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.columns import unit_root_p_value
-from chronoloom.operators.frame import by_time
+from chronoloom.operators.frame import by_time, off_level
 from chronoloom.operators.gram import (
     KeyMoments,
     centred,
@@ -104,6 +104,7 @@ def unit_root_test(
         top = fixed_lag
     else:
         top = default_test_lags(longest_series(base, keys)) if max_lag is None else max_lag
+    base = off_level(base, ["y"], keys)
     w = by_time(keys, date)
     base = base.withColumns(
         {"__d": F.col("y") - F.lag("y", 1).over(w), "__y1": F.lag("y", 1).over(w), "__rn": F.row_number().over(w) - 2}
@@ -189,7 +190,7 @@ def lag_order_scores(
 ) -> DataFrame:
     """(keys, lags, score, nobs) for every workable autoregressive order. Order p uses all rows after the p-th."""
     w = by_time(keys, date)
-    base = df.select(*keys, date, F.col(var).cast("double").alias("y")).dropna(subset=["y"])
+    base = off_level(df.select(*keys, date, F.col(var).cast("double").alias("y")).dropna(subset=["y"]), ["y"], keys)
     lags = {f"__l{i}": F.lag("y", i).over(w) for i in range(1, max_lags + 1)}
     base = base.withColumns({**lags, "__rn": F.row_number().over(w) - 1})
     step = F.when(F.col("__rn") < max_lags, F.col("__rn").cast("int"))

@@ -13,7 +13,7 @@ DATE_PARTS = {"daily": ("Year", "Month", "Day"), "weekly": ("Year", "Week"), "mo
 
 
 def report_tables(result: RunResult, spec: RunSpec, max_lag: int = 20) -> dict[str, DataFrame]:
-    """Lazy tables by name; nothing runs until one of them is used (scatter data counts up to 101 rows)."""
+    """Lazy tables by name; nothing runs until one of them is used."""
     keys, m, var = list(spec.prepare.keys), result.matrix, result.variable
     level, rep, feat = spec.prepare.aggr_time_level, spec.report, spec.features
     out: dict[str, DataFrame] = {}
@@ -32,7 +32,8 @@ def report_tables(result: RunResult, spec: RunSpec, max_lag: int = 20) -> dict[s
     out["autocorrelation"] = diagnostics.autocorrelation(m, var, max_lag, keys)
     out["partial_autocorrelation"] = diagnostics.partial_autocorrelation(m, var, max_lag, keys)
     for x, y in rep.vars_to_plot_scatter:
-        out[f"scatter_{x}_{y}"] = diagnostics.scatter_data(m, x, y, keys)
+        out[f"scatter_{x}_{y}"] = diagnostics.scatter_points(m, x, y, keys)
+        out[f"binned_{x}_{y}"] = diagnostics.binned_counts(m, x, y, keys)
     if "difference" in m.columns:
         out["difference_evolution"] = diagnostics.difference_evolution(m, keys)
     out["metric_bars"] = metrics.metric_rows(result.metrics.select(*keys, "model", *metrics.METRICS), keys)

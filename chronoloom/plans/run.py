@@ -24,8 +24,8 @@ from chronoloom.models.trees import tree_forecasts
 from chronoloom.operators import ensemble, metrics
 from chronoloom.operators.backtest import actuals, undo_differences
 from chronoloom.operators.features import add_calendar_parts, add_trailing, feature_columns
-from chronoloom.operators.frame import attach
-from chronoloom.operators.holidays import add_holidays, holiday_calendar
+from chronoloom.operators.frame import attach, join_keys
+from chronoloom.operators.holidays import add_holidays, holiday_calendar, years_of
 from chronoloom.operators.missing import repair
 from chronoloom.operators.scaling import apply_scaler, fit_scaler, invert_scaler
 from chronoloom.operators.stationarity import (
@@ -69,6 +69,7 @@ class RunResult:
     summary: DataFrame
     variable: str
     models: dict = field(default_factory=dict)
+    notes: list = field(default_factory=list)  # settings of the specification that this engine can't follow
 
 
 def extract(spark: SparkSession, spec: RunSpec, root: str = "") -> DataFrame:
@@ -106,15 +107,16 @@ def prepare_series(df: DataFrame, spec: RunSpec) -> DataFrame:
     means, sums = list(pre.mean_columns), list(pre.sum_columns)
     if spec.mode == "ts_only":
         means = [] if sums else means
+    # Without bucketing, dates are still cut to days and a day may hold several rows: one row per key and day goes on,
+    # so that the windows below stay bounded by the calendar; days without rows stay away.
     series = bucket_aggregate(
-        df, ts=ts, level=pre.aggr_time_level if pre.aggr_time else None, keys=keys, means=means, sums=sums,
+        df, ts=ts, level=pre.aggr_time_level if pre.aggr_time else "daily", keys=keys, means=means, sums=sums,
         firsts=pre.unique_columns if keys else (),
     )
-    if not pre.aggr_time:
-        series = series.withColumn("date", F.to_date("date"))
     if pre.cut_extremes:
         series = cut_extremes(series, keys)
-    series = fill_calendar(series, level=pre.aggr_time_level, keys=keys)
+    if pre.aggr_time:
+        series = fill_calendar(series, level=pre.aggr_time_level, keys=keys)
     series = repair(series, pre.deal_na, keys=keys, value=pre.substitute_na_value)
     series = divide_columns(series, pre.columns_to_divide_by_time, pre.number_to_divide_by_time)
     if spec.mode != "ts_only":
@@ -211,6 +213,20 @@ def build_matrix(
     )
 
 
+def svr_grid(asked: dict) -> tuple[dict, list[str]]:
+    """The support-vector grid to search, and what was asked for and can't be: other kernels, other entries.
+
+    A grid without any kernel that can be searched raises.
+    """
+    grid = {**SVR_GRID, **{k: list(v) for k, v in asked.items() if k in SVR_GRID}}
+    notes = [f"svr: grid entry {k!r} is not searched" for k in asked if k not in SVR_GRID]
+    notes += [f"svr: kernel {k!r} has no random-feature form and is not searched" for k in grid["kernel"] if k not in ("poly", "rbf")]
+    grid["kernel"] = [k for k in grid["kernel"] if k in ("poly", "rbf")]
+    if not grid["kernel"]:
+        raise ValueError("svr: none of the kernels of the grid can be searched")
+    return grid, notes
+
+
 def tabular_forecasts(matrix: DataFrame, variable: str, features: list[str], keys: list[str], m: ModelSpec) -> DataFrame:
     common = dict(target=variable, features=features, horizon=m.horizon, keys=keys)
     grid = m.elastic.grid if m.elastic.optimize else None
@@ -233,8 +249,7 @@ def tabular_forecasts(matrix: DataFrame, variable: str, features: list[str], key
             )
     if "svr" not in m.skip:
         if m.svr.optimize:
-            grid = {**SVR_GRID, **{k: v for k, v in m.svr.grid.items() if k in SVR_GRID}}
-            grid["kernel"] = [k for k in grid["kernel"] if k in ("poly", "rbf")] or ["rbf"]
+            grid, _ = svr_grid(m.svr.grid)
             best = cut_lineage(svr_search(matrix, grid=grid, tune_on=m.tune_on, **common))
             parts.append(svr_forecasts(matrix, params=best, **common))
         else:
@@ -294,8 +309,9 @@ def _additive(matrix, m: ModelSpec, tuned, holidays, exogenous, name, common) ->
         )
     keys = common["keys"]
     candidates = params_grid(tuned.grid, additive_params(tuned))
+    own = (m.additive_exo_initial_days, m.additive_exo_horizon_days) if exogenous else (m.additive_initial_days, m.additive_horizon_days)
     scores = additive_search(
-        matrix, candidates, initial_days=m.additive_initial_days, horizon_days=m.additive_horizon_days,
+        matrix, candidates, initial_days=own[0], horizon_days=own[1],
         holidays=holidays, exogenous=exogenous, **common,
     )
     best = cut_lineage(best_additive(scores, keys))
@@ -330,13 +346,14 @@ def run(
 ) -> RunResult:
     """Runs the specification on `source` (default: the table it names) and optionally writes the result tables."""
     keys, target, m = list(spec.prepare.keys), spec.extract.prediction_column, spec.model
+    notes = svr_grid(m.svr.grid)[1] if m.svr.optimize and "svr" not in m.skip else []
     raw = clean(source, spec) if source is not None else extract(spark, spec, root)
     series = cut_lineage(prepare_series(raw, spec))
     max_test_lag = default_test_lags(longest_series(series, keys))
     levels, orders, variable = choose_work(series, spec, max_test_lag)
     scaled, stats = scale(levels, spec, variable)
     if holidays is None and spec.features.add_holidays:
-        holidays = holiday_calendar(spark, spec.features.country, spec.features.years_list)
+        holidays = holiday_calendar(spark, spec.features.country, [*spec.features.years_list, *years_of(series)])
     matrix, lag_orders, longest = build_matrix(scaled, spec, variable, holidays)
     matrix = cut_lineage(matrix.drop("diff_order"))
 
@@ -368,7 +385,7 @@ def run(
         "tabular": [x for x in TABULAR_MODELS if x not in m.skip],
         "baseline": list(BASELINES),
     }
-    every = _union([modelled, base]).join(truth.select(*keys, "step", "y"), [*keys, "step"])
+    every = join_keys(_union([modelled, base]), truth.select(*keys, "step", "y"), [*keys, "step"])
     columns = [*keys, "step", "date", "family", "model", "ord", "pred", "y"]
     single = cut_lineage(ensemble.label(every, families).select(*columns))
     combined = single.unionByName(ensemble.family_averages(single, keys).select(*columns))
@@ -380,7 +397,7 @@ def run(
         exclude_families=(ensemble.ENSEMBLE,) if s.exclude_bagging_models else (),
     )
     table, best = score(combined, selection, s.min_steps, keys)
-    result = RunResult(series, orders, lag_orders, matrix, combined, selection, table, best, variable, families)
+    result = RunResult(series, orders, lag_orders, matrix, combined, selection, table, best, variable, families, notes)
     if out:
         save(result, spec, out)
     return result

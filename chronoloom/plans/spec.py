@@ -100,12 +100,14 @@ class ModelSpec:
     additive_exo: TunedModel = TunedModel()
     additive_initial_days: int = 0
     additive_horizon_days: int = 0
+    additive_exo_initial_days: int = 0
+    additive_exo_horizon_days: int = 0
     xgb: TunedModel = TunedModel({"n_estimators": 50, "max_depth": 5, "learning_rate": 0.1, "colsample_bytree": 0.8})
     rf: TunedModel = TunedModel({"n_estimators": 50, "max_depth": 10, "max_features": "sqrt", "min_samples_split": 2})
     svr: TunedModel = TunedModel({"C": 1.0, "epsilon": 0.1, "kernel": "rbf"})
     elastic: TunedModel = TunedModel({"alpha": 1.0, "l1_ratio": 0.5})
     knn: TunedModel = TunedModel({"n_neighbors": 5, "weights": "uniform", "p": 2})
-    tree_refit: str = "once"
+    tree_refit: str = "each"
     tune_on: str = "newest"
     skip: tuple[str, ...] = ()
 
@@ -162,6 +164,18 @@ def _tuned(section: Mapping | None, prefix: str, default: TunedModel = TunedMode
     )
 
 
+def _with_cap(tuned: TunedModel, cap) -> TunedModel:
+    return tuned if cap is None else TunedModel({**tuned.params, "cap": float(cap)}, tuned.grid, tuned.optimize)
+
+
+def _own_days(section: Mapping, other: Mapping, what: str) -> int:
+    """Days of the model with exogenous columns: its own entry, under either name, else the plain model's."""
+    for value in (section.get(f"prophet_ex_{what}"), section.get(f"prophet_{what}"), other.get(f"prophet_{what}")):
+        if value is not None:
+            return int(value)
+    return 0
+
+
 def spec_from_dict(raw: Mapping) -> RunSpec:
     """Accepts the nested configuration layout with its original section and entry names."""
     pre = raw.get("preprocessing") or {}
@@ -170,13 +184,12 @@ def spec_from_dict(raw: Mapping) -> RunSpec:
     add = model.get("prophet") or {}
     defaults = ModelSpec()
     additive = _tuned(add, "prophet")
-    exo = _tuned(model.get("prophet_ex"), "prophet_ex")
-    cap = add.get("cap")
-    if cap is not None:
-        additive = TunedModel({**additive.params, "cap": float(cap)}, additive.grid, additive.optimize)
+    add_ex = model.get("prophet_ex") or {}
+    exo = _with_cap(_tuned(add_ex, "prophet_ex"), add_ex.get("cap", add.get("cap")))
+    additive = _with_cap(additive, add.get("cap"))
     return RunSpec(
         mode=raw.get("type_analysis") or "ts_only",
-        extract=_plain(ExtractSpec, raw.get("data_extraction") or {}),
+        extract=_plain(ExtractSpec, {"path": (raw.get("data_extraction") or {}).get("s3_route"), **(raw.get("data_extraction") or {})}),
         prepare=_plain(
             PrepareSpec, pre, keys=tuple(keys), unique_columns=_tuple(pre.get("unique_columns") or pre.get("unique")),
             number_to_divide_by_time=float(pre.get("number_to_divide_by_time") or 1),
@@ -202,6 +215,8 @@ def spec_from_dict(raw: Mapping) -> RunSpec:
             additive_exo=exo,
             additive_initial_days=int(add.get("prophet_initial") or 0),
             additive_horizon_days=int(add.get("prophet_horizon") or 0),
+            additive_exo_initial_days=_own_days(add_ex, add, "initial"),
+            additive_exo_horizon_days=_own_days(add_ex, add, "horizon"),
             xgb=_tuned(model.get("xgb"), "xgb", defaults.xgb),
             rf=_tuned(model.get("rf"), "rf", defaults.rf),
             svr=_tuned(model.get("svr"), "svr", defaults.svr),

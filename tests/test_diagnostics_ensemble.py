@@ -125,11 +125,11 @@ def test_report_columns():
         "y", "x", "mean_y_1_3", "median_y_1_3", "holidays_fe", "Year"]
 
 
-def test_scatter_switches_to_bins(spark):
+def test_points_and_bins(spark):
     df = spark.createDataFrame([(float(i), float(i % 10)) for i in range(150)], "x double, y double")
-    binned = diagnostics.scatter_data(df, "x", "y", bins=5)
+    binned = diagnostics.binned_counts(df, "x", "y", bins=5)
     assert binned.agg(F.sum("rows"), F.max("bin_x"), F.min("bin_y")).first() == (150, 4, 0)
-    assert diagnostics.scatter_data(df.limit(20), "x", "y").columns == ["x", "y"]
+    assert diagnostics.scatter_points(df, "x", "y").count() == 150
 
 
 def test_decomposition_reassembles_the_series(series):

@@ -90,7 +90,6 @@ def test_a_hot_key_sends_few_cells(spark, raw):
 
 
 def test_lineage_cut_is_a_reliable_checkpoint(spark, raw):
-    ensure_checkpoint_dir(spark)
     cut = cut_lineage(series_of(raw))
     text = cut._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" in text and "FileScan" not in text
