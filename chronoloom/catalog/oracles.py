@@ -907,3 +907,10 @@ ORACLES |= {
     "unbucketed_events": f"""SELECT event_type, CAST(ts AS DATE) AS date, {rd('AVG(value)')} AS value FROM events
         GROUP BY event_type, CAST(ts AS DATE)""",
 }
+
+# Facts of fitted models that SQL cannot state: a forecast for each of the newest H rows that have one before them.
+ORACLES |= {
+    f"{name}_facts": f"""WITH {complete()} SELECT priority, '{model}' AS model, LEAST({H}, ANY_VALUE(n) - 1) AS forecasts,
+        CAST(0 AS BIGINT) AS missing, TRUE AS inside FROM placed GROUP BY priority"""
+    for name, model in (("random_forest", "rf"), ("boosted_trees", "xgb"), ("support_vector", "svr"))
+}

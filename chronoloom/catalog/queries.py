@@ -919,6 +919,30 @@ def whole_run(spark, sf):
     return run(spark, spec, source=rows).metrics.drop("ord")
 
 
+def _facts(forecasts: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold for any fit: a forecast per origin, none missing, none outside the range of the values seen."""
+    seen = complete(spark, sf).groupBy(*KEY).agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    width = F.col("high") - F.col("low")
+    inside = F.col("pred").between(F.col("low") - width, F.col("high") + width)
+    return forecasts.join(seen, KEY).groupBy(*KEY, "model").agg(
+        F.count(F.lit(1)).alias("forecasts"), F.count_if(F.col("pred").isNull()).alias("missing"), F.bool_and(inside).alias("inside"))
+
+
+@query
+def random_forest_facts(spark, sf):
+    return _facts(random_forest(spark, sf), spark, sf)
+
+
+@query
+def boosted_trees_facts(spark, sf):
+    return _facts(boosted_trees(spark, sf), spark, sf)
+
+
+@query
+def support_vector_facts(spark, sf):
+    return _facts(support_vector(spark, sf), spark, sf)
+
+
 # --- one series without keys ----------------------------------------------------------------------------------------
 
 
