@@ -1,8 +1,8 @@
 """Exponential smoothing as an ordered scan.
 
-Rows arrive sorted by key and time inside each partition and stream through in Arrow batches. What is kept is one
-recursion state per parameter grid point of the *current* key, so memory does not depend on the series length and
-every origin gets its forecast and its best grid point from the same pass.
+Rows arrive sorted by key and time inside each partition. A task gathers some hundred series and steps through time once,
+with arrays of (series, parameter grid point); every origin gets its forecast and its best grid point from that pass. A
+series is bounded by the calendar, so what a task holds is too.
 """
 
 from __future__ import annotations
@@ -26,150 +26,196 @@ SEASONS = ("add", "mul")
 PERIODS = (4, 7, 15, 30)
 
 
-class HoltState:
-    """Linear trend over a grid of (level, trend) weights, with the running sum of squared errors of each."""
+class HoltPanel:
+    """Linear trends of many series over a grid of (level, trend) weights, with the running sum of squared errors of each.
 
-    def __init__(self, alphas: Sequence[float], betas: Sequence[float]):
+    Arrays are (series, grid point); one call moves every series that has a value by one step.
+    """
+
+    def __init__(self, series: int, alphas: Sequence[float], betas: Sequence[float]):
         grid = np.array(list(product(alphas, betas)))
         self.a, self.b = grid[:, 0], grid[:, 1]
-        self.sse = np.zeros(len(grid))
-        self.first: float | None = None
-        self.level = None
-        self.trend = None
-
-    def forecast(self) -> float:
-        if self.level is None:
-            return np.nan if self.first is None else self.first
-        return float((self.level + self.trend)[int(np.argmin(self.sse))])
-
-    def update(self, y: float) -> None:
-        if self.level is None:
-            if self.first is None:
-                self.first = y
-                return
-            self.level = np.full(len(self.a), y)
-            self.trend = np.full(len(self.a), y - self.first)
-            return
-        ahead = self.level + self.trend
-        self.sse += (y - ahead) ** 2
-        level = self.a * y + (1 - self.a) * ahead
-        self.trend = self.b * (level - self.level) + (1 - self.b) * self.trend
-        self.level = level
-
-
-class SeasonalState:
-    """One (trend, season, period) candidate over a grid of three weights; starts after two full cycles."""
-
-    def __init__(self, trend: str, season: str, period: int, weights: Sequence[float]):
+        self.sse = np.zeros((series, len(grid)))
+        self.level, self.trend = np.full_like(self.sse, np.nan), np.full_like(self.sse, np.nan)
+        self.first = np.full(series, np.nan)
+        self.begun = np.zeros(series, bool)
+
+    def forecasts(self) -> np.ndarray:
+        best = np.argmin(self.sse, axis=1)
+        ahead = np.take_along_axis(self.level + self.trend, best[:, None], axis=1)[:, 0]
+        return np.where(self.begun, ahead, self.first)
+
+    def updates(self, y: np.ndarray) -> None:
+        known = np.isfinite(y)
+        go = np.flatnonzero(known & self.begun)
+        start = np.flatnonzero(known & ~self.begun & np.isfinite(self.first))
+        fresh = np.flatnonzero(known & ~self.begun & ~np.isfinite(self.first))
+        if go.size:
+            v = y[go, None]
+            ahead = self.level[go] + self.trend[go]
+            self.sse[go] += (v - ahead) ** 2
+            level = self.a * v + (1 - self.a) * ahead
+            self.trend[go] = self.b * (level - self.level[go]) + (1 - self.b) * self.trend[go]
+            self.level[go] = level
+        self.level[start], self.trend[start] = y[start, None], (y - self.first)[start, None]
+        self.begun[start] = True
+        self.first[fresh] = y[fresh]
+
+
+class SeasonalPanel:
+    """One (trend, season, period) candidate for many series over a grid of three weights; starts after two full cycles."""
+
+    def __init__(self, series: int, trend: str, season: str, period: int, weights: Sequence[float]):
         grid = np.array(list(product(weights, repeat=3)))
         self.a, self.b, self.g = grid.T
         self.trend_kind, self.season_kind, self.m = trend, season, period
-        self.seen: list[float] = []
-        self.sse = np.zeros(len(grid))
-        self.n = 0
-        self.dead = False
-        self.level = None
-
-    def _ahead(self):
-        base = self.level + self.trend if self.trend_kind == "add" else self.level * self.trend
-        s = self.season[:, self.n % self.m]
-        return base, (base + s if self.season_kind == "add" else base * s)
-
-    def criterion(self) -> float:
+        self.seen, self.filled = np.full((series, 2 * period), np.nan), np.zeros(series, int)
+        self.sse = np.zeros((series, len(grid)))
+        self.level, self.trend = np.full_like(self.sse, np.nan), np.full_like(self.sse, np.nan)
+        self.season = np.full((series, len(grid), period), np.nan)
+        self.n = np.zeros(series, int)
+        self.dead, self.begun = np.zeros(series, bool), np.zeros(series, bool)
+
+    def _ahead(self, at: np.ndarray):
+        base = self.level[at] + self.trend[at] if self.trend_kind == "add" else self.level[at] * self.trend[at]
+        s = self.season[at, :, self.n[at] % self.m]
+        return base, s, (base + s if self.season_kind == "add" else base * s)
+
+    def criteria(self) -> np.ndarray:
         """n ln(SSE/n) + 2k with the three weights, two starting states and the period's seasonal states."""
-        if self.dead or self.level is None or self.n == 0:
-            return np.inf
-        sse = float(self.sse.min())
-        if not np.isfinite(sse):
-            return np.inf
-        return self.n * np.log(max(sse, 1e-300) / self.n) + 2 * (5 + self.m)
-
-    def forecast(self) -> float:
-        if self.dead or self.level is None:
-            return np.nan
-        return float(self._ahead()[1][int(np.argmin(self.sse))])
-
-    def update(self, y: float) -> None:
-        if self.dead:
-            return
-        if y <= 0 and "mul" in (self.trend_kind, self.season_kind):
-            self.dead = True
-            return
-        if self.level is None:
-            self.seen.append(y)
-            if len(self.seen) == 2 * self.m:
-                self._start()
-            return
-        self._step(y)
-
-    def _start(self) -> None:
-        first, second = np.mean(self.seen[: self.m]), np.mean(self.seen[self.m :])
-        size = len(self.a)
-        if self.trend_kind == "add":
-            slope = (second - first) / self.m
-        else:
-            slope = (second / first) ** (1.0 / self.m)
-        self.level, self.trend = np.full(size, first), np.full(size, slope)
-        cycle = np.array(self.seen[: self.m])
-        cycle = cycle - first if self.season_kind == "add" else cycle / first
-        self.season = np.tile(cycle, (size, 1))
-        history, self.seen = self.seen, []
-        for y in history:
-            self._step(y)
-
-    def _step(self, y: float) -> None:
-        base, ahead = self._ahead()
-        i = self.n % self.m
-        s = self.season[:, i]
-        self.sse += (y - ahead) ** 2
+        sse, n = self.sse.min(axis=1), np.maximum(self.n, 1)
+        score = n * np.log(np.maximum(sse, 1e-300) / n) + 2 * (5 + self.m)
+        return np.where(self.dead | ~self.begun | (self.n == 0) | ~np.isfinite(sse), np.inf, score)
+
+    def forecasts(self) -> np.ndarray:
+        out = np.full(len(self.n), np.nan)
+        at = np.flatnonzero(self.begun & ~self.dead)
+        if at.size:
+            best = np.argmin(self.sse[at], axis=1)
+            out[at] = np.take_along_axis(self._ahead(at)[2], best[:, None], axis=1)[:, 0]
+        return out
+
+    def updates(self, y: np.ndarray) -> None:
+        known = np.isfinite(y) & ~self.dead
+        if "mul" in (self.trend_kind, self.season_kind):
+            self.dead |= known & (y <= 0)
+            known &= ~self.dead
+        go = np.flatnonzero(known & self.begun)
+        wait = np.flatnonzero(known & ~self.begun)
+        if go.size:
+            self._step(go, y[go])
+        self.seen[wait, self.filled[wait]] = y[wait]
+        self.filled[wait] += 1
+        ready = wait[self.filled[wait] == 2 * self.m]
+        if ready.size:
+            self._start(ready)
+
+    def _start(self, at: np.ndarray) -> None:
+        history = self.seen[at]
+        first, second = history[:, : self.m].mean(axis=1), history[:, self.m :].mean(axis=1)
+        slope = (second - first) / self.m if self.trend_kind == "add" else (second / first) ** (1.0 / self.m)
+        self.level[at], self.trend[at] = first[:, None], slope[:, None]
+        cycle = history[:, : self.m]
+        cycle = cycle - first[:, None] if self.season_kind == "add" else cycle / first[:, None]
+        self.season[at] = cycle[:, None, :]
+        self.begun[at] = True
+        for k in range(2 * self.m):
+            self._step(at, history[:, k])
+
+    def _step(self, at: np.ndarray, values: np.ndarray) -> None:
+        y = values[:, None]
+        base, s, ahead = self._ahead(at)
+        sse = self.sse[at] + (y - ahead) ** 2
         bare = y - s if self.season_kind == "add" else y / s
         level = self.a * bare + (1 - self.a) * base
-        grown = level - self.level if self.trend_kind == "add" else level / self.level
-        self.trend = self.b * grown + (1 - self.b) * self.trend
-        if self.season_kind == "add":
-            self.season[:, i] = self.g * (y - base) + (1 - self.g) * s
-        else:
-            self.season[:, i] = self.g * (y / base) + (1 - self.g) * s
-        self.level = level
-        self.n += 1
-        if self.n % 16 == 0:  # a grid point that has blown up can never win
-            bad = ~np.isfinite(self.sse) | ~np.isfinite(self.level)
-            self.sse[bad] = np.inf
+        grown = level - self.level[at] if self.trend_kind == "add" else level / self.level[at]
+        self.trend[at] = self.b * grown + (1 - self.b) * self.trend[at]
+        moved = y - base if self.season_kind == "add" else y / base
+        self.season[at, :, self.n[at] % self.m] = self.g * moved + (1 - self.g) * s
+        self.level[at] = level
+        self.n[at] += 1
+        check = self.n[at] % 16 == 0  # a grid point that has blown up can never win
+        sse[check[:, None] & (~np.isfinite(sse) | ~np.isfinite(level))] = np.inf
+        self.sse[at] = sse
 
 
 class SeasonalPool:
-    """All seasonal candidates of one key; the lowest criterion gives the forecast, earlier candidates win ties."""
+    """All seasonal candidates; for every series the lowest criterion gives the forecast, earlier candidates win ties."""
 
-    def __init__(self, trends, seasons, periods, weights):
-        self.parts = [SeasonalState(t, s, m, weights) for t in trends for s in seasons for m in periods]
+    def __init__(self, series: int, trends, seasons, periods, weights):
+        self.parts = [SeasonalPanel(series, t, s, m, weights) for t in trends for s in seasons for m in periods]
 
-    def forecast(self) -> float:
-        scores = [p.criterion() for p in self.parts]
-        best = int(np.argmin(scores))
-        return self.parts[best].forecast() if np.isfinite(scores[best]) else np.nan
+    def forecasts(self) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            scores = np.stack([p.criteria() for p in self.parts])
+            values = np.stack([p.forecasts() for p in self.parts])
+        best = np.argmin(scores, axis=0)
+        some = np.arange(values.shape[1])
+        return np.where(np.isfinite(scores[best, some]), values[best, some], np.nan)
 
-    def update(self, y: float) -> None:
+    def updates(self, y: np.ndarray) -> None:
         with np.errstate(all="ignore"):
             for p in self.parts:
-                p.update(y)
-
-
-def _scan(keys: list[str], make: Callable[[], object], name: str):
+                p.updates(y)
+
+
+SERIES_AT_ONCE = 256
+ROWS_AT_ONCE = 200_000
+
+
+def _panel(rows: pd.DataFrame, keys: list[str], make: Callable[[int], object], name: str) -> pd.DataFrame:
+    """Forecasts of whole series, moved through time side by side."""
+    changed = np.zeros(len(rows), bool)
+    changed[0] = True
+    for k in keys:
+        values = rows[k]
+        same = (values == values.shift()) | (values.isna() & values.shift().isna())
+        changed |= ~same.to_numpy(dtype=bool)
+    changed[0] = True
+    series = np.cumsum(changed) - 1
+    begin = np.flatnonzero(changed)
+    place = np.arange(len(rows)) - begin[series]
+    count, length = len(begin), int(place.max()) + 1
+    y = np.full((count, length), np.nan)
+    y[series, place] = rows["y"].to_numpy(dtype=float)
+    asked = np.zeros((count, length), bool)
+    step = rows["step"].to_numpy()
+    asked[series, place] = step >= 0
+    found = np.full((count, length), np.nan)
+    state = make(count)
+    for t in range(length):
+        if asked[:, t].any():
+            found[:, t] = state.forecasts()
+        state.updates(y[:, t])
+    out = rows.loc[step >= 0, [*keys, "step", "date"]].copy()
+    out["model"] = name
+    pred = found[series, place][step >= 0]
+    out["pred"] = np.where(np.isfinite(pred), pred, np.nan)
+    return out
+
+
+def _scan(keys: list[str], make: Callable[[int], object], name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        """Gathers whole series (at most about SERIES_AT_ONCE of them or ROWS_AT_ONCE rows) and moves them together."""
+        held: list[pd.DataFrame] = []
+        rows = ends = 0
         for pdf in batches:
-            out = []
-            labels = list(zip(*[pdf[k] for k in keys])) if keys else [()] * len(pdf)
-            steps, ys, dates = pdf["step"].to_numpy(), pdf["y"].to_numpy(dtype=float), pdf["date"]
-            for i, label in enumerate(labels):
-                if state is None or label != current:
-                    current, state = label, make()
-                if steps[i] >= 0:
-                    pred = state.forecast()
-                    out.append((*label, int(steps[i]), dates.iloc[i], name, pred if np.isfinite(pred) else None))
-                if np.isfinite(ys[i]):
-                    state.update(ys[i])
-            yield pd.DataFrame(out, columns=[*keys, "step", "date", "model", "pred"])
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            rows += len(pdf)
+            ends += int((pdf["last"]).sum())
+            if ends >= SERIES_AT_ONCE or rows >= ROWS_AT_ONCE:
+                whole = pd.concat(held, ignore_index=True)
+                cut = np.flatnonzero(whole["last"].to_numpy())
+                if not len(cut):
+                    continue  # one series that goes on
+                yield _panel(whole.iloc[: cut[-1] + 1].reset_index(drop=True), keys, make, name)
+                held = [whole.iloc[cut[-1] + 1 :]]
+                rows, ends = len(held[0]), 0
+        left = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+        if len(left):
+            yield _panel(left, keys, make, name)
 
     return run
 
@@ -179,18 +225,20 @@ def ordered_scan(
     *,
     target: str,
     horizon: int,
-    make: Callable[[], object],
+    make: Callable[[int], object],
     name: str,
     keys: Sequence[str] = (),
     date: str = "date",
 ) -> DataFrame:
-    """Streams every key's rows in time order through a state from `make()`; forecasts are taken before each of the
+    """Moves many series at a time through a state from `make(number of series)`; forecasts are taken before each of the
     newest `horizon` rows updates it."""
     keys = list(keys)
     base = spread(df.select(*keys, date, F.col(target).cast("double").alias("y")), keys)
     base = with_step(base, keys, horizon, date)
     # Window output is already sorted by (keys, date) within partitions; state it, the planner drops the extra sort.
-    rows = base.select(*keys, F.col(date).alias("date"), "y", F.coalesce("step", F.lit(-1)).alias("step"))
+    rows = base.select(
+        *keys, F.col(date).alias("date"), "y", F.coalesce("step", F.lit(-1)).alias("step"),
+        (F.col("__row") == F.col("__rows")).alias("last"))
     rows = rows.sortWithinPartitions(*keys, "date")
     schema = T.StructType(
         [df.schema[k] for k in keys]
@@ -217,7 +265,7 @@ def holt_forecasts(
 ) -> DataFrame:
     """Linear trend; weights are those with the lowest one-step squared error so far, chosen anew at every origin."""
     return ordered_scan(
-        df, target=target, horizon=horizon, make=lambda: HoltState(alphas, betas), name=name, keys=keys, date=date
+        df, target=target, horizon=horizon, make=lambda series: HoltPanel(series, alphas, betas), name=name, keys=keys, date=date
     )
 
 
@@ -238,7 +286,7 @@ def seasonal_forecasts(
 
     Candidates that cannot be fitted (too short, or non-positive values with a multiplicative part) are skipped.
     """
-    def make() -> SeasonalPool:
-        return SeasonalPool(trends, seasons, periods, weights)
+    def make(series: int) -> SeasonalPool:
+        return SeasonalPool(series, trends, seasons, periods, weights)
 
     return ordered_scan(df, target=target, horizon=horizon, make=make, name=name, keys=keys, date=date)

@@ -11,7 +11,7 @@ from chronoloom.models.baseline import baseline_forecasts
 from chronoloom.models.harmonic import harmonic_forecasts
 from chronoloom.models.knn import knn_forecasts, knn_search
 from chronoloom.models.linear import elastic_net, linear_forecasts
-from chronoloom.models.smoothing import HoltState, SeasonalState, holt_forecasts, seasonal_forecasts
+from chronoloom.models.smoothing import HoltPanel, SeasonalPanel, holt_forecasts, seasonal_forecasts
 from chronoloom.models.svr import svr_forecasts, svr_search
 from chronoloom.models.trees import tree_forecasts
 from chronoloom.operators.gram import cross_products, solve_per_key
@@ -227,21 +227,21 @@ def test_holt_scan_equals_a_plain_loop_whatever_the_batch_size(spark, series):
 
 
 def test_holt_states_before_there_is_a_trend():
-    s = HoltState((0.5,), (0.5,))
-    assert np.isnan(s.forecast())
-    s.update(4.0)
-    assert s.forecast() == 4.0
+    s = HoltPanel(2, (0.5,), (0.5,))
+    assert np.isnan(s.forecasts()).all()
+    s.updates(np.array([4.0, np.nan]))
+    assert s.forecasts()[0] == 4.0 and np.isnan(s.forecasts()[1])
 
 
 def test_seasonal_state_learns_a_clean_season():
     y = [10 + 0.5 * t + [3, -1, -4, 2][t % 4] for t in range(60)]
-    s = SeasonalState("add", "add", 4, (0.05, 0.4, 0.9))
-    for v in y[:-1]:
-        s.update(v)
-    assert s.forecast() == pytest.approx(y[-1], abs=0.3)
-    m = SeasonalState("mul", "mul", 4, (0.4,))
-    m.update(-1.0)
-    assert m.dead and np.isnan(m.forecast()) and m.criterion() == np.inf
+    s = SeasonalPanel(2, "add", "add", 4, (0.05, 0.4, 0.9))
+    for i, v in enumerate(y[:-1]):
+        s.updates(np.array([v, v if i >= 7 else np.nan]))
+    assert s.forecasts()[0] == pytest.approx(y[-1], abs=0.3) and s.n.tolist() == [59, 52]
+    m = SeasonalPanel(1, "mul", "mul", 4, (0.4,))
+    m.updates(np.array([-1.0]))
+    assert m.dead[0] and np.isnan(m.forecasts()[0]) and m.criteria()[0] == np.inf
 
 
 def test_seasonal_forecasts_beat_the_last_value(series):
