@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.operators.backtest import contiguous_fold
-from chronoloom.operators.frame import attach, by_time, whole, with_step
+from chronoloom.operators.frame import attach, by_time, join_keys, whole, with_step
 from chronoloom.operators.transforms import unbounded_before
 
 # The parameter search grid.
@@ -95,15 +95,21 @@ def knn_forecasts(
     )
 
 
-def _block_neighbours(keys: Sequence[str], powers: Sequence[int], most: int):
+def _block_neighbours(keys: int, powers: Sequence[int], most: int, names: Sequence[str]):
     """For one pair of row blocks: each left row's nearest right rows outside its own fold, per power."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                lx, rx = np.array([list(v) for v in row.lx]), np.array([list(v) for v in row.rx])
-                lf, rf, ry = np.asarray(row.lf), np.asarray(row.rf), np.asarray(row.ry)
+    def flat(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+        return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+    def rows(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+        values = batch.column(name)[i].values
+        return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lx, rx = rows(batch, "lx", i), rows(batch, "rx", i)
+                lf, rf, ry, rr = flat(batch, "lf", i), flat(batch, "rf", i), flat(batch, "ry", i), flat(batch, "rr", i)
                 barred = lf[:, None] == rf[None, :]
                 for power in powers:
                     gap = np.zeros(barred.shape)
@@ -113,12 +119,16 @@ def _block_neighbours(keys: Sequence[str], powers: Sequence[int], most: int):
                     gap = gap if power == 1 else np.sqrt(gap)
                     gap[barred] = np.inf
                     take = np.argsort(gap, axis=1, kind="stable")[:, :most]
-                    for i in range(len(lx)):
-                        chosen = [j for j in take[i] if np.isfinite(gap[i, j])]
-                        near = [{"d": float(gap[i, j]), "__row": int(row.rr[j]), "y": float(ry[j])} for j in chosen]
-                        key = [getattr(row, f"k{n}") for n in range(len(keys))]
-                        out.append((*key, power, int(row.lr[i]), int(lf[i]), float(row.ly[i]), near))
-            yield pd.DataFrame(out, columns=[*keys, "p", "__row", "fold", "y", "near"])
+                    near = np.take_along_axis(gap, take, axis=1)
+                    good = np.isfinite(near)
+                    cells = pa.StructArray.from_arrays(
+                        [pa.array(near[good]), pa.array(rr[take[good]].astype(np.int64)), pa.array(ry[take[good]].astype(float))], names=["d", "__row", "y"])
+                    ends = np.r_[0, np.cumsum(good.sum(axis=1))].astype(np.int32)
+                    same = pa.array(np.full(len(lx), i))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(f"k{n}").take(same) for n in range(keys)), pa.array(np.full(len(lx), power, np.int32)),
+                         pa.array(flat(batch, "lr", i).astype(np.int64)), pa.array(lf.astype(np.int32)), pa.array(flat(batch, "ly", i).astype(float)),
+                         pa.ListArray.from_arrays(pa.array(ends), cells)], names=list(names))
 
     return run
 
@@ -152,16 +162,17 @@ def knn_search(
     x = F.array(*[F.col(c).cast("double") for c in features])
     cell = F.struct("__row", F.col("__fold").alias("f"), F.col(target).cast("double").alias("y"), x.alias("x"))
     blocks = rows.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    blocks = blocks.withColumn("__last", F.max("__chunk").over(whole(keys)))
     named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]
     ids = [f"k{i}" for i in range(len(keys))]
 
-    def side(tag: str) -> DataFrame:
+    def side(tag: str, block: Column) -> DataFrame:
         cols = {"r": "__row", "f": "f", "y": "y", "x": "x"}
-        return blocks.select(*named, *[F.col(f"cells.{c}").alias(f"{tag}{n}") for n, c in cols.items()])
+        return blocks.select(*named, block.alias("block"), *[F.col(f"cells.{c}").alias(f"{tag}{n}") for n, c in cols.items()])
 
-    pairs = side("l").join(side("r"), ids) if ids else side("l").join(side("r"), how="cross")
-    # many more block pairs than blocks: spread them before the distance work
-    pairs = pairs.repartition(*ids, "lr") if ids else pairs.repartition("lr")
+    # a left block names the blocks it meets, so the two sides join on equal numbers and spread by them
+    left = side("l", F.explode(F.sequence(F.lit(0), F.col("__last"))))
+    pairs = join_keys(left, side("r", F.col("__chunk")), [*ids, "block"]).drop("block")
     near_type = T.ArrayType(
         T.StructType([T.StructField("d", T.DoubleType()), T.StructField("__row", T.LongType()), T.StructField("y", T.DoubleType())])
     )
@@ -175,7 +186,7 @@ def knn_search(
             T.StructField("near", near_type),
         ]
     )
-    found = pairs.mapInPandas(_block_neighbours(list(keys), list(grid["p"]), most), schema)
+    found = pairs.mapInArrow(_block_neighbours(len(keys), list(grid["p"]), most, schema.names), schema)
     merged = found.groupBy(*keys, "p", "__row", "fold", "y").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near")
     )

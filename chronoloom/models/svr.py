@@ -6,13 +6,15 @@ reweighted least squares, each one a cross-product aggregation whose weights are
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoloom.operators.backtest import contiguous_fold
 from chronoloom.operators.frame import attach, whole, with_step
@@ -23,34 +25,44 @@ from chronoloom.session import cut_lineage
 SVR_GRID = {"kernel": ["poly", "rbf"], "C": [0.1, 1.0, 10.0], "epsilon": [0.01, 1.0]}
 
 
-def kernel_array(x: Column, p: int, kernel: str, dims: int, seed: int, degree: int = 3) -> Column:
-    """Array of random features whose inner products approximate the kernel with gamma = 1 / (number of features).
+def kernel_features(x: np.ndarray, kernel: str, dims: int, seed: int, degree: int = 3) -> np.ndarray:
+    """Random features of the rows of `x` whose inner products approximate the kernel with gamma = 1 / (number of columns).
 
-    `x` is an array of `p` columns scaled to unit variance, so that this is the usual "scale" width.
+    Columns are scaled to unit variance, so that this is the usual "scale" width. A row with a missing value is all NaN.
     """
-    rng = np.random.default_rng(seed)
-
-    def vector(values: np.ndarray) -> Column:
-        return F.array(*[F.lit(float(v)) for v in values])
-
-    def dot(w: Column, v: Column) -> Column:
-        return F.aggregate(F.zip_with(w, v, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-
+    rng, p = np.random.default_rng(seed), max(x.shape[1], 1)
     if kernel == "rbf":
         w = np.hstack([rng.normal(scale=np.sqrt(2.0 / p), size=(dims, p)), rng.uniform(0, 2 * np.pi, size=(dims, 1))])
-        rows = F.array(*[vector(r) for r in w])
-        with_one = F.concat(x, F.array(F.lit(1.0)))
-        return F.transform(rows, lambda r: F.cos(dot(r, with_one)) * float(np.sqrt(2.0 / dims)))
+        return np.cos(x @ w[:, :-1].T + w[:, -1]) * np.sqrt(2.0 / dims)
     if kernel == "poly":  # (gamma x.z)^degree as products of random signs
         signs = rng.choice([-1.0, 1.0], size=(dims, degree, p)) / np.sqrt(p)
-        rows = F.array(*[F.array(*[vector(r) for r in block]) for block in signs])
-        start = F.lit(float(np.sqrt(1.0 / dims)))
-        return F.transform(rows, lambda block: F.aggregate(block, start, lambda s, r: s * dot(r, x)))
+        return np.prod([x @ signs[:, i].T for i in range(degree)], axis=0) * np.sqrt(1.0 / dims)
     if kernel == "linear":
         return x
     raise ValueError(f"kernel {kernel!r} is not offered")
 
 
+def with_kernels(rows: DataFrame, columns: Sequence[str], kernels: Sequence[str], dims: int, seed: int) -> DataFrame:
+    """`rows` with `phi_<kernel>` arrays (NaN where a column is missing) instead of `columns`, one product per Arrow batch."""
+    kept = [c for c in rows.columns if c not in columns]
+    rows = rows.select(*kept, F.array(*[F.col(c) for c in columns]).alias("__x"))
+    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(f"phi_{k}", T.ArrayType(T.DoubleType())) for k in kernels]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(len(kept)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, len(columns))
+            missing = ~np.isfinite(x).all(axis=1)
+            out = []
+            for k in kernels:
+                phi = np.where(missing[:, None], np.nan, kernel_features(np.where(missing[:, None], 0.0, x), k, dims, seed))
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * phi.shape[1])
+                out.append(pa.ListArray.from_arrays(offsets, pa.array(phi.ravel())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *out], names=[*kept, *(f"phi_{k}" for k in kernels)])
+
+    return rows.mapInArrow(run, schema)
+
+
 def _weighted_fit(m: KeyMoments) -> pd.DataFrame:
     out = []
     if m.width:
@@ -101,35 +113,40 @@ def _prepare(df, target, features, horizon, keys, date, kernels, dims, seed) ->
         scaled[f"__x{i}"] = F.when(F.col(c).isNotNull(), F.coalesce(
             F.try_divide(F.col(c).cast("double") - F.avg(v).over(w0), F.stddev_pop(v).over(w0)), F.lit(0.0)))
     base = base.withColumns(scaled).withColumn("__mid", F.avg(F.when(core, F.col("__y"))).over(w0))
-    x = F.array(*scaled)
-    phis = {f"phi_{k}": kernel_array(x, max(len(scaled), 1), k, dims, seed) for k in kernels}
-    return base.withColumns(phis)
+    return with_kernels(base, list(scaled), kernels, dims, seed)
 
 
 def _rounds(rows: DataFrame, ids: Sequence[str], date: str, width: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Reweighting: returns rows with final `__w` and shifted target `__ys`, and the last coefficients.
+    """Reweighting: rows with the last weights `__w` and shifted targets `__ys`, and rows with the final `__fit`.
 
-    `rows` has `phi`, `y`, `__mid`, `C`, `epsilon`, `__train`. A row outside the tube gets weight C / (|r| - eps)
-    and a target moved by eps towards the fit; a row inside has no loss and keeps only a vanishing weight.
+    `rows` has `phi`, `y`, `__mid`, `C`, `epsilon`, `__train` and is read again in every round: only coefficients pass
+    from one round to the next, so the plan grows by the same piece each time. A row outside the tube gets weight
+    C / (|r| - eps) and a target moved by eps towards the fit; a row inside has no loss and keeps only a vanishing weight.
     """
-    state = rows.withColumns({"__fit": F.col("__mid")})
-    coefs = None
-    for _ in range(rounds):
+
+    def fitted(coefs: DataFrame | None) -> DataFrame:
+        if coefs is None:
+            return rows.withColumn("__fit", F.col("__mid"))
+        z = F.concat(F.array(F.lit(1.0), F.lit(0.0)), F.col("phi"))
+        known = attach(rows, coefs, ids, "left").withColumn("__z", z)
+        return known.withColumn("__fit", F.coalesce(_dot("__z", "coef"), F.col("__mid"))).drop("__z", "coef")
+
+    def weighted(state: DataFrame) -> DataFrame:
         r = F.col("__y") - F.col("__fit")
         over = F.abs(r) - F.col("epsilon")
         floor = F.greatest(F.lit(1e-3) * F.col("__spread"), F.lit(1e-9))
         idle = 1e-6 * F.col("C") / F.greatest(F.col("__spread"), F.lit(1e-9))
         weight = F.when(over > 0, F.col("C") / F.greatest(over, floor)).otherwise(idle)
         moved = F.when(over > 0, F.col("__y") - F.signum(r) * F.col("epsilon")).otherwise(F.col("__fit"))
-        state = state.withColumns({"__w": weight, "__ys": moved})
-        train = state.filter(F.col("__train"))
+        return state.withColumns({"__w": weight, "__ys": moved})
+
+    coefs, last = None, weighted(fitted(None))
+    for _ in range(rounds):
+        last = weighted(fitted(coefs))
         design = F.concat(F.array(F.lit(1.0), F.col("__ys")), F.col("phi"))
-        parts = cross_products(train, design, width=2 + width, keys=ids, date=date, weight=F.col("__w"))
+        parts = cross_products(last.filter(F.col("__train")), design, width=2 + width, keys=ids, date=date, weight=F.col("__w"))
         coefs = solve_per_key(parts, ids, _weighted_fit, "coef array<double>")
-        z = F.concat(F.array(F.lit(1.0), F.lit(0.0)), F.col("phi"))
-        state = attach(state.drop("coef"), coefs, ids, "left").withColumn("__z", z)
-        state = state.withColumn("__fit", F.coalesce(_dot("__z", "coef"), F.col("__mid"))).drop("__z", "coef")
-    return state, coefs
+    return last, fitted(coefs)
 
 
 def svr_forecasts(
@@ -190,7 +207,7 @@ def svr_search(
     """(keys, kernel, C, epsilon) with the lowest mean squared error over contiguous folds. Every (candidate, held
     fold) is an extra key of the same reweighting job."""
     rows = _prepare(df, target, features, horizon, keys, date, grid["kernel"], dims, seed)
-    full = F.col("__y").isNotNull() & ~F.exists(f"phi_{grid['kernel'][0]}", lambda v: v.isNull())
+    full = F.col("__y").isNotNull() & ~F.isnan(F.element_at(f"phi_{grid['kernel'][0]}", 1))
     member = full & (F.col("__row") < F.col("__rows") if tune_on == "newest" else F.col("step").isNull())
     rows = rows.withColumn("__fold", contiguous_fold(member, folds, keys, date)).filter(F.col("__fold").isNotNull())
     spread = F.stddev_pop("__y").over(whole(keys))
@@ -208,7 +225,7 @@ def svr_search(
     for k in grid["kernel"][:-1]:
         phi = F.when(F.col("kernel") == k, F.col(f"phi_{k}")).otherwise(phi)
     spread_out = spread_out.withColumns({"phi": phi, "__train": F.col("__fold") != F.col("held")})
-    state, _ = _rounds(spread_out, [*keys, "candidate", "held"], date, dims, rounds)
+    _, state = _rounds(spread_out, [*keys, "candidate", "held"], date, dims, rounds)
     tested = state.filter(F.col("__fold") == F.col("held"))
     mse = tested.groupBy(*keys, "candidate", "kernel", "C", "epsilon", "held").agg(
         F.avg((F.col("__y") - F.col("__fit")) ** 2).alias("mse")
