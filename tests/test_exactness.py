@@ -149,3 +149,16 @@ def test_wide_correlations_have_one_plan(spark):
     got = {(r["a"], r["b"]): r["corr"] for r in diagnostics.correlation_matrix(df, names).collect()}
     assert len(got) == 400
     assert np.allclose([[got[a, b] for b in names] for a in names], np.corrcoef(x.T))
+
+
+def test_support_vector_plan_grows_by_a_constant(spark):
+    from chronoloom.models.svr import svr_forecasts
+
+    t = np.arange(60)
+    df = days(spark, {"a": (np.sin(t / 5), t / 60.0)}, "y double, x double")
+    sizes = []
+    for rounds in (2, 3, 4, 5):
+        plan = svr_forecasts(df, target="y", features=["x"], horizon=3, keys=K, rounds=rounds, dims=8)
+        sizes.append(plan._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    steps = np.diff(sizes)
+    assert steps.max() <= steps.min() + 2
