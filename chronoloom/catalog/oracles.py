@@ -904,7 +904,7 @@ ORACLES |= {
     "single_selector": _alone(ORACLES["selector"]),
     "single_metric_table": _alone(ORACLES["metric_table"]),
     "linear_large_offset": f"SELECT * FROM ({ORACLES['linear_one_regressor']}) WHERE model = 'linear'",
-    "unbucketed_events": f"""SELECT event_type, CAST(ts AS DATE) AS date, {rd('AVG(value)')} AS value FROM events
+    "unbucketed_events": f"""SELECT event_type, CAST(ts AS DATE) AS date, {rd('AVG(value)', 8)} AS value FROM events
         GROUP BY event_type, CAST(ts AS DATE)""",
 }
 

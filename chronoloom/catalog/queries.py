@@ -1041,7 +1041,7 @@ def unbucketed_events(spark, sf):
                           "deal_na": "drop_na"},
     })
     rows = table(spark, sf, "events").select("ts", "event_type", "value")
-    return rounded(prepare_series(rows, spec).select("event_type", "date", "value"), "value")
+    return rounded(prepare_series(rows, spec).select("event_type", "date", "value"), "value", digits=8)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

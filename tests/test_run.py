@@ -98,7 +98,7 @@ def test_report_tables(spark, daily_result):
     result, _ = daily_result
     tables = report_tables(result, spec_from_dict(yaml.safe_load(DAILY)), max_lag=8)
     names = {"correlation", "lag_correlation", "decomposition_n", "rolling_n", "autocorrelation", "partial_autocorrelation",
-             "scatter_n_holidays_fe", "metric_bars", "selected_models", "non_baseline_share", "difference_evolution",
+             "scatter_n_holidays_fe", "binned_n_holidays_fe", "metric_bars", "selected_models", "non_baseline_share", "difference_evolution",
              "decomposition_difference", "rolling_difference"}
     assert set(tables) == names
     pairs = {(r["a"], r["b"]) for r in tables["correlation"].collect()}
