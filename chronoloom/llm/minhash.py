@@ -101,15 +101,89 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def linked_sets(left: list[np.ndarray], right: list[np.ndarray], percent: int, at_once: int = 4096) -> np.ndarray:
+    """Which sets of `left` and of `right` reach the threshold: intersections of all of them by matrix products.
+
+    Only elements that two sets hold matter; their columns are taken `at_once` at a time.
+    """
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    values = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1
+    column, owner = column[often], owner[often]
+    column = np.unique(column, return_inverse=True)[1]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(column.max(initial=-1)) + 1, at_once):
+        lo, hi = np.searchsorted(column, [a, a + at_once])
+        some, rows = column[lo:hi] - a, owner[lo:hi]
+        one, mine = np.zeros((len(left), at_once), np.float32), rows < len(left)
+        two = np.zeros((len(right), at_once), np.float32)
+        one[rows[mine], some[mine]] = 1
+        two[rows[~mine] - len(left), some[~mine]] = 1
+        common += one @ two.T
+    both = common.astype(np.int64)
+    return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def links_within(members: DataFrame, texts: DataFrame, words: int, percent: int, rows: int = 1024, volume: int = 8_000_000) -> DataFrame:
+    """(a, b): links between different components of a community, one for each two components that a task finds linked.
+
+    `members` has node, component and community. A task holds two blocks of a community (at most about `rows` nodes and
+    `volume` bytes of text each), or several small communities; it compares full sets and returns links, never pairs.
+    """
+    size = F.octet_length("text")
+    rich = members.join(texts, "node").select("node", "component", "community", "text")
+    whole = rich.groupBy(F.col("community").alias("c")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum(size) / volume)).cast("int").alias("blocks"), F.sum(size).alias("bytes"))
+    whole = written(whole, "communities")
+    total = whole.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    bins = max(1, -(-total // volume))
+    rich = rich.join(whole, F.col("community") == F.col("c"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+    rich = rich.withColumn("block", block).withColumn("m", F.explode(meets))
+    alone = F.col("blocks") == 1
+    rich = rich.select(
+        F.when(alone, F.pmod(F.xxhash64("community"), F.lit(bins))).otherwise(F.col("community")).alias("place"),
+        F.when(alone, F.lit(-1)).otherwise(F.col("m.i")).alias("i"), F.when(alone, F.lit(-1)).otherwise(F.col("m.j")).alias("j"),
+        "community", "block", "node", "component", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        known, out = WordHashes(), []
+        community = np.asarray(group["community"])
+        node, component, block = np.asarray(group["node"]), np.asarray(group["component"]), np.asarray(group["block"])
+        sets = [shingle_set(t, words, known) for t in group["text"].cast(pa.binary()).to_pylist()]
+        for c in np.unique(community):
+            at = np.nonzero(community == c)[0]
+            blocks = np.unique(block[at])
+            one, two = at[block[at] == blocks[0]], at[block[at] == blocks[-1]]
+            linked = linked_sets([sets[x] for x in one], [sets[x] for x in two], percent)
+            linked &= component[one][:, None] != component[two][None, :]
+            x, y = np.nonzero(linked)
+            if len(x):
+                ends = np.sort(np.stack([component[one[x]], component[two[y]]]), axis=0)
+                first = np.unique(ends, axis=1, return_index=True)[1]
+                out.append(np.sort(np.stack([node[one[x[first]]], node[two[y[first]]]]), axis=0))
+        found = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return rich.groupBy("place", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: int = 64, least: int = 35) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked where 100 * common >= percent * united shingles.
 
     A document's set holds its distinct runs of `words` words (space, tab, line breaks separate; A-Z in lower case), or
     all its words as one run where there are fewer; without words or text it is empty and linked with nothing.
     component_id is the smallest doc_id that links reach, kept says that it is the document's own. Documents with equal
-    sets are one class that goes on as one node, so copies make no pairs. Candidate pairs are made in two steps: each
-    posting list against two leaders, the same for most lists of a group; then, between what isn't connected yet, all
-    pairs of a list - exact, and nothing is left to do inside a connected group. Whole texts are read, doc_id and text
+    sets are one class that goes on as one node, so copies make no pairs. Candidate pairs are made in steps: each
+    posting list against two leaders, the same for most lists of a group, confirmed where they collide often enough. What
+    collides with common leaders is a community; inside one, full sets are compared in blocks within tasks, which return
+    links between components only. Documents of different communities that still share a list are tried as pairs. Whole texts are read, doc_id and text
     only. A doc_id must stand for one text; repeated rows are copies. Rows without doc_id are linked with nothing,
     have a null component and are kept. An empty table gives an empty result.
     """
@@ -131,14 +205,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     links = written(_confirm(tried, texts, words, percent), "links")
     groups = components(links)
 
-    grouped = posted.join(groups, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    mixed = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    rest = written(grouped.join(mixed, "token"), "unconnected")
-    one = rest.select("token", F.col("node").alias("p"), F.col("component").alias("cp"))
-    two = rest.select("token", F.col("node").alias("q"), F.col("component").alias("cq"))
+    near = components(tried).select("node", F.col("component").alias("community"))
+    placed = nodes.join(groups, "node", "left").join(near, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"), F.coalesce("community", "node").alias("community"))
+    placed = written(placed, "placed")
+    mixed = placed.groupBy("community").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("community")
+    more = written(links_within(placed.join(mixed, "community"), texts, words, percent), "links")
+
+    grouped = posted.join(placed.select("node", "community"), "node")
+    apart = grouped.groupBy("token").agg(F.min("community").alias("x"), F.max("community").alias("y")).where("x < y").select("token")
+    rest = written(grouped.join(apart, "token"), "apart")
+    one = rest.select("token", F.col("node").alias("p"), F.col("community").alias("cp"))
+    two = rest.select("token", F.col("node").alias("q"), F.col("community").alias("cq"))
     across = one.join(two, "token").where("cp < cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    across = across.join(tried, ["a", "b"], "left_anti")
-    more = written(_confirm(_collide(across, classes, least), texts, words, percent), "links")
+    last = written(_confirm(_collide(across, classes, least), texts, words, percent), "links")
+    more = more.union(last)
     if not more.isEmpty():
         groups = components(links.union(more))
 

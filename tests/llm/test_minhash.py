@@ -83,3 +83,37 @@ def test_common_values_are_not_posted(spark):
     df = docs(spark, [" ".join(shared + words(rng, 120, 10**6)) for _ in range(200)])
     classes = minhash.sketches(df).selectExpr("doc_id as node", "sig")
     assert minhash.postings(classes, 35).count() == 0
+
+
+def test_linked_sets_equals_intersecting_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(150, 300), replace=False), rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]) for _ in range(40)]
+    sets.append(np.empty(0, np.uint64))
+    got = minhash.linked_sets(sets[:25], sets[20:], 60, at_once=64)
+    for i, x in enumerate(sets[:25]):
+        for j, y in enumerate(sets[20:]):
+            both = len(np.intersect1d(x, y))
+            assert got[i, j] == (100 * both >= 60 * (len(x) + len(y) - both))
+
+
+def test_communities_of_many_blocks_lose_no_link(spark):
+    rng = random.Random(17)
+    base = words(rng, 100)
+    texts = [mutated(rng, base, rng.randrange(3, 14)) for _ in range(150)]
+    df = docs(spark, texts)
+    members = spark.createDataFrame([(i, i, 0) for i in range(150)], "node long, component long, community long")
+    found = minhash.links_within(members, df.selectExpr("doc_id as node", "text"), 4, 80, rows=40).collect()
+    label = {i: i for i in range(150)}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for r in found:
+        a, b = sorted((find(r["a"]), find(r["b"])))
+        label[b] = a
+    assert [find(i) for i in range(150)] == [x[2] for x in brute(texts, 4, 80)]
