@@ -192,15 +192,21 @@ def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     seen = written(profile(docs), "repeat-profile")
     block = (window + 1) // 2
     numbered = seen.where(F.col("doc_id").isNotNull())
-    classes = numbered.where(F.col("n_words") >= window).groupBy("content").agg(
-        F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("copies"))
-    total = numbered.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    bits = max(3, int(np.ceil(np.log2(max(1, total / PROBES_PER_RANGE)))))
+    classes = written(numbered.where(F.col("n_words") >= window).groupBy("content").agg(
+        F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("copies")), "repeat-classes")
+
+    def ranges(words: int | None) -> int:
+        """Bits of the hash that name a range, so that a range has at most about PROBES_PER_RANGE hashes; 8 ranges at least."""
+        return max(3, int(np.ceil(np.log2(max(1, (words or 0) / PROBES_PER_RANGE)))))
+
+    bits = ranges(numbered.agg(F.sum("n_words")).first()[0])
     probed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     found = anchors(probed, block, bits).groupBy("doc_id").agg(F.collect_set("block").alias("blocks"))
     found = found.join(classes.select(F.col("member").alias("doc_id")), "doc_id", "left_semi")
     anchored = written(probed.join(found, "doc_id").select("doc_id", "text", "blocks"), "repeat-anchored")
-    windows = repeated_windows(anchored, block, window, bits).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    # an anchor names at most `block` windows
+    few = ranges(anchored.agg(F.sum(F.size("blocks")) * block).first()[0])
+    windows = repeated_windows(anchored, block, window, few).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cut = anchored.select("doc_id", "text").join(windows, "doc_id")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
