@@ -21,18 +21,22 @@ _SPACES = r"[\x20\x09-\x0D]+"
 _KEY = ["h1", "h2"]
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
 def _words(line: Column) -> Column:
-    """Words of a line; empty for a line without any."""
-    return F.filter(F.split(line, _SPACES), lambda w: w != "")
+    """Words of a trimmed line that has any."""
+    return F.split(line, _SPACES)
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line, n, h1, h2, halves): a row for each line that has words, its hashes and those of its halves.
+    """(doc_id, line, h1, h2, halves): a row for each line that has words, its hashes and those of its halves.
 
     halves holds, for a line of n >= min_words words, the hashes of the first and last half of n words and of n - 1.
     """
     raw = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = raw.select("doc_id", "line", _words(F.col("raw")).alias("w")).where(F.size("w") > 0)
+    rows = raw.select("doc_id", "line", _trimmed(F.col("raw")).alias("t")).where(F.col("t") != "").select("doc_id", "line", _words(F.col("t")).alias("w"))
     n = F.size("w")
 
     def halves(of: Column) -> list[Column]:
@@ -42,24 +46,24 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
         return [F.xxhash64(of, F.lit(0), F.slice("w", F.lit(1), head)), F.xxhash64(of, F.lit(1), F.slice("w", n - tail + 1, tail))]
 
     return rows.select(
-        "doc_id", "line", n.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), F.reverse("w"), n).alias("h2"),
+        "doc_id", "line", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"),
         F.when(n >= min_words, F.array(*halves(n), *halves(n - 1))).alias("halves"))
 
 
 def near_lines(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2): keys of lines with an earlier near-equal line, confirmed on the words."""
-    firsts = written(lines.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("n").alias("n"), F.first("halves").alias("halves")), "lines")
-    long = firsts.where(F.col("halves").isNotNull())
-    halves = long.select(*_KEY, "first", F.posexplode("halves").alias("kind", "half"))
+    firsts = written(lines.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("halves").alias("halves")), "lines")
+    # one hash names a line here: a clash marks a line in vain, no more
+    halves = firsts.where(F.col("halves").isNotNull()).select("h1", F.posexplode("halves").alias("kind", "half"))
     # kinds 0, 1: halves of the line itself, which others' variants may equal; 2, 3: halves that its own variants keep
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("m"), F.max("kind").alias("top")).where("m > 1 and top > 1").select("half")
-    marked = halves.join(shared, "half")
-    marked = marked.groupBy(*_KEY).agg(F.first("first").alias("first"), F.collect_set("kind").alias("kinds"))
+    marked = written(halves.join(shared, "half").groupBy("h1").agg(F.collect_set("kind").alias("kinds")), "marked")
+    marked = firsts.select(*_KEY, "first").join(marked, "h1")
     # words of the marked lines, from the place where each stands first
     wanted = marked.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.line").alias("line"), *_KEY, "kinds").alias("m"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("m").alias("marks"))
     texts = docs.where(F.col("text").isNotNull()).join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("marks").alias("m"))
-    rows = texts.select("doc_id", "m.*", _words(F.element_at("all", F.col("m.line") + 1)).alias("w")).dropDuplicates(_KEY)
+    rows = texts.select("doc_id", "m.*", _words(_trimmed(F.element_at("all", F.col("m.line") + 1))).alias("w")).dropDuplicates(_KEY)
     rows = written(rows.select(*_KEY, F.struct("doc_id", "line").alias("first"), "kinds", "w"), "marked-lines")
 
     n, w = F.size("w"), F.col("w")
@@ -103,6 +107,7 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     firsts = lines.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"))
     judged = firsts.join(near, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     judged = judged.where("times > 1 or near").select(*_KEY, "first", F.coalesce("near", F.lit(False)).alias("near"))
+    judged = written(judged, "judged-lines")  # one row per line text: a very common line's rows can then be split
     gone = lines.select("doc_id", "line", *_KEY).join(judged, _KEY).where(F.col("near") | (F.struct("doc_id", "line") > F.col("first")))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed"))
 
