@@ -35,7 +35,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgets all before it holds more than `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -70,7 +70,7 @@ def rolling(hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> n
     return mix64(done[:n])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into runs of rows whose texts hold about `most` bytes (one row at least), texts as bytes."""
     for batch in batches:
         texts = batch.column(column).cast(pa.binary())

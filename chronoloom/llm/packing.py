@@ -8,6 +8,7 @@ to the slots of their length by rank; nothing larger than the histogram leaves t
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import slices
 from chronoloom.session import written
 
-ROWS_PER_BUCKET = 200_000
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 # Where a space stands between two characters that aren't white space, byte-level BPE always begins a new unit.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -29,20 +29,19 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class _Units(dict):
-    """Ids (as little-endian 32-bit bytes) of the units between single spaces, remembered.
+class _Merger:
+    """Ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer file gives the vocabulary. Where its ids are in the order of its merges, units that aren't known yet
     are merged by tiktoken from that same vocabulary, which costs a fifth; else by tokenizers itself.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
-        super().__init__()
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unit = self._merger(path) or self._encode
+        self.unit = self._merger(path) or self.encode
 
     def _merger(self, path: str):
         import json
@@ -62,18 +61,26 @@ class _Units(dict):
         merge = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         return lambda unit: np.array(merge(unit), "<u4").tobytes()
 
-    def _encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+
+class _Units(dict):
+    """Ids of the units between single spaces, remembered by one task; forgets all before it holds more than `limit`."""
+
+    def __init__(self, merger: _Merger, limit: int = 150_000):
+        super().__init__()
+        self.merger, self.limit = merger, limit
+
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        self[unit] = ids = self.unit(unit)
+        self[unit] = ids = self.merger.unit(unit)
         return ids
 
     def of(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):  # a special token's string may reach over a space
-            return self._encode(text)
+        if any(s in text for s in self.merger.specials):  # a special token's string may reach over a space
+            return self.merger.encode(text)
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
             head, *rest = _SPLIT.split(text)
         else:
@@ -81,9 +88,10 @@ class _Units(dict):
         return self[head] + b"".join([self[u] for u in map(" ".__add__, rest)]) if text else b""
 
 
-@lru_cache(maxsize=2)
-def _units(path: str) -> _Units:
-    return _Units(path)
+@lru_cache(maxsize=1)
+def _merger(path: str) -> _Merger:
+    """Loaded once by each worker."""
+    return _Merger(path)
 
 
 def cut_tokens(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2) -> DataFrame:
@@ -96,7 +104,7 @@ def cut_tokens(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int =
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, tail = _units(tokenizer), np.array([eos], "<u4").tobytes()
+        units, tail = _Units(_merger(tokenizer)), np.array([eos], "<u4").tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                             ("length", pa.int64()), ("ids", pa.binary())])
         for part, texts in slices(batches, 1):
@@ -160,7 +168,8 @@ def best_fit(pieces: DataFrame, by: Sequence[str], capacity: int = 1024, length:
 
     `by` are columns that order pieces of one length, so that reruns agree; rows equal in all of them are exchanged
     freely. Lengths must lie in 1..capacity (else ValueError). An empty table gives an empty result. Read twice, so
-    hand in a table that is cheap to read. A length that holds most rows is dealt to buckets of about 200,000 rows.
+    hand in a table that is cheap to read. The rows of a length are dealt to as many buckets as the square root of the
+    largest count, so neither the rows of a bucket nor the buckets of a length are many.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
@@ -180,7 +189,7 @@ def best_fit(pieces: DataFrame, by: Sequence[str], capacity: int = 1024, length:
         base += times
     # One row per length and pattern: bounded by the capacity, not by the data.
     plan = spark.createDataFrame(slots, "__l long, __from long, __to long, __many long, __base long, __place long")
-    buckets = max(1, -(-sum(histogram.values()) // ROWS_PER_BUCKET))
+    buckets = math.isqrt(max(histogram.values(), default=0)) + 1
     keyed = pieces.withColumn("__b", F.pmod(F.xxhash64(*by), F.lit(buckets)))
     sums = keyed.groupBy(F.col(length).alias("__l"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__l").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))

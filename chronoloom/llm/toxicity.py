@@ -132,7 +132,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     """(key, n): trigrams of all lower-cased texts, other characters than letters and digits being one bound."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, 0):
+        for _, texts in slices(batches, 0, 1_000_000):
             codes = np.frombuffer("\n".join(t.decode() for t in texts).lower().encode("utf-32-le"), np.uint32)
             kinds, place = np.unique(np.r_[np.uint32(10), codes, np.uint32(10)], return_inverse=True)
             kinds = np.array([k if chr(k).isalnum() else 0 for k in kinds.tolist()], np.uint64)
@@ -164,14 +164,14 @@ def term_counts(train: DataFrame, trigrams: dict[str, int]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(CharacterModel(trigrams))
         known: dict[str, list[str]] = {}
-        for part, texts in slices(batches, 0, 16_000_000):
+        for part, texts in slices(batches, 0, 4_000_000):
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(texts, part.column(1).to_pylist(), strict=True):
                 own = set()
                 lower = text.decode().lower()
                 for token in set(lower.split()):
                     if token not in known:
-                        if len(known) > 300_000:
+                        if len(known) > 60_000:
                             known.clear()
                         known[token] = [t for w in restorer.words(token) for t in terms(w)]
                     own.update(known[token])
@@ -195,7 +195,7 @@ class WordModel:
 class _Scorer(dict):
     """Weight of a token: that of the strongest term of its restored words."""
 
-    def __init__(self, model: WordModel, limit: int = 400_000):
+    def __init__(self, model: WordModel, limit: int = 150_000):
         super().__init__()
         self.weights, self.limit = model.weights, limit
         self.restorer = Restorer(CharacterModel(model.trigrams))

@@ -90,8 +90,7 @@ def test_patterns_use_up_the_histogram():
     assert sequences <= 1.02 * max(large, sum(i * n for i, n in h.items()) / 100)
 
 
-def test_hot_length_repeated_rows_and_other_columns(spark, monkeypatch):
-    monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 10)
+def test_hot_length_repeated_rows_and_other_columns(spark):
     df = clashing(docs(spark, ["same text"] * 70 + [None] * 5).unionByName(docs(spark, ["same text"] * 3)))
     placed = packing.pack_documents(df, tokenizer_file(), 16).collect()
     assert len(placed) == 78
