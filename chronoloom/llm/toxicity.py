@@ -27,6 +27,8 @@ MAX_LABELLED = 200_000  # labelled documents that the word model is fitted on: t
 MAX_TERMS = 50_000  # size of the word model: the most significant terms
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){3,}[^\W_](?![^\W_])")
 _RUN = re.compile(r"(.)\1*", re.S)
+LONG = 60  # tokens with more characters are runs of text without white space: cut at signs, and not remembered
+_SIGNS = re.compile("[^" + re.escape("".join(c for c in LEET if not c.isalnum())) + r"\w]+|_+")
 _EDGE = "\x00"
 
 
@@ -74,10 +76,13 @@ def readings(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(lattice: list[list[tuple[str, float]]], model: CharacterModel) -> str:
-    """The cheapest reading; _EDGE inside it parts words. A state is the last two characters."""
-    best: dict[tuple[str, str], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
+    """The cheapest reading; _EDGE inside it parts words. A state is the last two characters.
+
+    Paths are chains of (path so far, text), so time and memory are linear in the length.
+    """
+    best: dict[tuple[str, str], tuple[float, tuple]] = {(_EDGE, _EDGE): (0.0, ())}
     for choices in [*lattice, [(_EDGE, 0.0)]]:
-        after: dict[tuple[str, str], tuple[float, str]] = {}
+        after: dict[tuple[str, str], tuple[float, tuple]] = {}
         for (a, b), (cost, said) in best.items():
             for text, charge in choices:
                 x, y, total = a, b, cost + charge
@@ -87,9 +92,18 @@ def viterbi(lattice: list[list[tuple[str, float]]], model: CharacterModel) -> st
                     total += model.cost(x, y, c)
                     x, y = y, c
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, said + text)
+                    after[x, y] = (total, (said, text))
         best = after
-    return min(best.values())[1].strip(_EDGE)
+    least = min(cost for cost, _ in best.values())
+    return min(_spoken(said) for cost, said in best.values() if cost == least).strip(_EDGE)
+
+
+def _spoken(path: tuple) -> str:
+    out = []
+    while path:
+        path, text = path
+        out.append(text)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -104,12 +118,18 @@ class Restorer:
             core = core[:-1]
         if core.isalpha():
             return self.decode(core, False) if _repeats(core) else [core]
-        if not any(c.isalpha() for c in core) or len(core) > 60:
+        if not any(c.isalpha() for c in core):
             return []
+        if len(core) > LONG and len(parts := _SIGNS.split(core)) > 1:
+            return [w for part in parts for w in self.words(part)]
         if any(c in LEET for c in core) or _repeats(core):
             return self.decode(core, False)
         return [w for w in re.split(r"[\W\d_]+", core) if w]
 
+    def tokens(self, text: str) -> list[str]:
+        """Tokens of a text; a long one gives its restored words instead."""
+        return [t for token in text.split() for t in ([token] if len(token) <= LONG else self.words(token))]
+
     def decode(self, token: str, spaced: bool) -> list[str]:
         read = viterbi(readings(token, spaced), self.model)
         return [w for w in re.split(r"[\W\d_]+", read) if w]
@@ -169,7 +189,10 @@ def term_counts(train: DataFrame, trigrams: dict[str, int]) -> DataFrame:
             for text, label in zip(texts, part.column(1).to_pylist(), strict=True):
                 own = set()
                 lower = text.decode().lower()
-                for token in set(lower.split()):
+                for token in set(restorer.tokens(lower)):
+                    if len(token) > LONG:
+                        own.update(terms(token))
+                        continue
                     if token not in known:
                         if len(known) > 60_000:
                             known.clear()
@@ -201,6 +224,8 @@ class _Scorer(dict):
         self.restorer = Restorer(CharacterModel(model.trigrams))
 
     def __missing__(self, token: str) -> float:
+        if len(token) > LONG:  # one word
+            return self.best([token])
         if len(self) >= self.limit:
             self.clear()
         self[token] = w = self.best(self.restorer.words(token))
@@ -211,7 +236,7 @@ class _Scorer(dict):
 
     def features(self, text: str) -> tuple[float, float, float]:
         lower = text.lower()
-        tokens = lower.split()
+        tokens = self.restorer.tokens(lower)
         found = [w for w in map(self.__getitem__, set(tokens)) if w]
         found += [w for w in (self.best([s]) for s in self.restorer.spaced(lower)) if w]
         return sum(found), max(found, default=0.0), log(1.0 + len(tokens))

@@ -92,3 +92,24 @@ def test_edges(spark):
     assert tox.toxicity(df.limit(0), labels).count() == 0
     assert tox.toxicity(df, labels.limit(0)).count() == 120
     assert tox.toxicity(df, labels.withColumn("toxic", F.lit(0))).where("predicted = 1").count() == 0
+
+
+def test_long_runs_without_white_space_are_read():
+    rest = tox.Restorer(model_of("stupid idiot loser moron the of and idea " * 5))
+    some = ["the", "idea", "of", "loser", "and", "moron"] * 5
+    for sign in (",", "/", "_", "\u00a0\u2060"[1], "\u3002"):
+        assert rest.words(sign.join([*some, "1d1ot", "idea"])) == [*some, "idiot", "idea"], sign
+    assert rest.words("the" * 30 + ",2nd," + "idiot") == ["the" * 30, "nd", "idiot"]
+    read = rest.words("1d10t" * 4000)  # one part: decoded whole, in linear time
+    assert "".join(read).count("idiot") == 4000
+    model = rest.model
+    said = tox.viterbi(tox.readings("id10t!" * 15, False), model)
+    assert said.replace("\x00", "").count("idiot") >= 14
+
+
+def test_documents_without_white_space_are_scored_by_their_words(spark):
+    df, labels = corpus(spark)
+    glued = spark.createDataFrame([(5000, ",".join(["abc", "fed", "nasty", "r0tten", "gab"] * 8)), (5001, ",".join(["abc", "fed", "cab", "feed", "gab"] * 8)),
+                                   (5002, "/".join(["abc", "fed", "nasty", "rotten"] * 8).replace("/", " "))], "doc_id long, text string")
+    out = {r["doc_id"]: r["predicted"] for r in tox.toxicity(df.select("doc_id", "text").unionByName(glued), labels).where("doc_id >= 5000").collect()}
+    assert out == {5000: 1, 5001: 0, 5002: 1}
