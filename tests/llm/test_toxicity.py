@@ -113,3 +113,19 @@ def test_documents_without_white_space_are_scored_by_their_words(spark):
                                    (5002, "/".join(["abc", "fed", "nasty", "rotten"] * 8).replace("/", " "))], "doc_id long, text string")
     out = {r["doc_id"]: r["predicted"] for r in tox.toxicity(df.select("doc_id", "text").unionByName(glued), labels).where("doc_id >= 5000").collect()}
     assert out == {5000: 1, 5001: 0, 5002: 1}
+
+
+def test_every_trigram_count_is_seen(spark):
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 80)]
+    common = ["".join(rng.choice(letters) for _ in range(120_000)) + " iii qiq ziz" * 50 for _ in range(3)]  # 240,000 trigrams and more
+    texts = spark.createDataFrame([(i, t * 2) for i, t in enumerate(common)] + [(9, "zlqx rlqx")], "doc_id long, text string")
+    table = tox.trigram_counts(texts)
+    ask = lambda k: "".join(chr((k >> s) & 0x1FFFFF) for s in (42, 21, 0))
+    counts = {ask(r["key"]): r["n"] for r in table.collect()}
+    assert len(counts) > 200_000
+    codes = ["tz1qx", "tr1qx", "sz 1 q x", "tid10t!", "t" + "z1" * 5, "l" + "z1qx" * 30]
+    got = {r["code"]: r["words"] for r in tox.restored(spark.createDataFrame([(c,) for c in codes * 2], "code string"), table).collect()}
+    assert got["tz1qx"] == ["zlqx"] and got["tr1qx"] == ["rlqx"]
+    model = tox.CharacterModel(counts)
+    assert got == {c: [w for w in tox.decode(c[1:], c[0] == "s", model) if c[0] != "s" or len(w) > 2] for c in codes}
