@@ -32,7 +32,8 @@ TO_TEXT = [
     (r"^[ \n]+|[ \n]+$", ""),
 ]
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LINK = r'(?i)\shref="([^"]*)"'
+LINK = r'(?i)\shref="([^"]*)"'  # the form that the SQL twin reads: all that the given pages hold
+LINKS = r"""(?i)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""  # values in double, single or no quotes
 
 
 def digest(block: Column) -> Column:
@@ -79,9 +80,10 @@ def derive(source: DataFrame) -> DataFrame:
 
     Returns page_id, record_type, record_id, refers_to, target_uri, payload_digest (of the source), block_digest,
     content_length (bytes of the block), headers and block. The metadata block holds the source's HTTP header lines,
-    title and links in order; a page without title or links has no such lines. A null target_uri has no header line.
+    title and links in order, whatever their quotes; a page without title or links has no such lines. A null target_uri has no header line.
     """
-    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda u: F.concat(F.lit("outlink: "), u, F.lit(CRLF)))
+    bare = lambda u: F.when(F.substring(u, 1, 1).isin('"', "'"), F.substring(u, F.lit(2), F.length(u) - 2)).otherwise(u)
+    links = F.transform(F.regexp_extract_all("payload", F.lit(LINKS), F.lit(1)), lambda u: F.concat(F.lit("outlink: "), bare(u), F.lit(CRLF)))
     title = F.regexp_replace(F.trim(F.regexp_extract("payload", TITLE, 1)), F.lit(r"[\r\n]+"), F.lit(" "))
     meta = F.concat(F.col("http_header"), F.when(title != "", F.concat(F.lit("title: "), title, F.lit(CRLF))).otherwise(""), F.array_join(links, ""))
     kinds = F.array(

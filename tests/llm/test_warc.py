@@ -40,3 +40,10 @@ def test_empty_table_and_plan(spark):
     out = warc.derive(warc.responses(spark.createDataFrame([], PAGE)))
     assert out.count() == 0
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_in_any_quotes_are_found(spark):
+    html = """<a href="/a">1</a><a href='/b "c"'>2</a><A HREF=/d?e=1&f=2>3</A><a class=x href = "/g" >4</a><a href='' id=y>5</a><a href=/h\nid=z>6</a><a data-href='/no'>"""
+    out = warc.derive(warc.responses(spark.createDataFrame([(1, "u", html)], PAGE))).where("record_type = 'metadata'").first()["block"]
+    links = [x[len("outlink: "):] for x in out.split("\r\n") if x.startswith("outlink: ")]
+    assert links == ["/a", '/b "c"', "/d?e=1&f=2", "/g", "", "/h"]
