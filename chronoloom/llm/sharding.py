@@ -32,7 +32,7 @@ def communication_matrix(blocks: Sequence[int], shards: int, seed: int) -> np.nd
         places, rest = int(left.sum()), int(rows)
         for j in range(shards):
             others = places - int(left[j])
-            # numpy's generator takes at most 10^9; beyond, the two counts are drawn by halves
+            # numpy's generator takes less than 10^9; from there on the count is a rounded normal deviate
             matrix[i, j] = _hypergeometric(rng, int(left[j]), others, rest)
             rest -= int(matrix[i, j])
             places = others
