@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import line_dedup, minhash, mixing, multi_index, packing, repeats, sharding, topk, toxicity, warc
+from chronoloom.llm import (hard_negatives, line_dedup, minhash, mixing, multi_index, packing, prefix_trie, repeats, sharding, simhash, topk,
+                            toxicity, warc)
 from chronoloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,23 @@ def op10_branch_and_bound(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
 
 
+@query
+def op11_simhash_golay(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, every=50, positives=5, negatives=3, low=50, high=95)
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    conv = F.col("conv_id")
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), borrowed=F.crc32(conv.cast("string").cast("binary")) % 4, lender=conv - conv % 20)
+
+
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -159,4 +177,35 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
+    "op13_prefix_trie": f"""
+WITH tbl AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY n) AS t
+             FROM (SELECT unnest(range(256)) AS n)),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY i) AS ts FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+                                          lambda x, b: xor(tbl.t[(xor(x, b) & 255) + 1], x >> 8)), 4294967295) % 4 AS h FROM c, tbl),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS w FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+y AS (SELECT conv_id, d, w[1:d] AS k, len(w) = d AS last FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM r)),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends,
+             CASE WHEN d = 0 THEN 0 ELSE len({_WORDS.format("k[d].text")}) END AS words FROM y GROUP BY d, k),
+m AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(q.kids, 0) AS kids, (n.n_convs - 1) * n.words AS saved
+      FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+             LEFT JOIN (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL) q ON q.d = n.d AND q.k = n.k),
+s AS (SELECT a AS d, k[1:a] AS k, count(*) FILTER (kids = 0) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, m.parent_conv_id, m.n_convs, m.kids AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN s ON s.d = m.d AND s.k = m.k""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +38,31 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def whole_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(rows of left, rows of right) inner products of whole numbers held as doubles, exact, as 64-bit integers.
+
+    Doubles multiply where the lengths of both vectors show that every sum stays below 2^52, 64-bit integers up to 2^62 and
+    Python's integers beyond. A product that doesn't fit is the nearest number of at most 63 bits and a sign.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        sizes = [np.sqrt((x * x).sum(axis=1)) for x in (left, right)]
+        most = sizes[0][:, None] * sizes[1][None, :]
+        if not most.size or most.max() < 2.0**52:
+            return (left @ right.T).astype(np.int64)
+        out = np.where(most < 2.0**52, left @ right.T, 0.0).astype(np.int64)
+    rows, columns = np.nonzero((most >= 2.0**52) & (most < 2.0**62))
+    for a in range(0, len(rows), 4096):
+        r, c = rows[a : a + 4096], columns[a : a + 4096]
+        out[r, c] = (left[r].astype(np.int64) * right[c].astype(np.int64)).sum(axis=1)
+    rows, columns = np.nonzero(~(most < 2.0**62))
+    if len(rows):
+        edge = 2**63 - 1
+        whole = [{i: [int(x) for x in side[i].tolist()] for i in np.unique(at).tolist()} for side, at in ((left, rows), (right, columns))]
+        for r, c in zip(rows.tolist(), columns.tolist(), strict=True):
+            out[r, c] = max(-edge, min(edge, sum(map(operator.mul, whole[0][r], whole[1][c]))))
+    return out
+
+
 def take_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the `k` largest scores, ties to the smaller id, in that order."""
     if len(scores) > 4 * k:
