@@ -129,14 +129,49 @@ def linked_sets(left: list[np.ndarray], right: list[np.ndarray], percent: int, a
     return 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
-def links_within(members: DataFrame, texts: DataFrame, words: int, percent: int, rows: int = 1024, volume: int = 8_000_000) -> DataFrame:
+def colliding(left: np.ndarray, right: np.ndarray, least: int, at_once: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(row of left, row of right) of the signature pairs that are equal in at least `least` coordinates.
+
+    The rows of `right` are posted under each (coordinate, value). A pair that reaches `least` meets in one of a left row's
+    `size - least + 1` shortest lists, so only these are merged; the longer ones are skipped, and what they would add is
+    counted on the pairs that were met.
+    """
+    size = left.shape[1]
+    place = np.arange(size, dtype=np.int64) << 32
+    lists = (right.view(np.uint32).astype(np.int64) + place).ravel()
+    order = np.argsort(lists, kind="stable")
+    lists, holder = lists[order], order // size
+    wanted = left.view(np.uint32).astype(np.int64) + place
+    first = np.searchsorted(lists, wanted)
+    length = np.searchsorted(lists, wanted, side="right") - first
+    short = np.argsort(length, axis=1, kind="stable")[:, : size - least + 1]
+    first, length = np.take_along_axis(first, short, axis=1), np.take_along_axis(length, short, axis=1)
+    ends = np.cumsum(length.sum(axis=1))
+    found, start = [], 0
+    while start < len(left):  # some rows of left at a time, as many as meet about `at_once` entries
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, side="right")))
+        n = length[start:stop].ravel()
+        at = np.repeat(first[start:stop].ravel() - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        owner = np.repeat(np.repeat(np.arange(start, stop), first.shape[1]), n)
+        met = np.unique(owner * len(right) + holder[at])
+        for i in range(0, len(met), at_once):
+            one, two = np.divmod(met[i : i + at_once], len(right))
+            good = (left[one] == right[two]).sum(axis=1) >= least
+            found.append(np.stack([one[good], two[good]]))
+        start = stop
+    both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def links_within(members: DataFrame, texts: DataFrame, words: int, percent: int, least: int, rows: int = 1024, volume: int = 4_000_000) -> DataFrame:
     """(a, b): links between different components of a community, one for each two components that a task finds linked.
 
-    `members` has node, component and community. A task holds two blocks of a community (at most about `rows` nodes and
-    `volume` bytes of text each), or several small communities; it compares full sets and returns links, never pairs.
+    `members` has node, component, community and sig. A task holds two blocks of a community (at most about `rows` nodes and
+    `volume` bytes of text each), or several small communities; it counts collisions on inverted lists, compares the full
+    sets of what collides and isn't in one component yet, and returns links, never pairs.
     """
     size = F.octet_length("text")
-    rich = members.join(texts, "node").select("node", "component", "community", "text")
+    rich = members.join(texts, "node").select("node", "component", "community", "sig", "text")
     whole = rich.groupBy(F.col("community").alias("c")).agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum(size) / volume)).cast("int").alias("blocks"), F.sum(size).alias("bytes"))
     whole = written(whole, "communities")
@@ -150,20 +185,29 @@ def links_within(members: DataFrame, texts: DataFrame, words: int, percent: int,
     rich = rich.select(
         F.when(alone, F.pmod(F.xxhash64("community"), F.lit(bins))).otherwise(F.col("community")).alias("place"),
         F.when(alone, F.lit(-1)).otherwise(F.col("m.i")).alias("i"), F.when(alone, F.lit(-1)).otherwise(F.col("m.j")).alias("j"),
-        "community", "block", "node", "component", "text")
+        "community", "block", "node", "component", "sig", "text")
 
     def compare(group: pa.Table) -> pa.Table:
-        known, out = WordHashes(), []
+        known, out = WordHashes(50_000), []
         community = np.asarray(group["community"])
         node, component, block = np.asarray(group["node"]), np.asarray(group["component"]), np.asarray(group["block"])
-        sets = [shingle_set(t, words, known) for t in group["text"].cast(pa.binary()).to_pylist()]
-        for c in np.unique(community):
-            at = np.nonzero(community == c)[0]
+        text = group["text"].cast(pa.binary())
+        sigs = np.asarray(group["sig"].combine_chunks().flatten()).reshape(len(node), -1)
+        order = np.argsort(community, kind="stable")
+        for at in np.split(order, np.nonzero(np.diff(community[order]))[0] + 1):
             blocks = np.unique(block[at])
             one, two = at[block[at] == blocks[0]], at[block[at] == blocks[-1]]
-            linked = linked_sets([sets[x] for x in one], [sets[x] for x in two], percent)
-            linked &= component[one][:, None] != component[two][None, :]
-            x, y = np.nonzero(linked)
+            x, y = colliding(sigs[one], sigs[two], least)
+            apart = component[one[x]] != component[two[y]]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                continue
+            rows_one, x = np.unique(x, return_inverse=True)
+            rows_two, y = np.unique(y, return_inverse=True)
+            one, two = one[rows_one], two[rows_two]
+            sets = {int(r): shingle_set(text[int(r)].as_py(), words, known) for r in np.union1d(one, two)}
+            linked = linked_sets([sets[r] for r in one.tolist()], [sets[r] for r in two.tolist()], percent)[x, y]
+            x, y = x[linked], y[linked]
             if len(x):
                 ends = np.sort(np.stack([component[one[x]], component[two[y]]]), axis=0)
                 first = np.unique(ends, axis=1, return_index=True)[1]
@@ -180,11 +224,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     A document's set holds its distinct runs of `words` words (space, tab, line breaks separate; A-Z in lower case), or
     all its words as one run where there are fewer; without words or text it is empty and linked with nothing.
     component_id is the smallest doc_id that links reach, kept says that it is the document's own. Documents with equal
-    sets are one class that goes on as one node, so copies make no pairs. Candidate pairs are made in steps: each
-    posting list against two leaders, the same for most lists of a group, confirmed where they collide often enough. What
-    collides with common leaders is a community; inside one, full sets are compared in blocks within tasks, which return
-    links between components only. Documents of different communities that still share a list are tried as pairs. Whole texts are read, doc_id and text
-    only. A doc_id must stand for one text; repeated rows are copies. Rows without doc_id are linked with nothing,
+    sets are one class that goes on as one node, so copies make no pairs. The nodes of each posting list first meet two
+    leaders, the same for most lists of a group, and are confirmed where they collide often enough. Lists that share a node
+    are one community, so pairs that share a list are always in one. Where that leaves several components in a community,
+    tasks hold two blocks of it, merge inverted lists of coordinates, compare the full sets of what collides and return
+    links between components only: no join makes a pair of two documents. Whole texts are read, doc_id and text only. A doc_id must stand for one text; repeated rows are copies. Rows without doc_id are linked with nothing,
     have a null component and are kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -205,21 +249,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, size: in
     links = written(_confirm(tried, texts, words, percent), "links")
     groups = components(links)
 
-    near = components(tried).select("node", F.col("component").alias("community"))
+    stars = posted.join(leaders, "token").select(F.col("node").alias("a"), F.col("m0.node").alias("b")).where("a != b").distinct()
+    near = components(stars).select("node", F.col("component").alias("community"))
     placed = nodes.join(groups, "node", "left").join(near, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"), F.coalesce("community", "node").alias("community"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("community").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("community")
-    more = written(links_within(placed.join(mixed, "community"), texts, words, percent), "links")
-
-    grouped = posted.join(placed.select("node", "community"), "node")
-    apart = grouped.groupBy("token").agg(F.min("community").alias("x"), F.max("community").alias("y")).where("x < y").select("token")
-    rest = written(grouped.join(apart, "token"), "apart")
-    one = rest.select("token", F.col("node").alias("p"), F.col("community").alias("cp"))
-    two = rest.select("token", F.col("node").alias("q"), F.col("community").alias("cq"))
-    across = one.join(two, "token").where("cp < cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    last = written(_confirm(_collide(across, classes, least), texts, words, percent), "links")
-    more = more.union(last)
+    open_ = placed.join(mixed, "community").join(classes.select("node", "sig"), "node")
+    more = written(links_within(open_, texts, words, percent, least), "links")
     if not more.isEmpty():
         groups = components(links.union(more))
 

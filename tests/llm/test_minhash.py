@@ -105,7 +105,8 @@ def test_communities_of_many_blocks_lose_no_link(spark):
     texts = [mutated(rng, base, rng.randrange(3, 14)) for _ in range(150)]
     df = docs(spark, texts)
     members = spark.createDataFrame([(i, i, 0) for i in range(150)], "node long, component long, community long")
-    found = minhash.links_within(members, df.selectExpr("doc_id as node", "text"), 4, 80, rows=40).collect()
+    members = members.join(minhash.sketches(df, 4).selectExpr("doc_id as node", "sig"), "node")
+    found = minhash.links_within(members, df.selectExpr("doc_id as node", "text"), 4, 80, least=35, rows=40).collect()
     label = {i: i for i in range(150)}
 
     def find(i):
@@ -117,3 +118,34 @@ def test_communities_of_many_blocks_lose_no_link(spark):
         a, b = sorted((find(r["a"]), find(r["b"])))
         label[b] = a
     assert [find(i) for i in range(150)] == [x[2] for x in brute(texts, 4, 80)]
+
+
+def test_colliding_equals_comparing_all_signatures():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**31), 2**31, 64).astype(np.int32)
+    sigs = np.where(rng.random((200, 64)) < rng.random((200, 1)), base, rng.integers(-3, 3, (200, 64)).astype(np.int32))
+    for least in (1, 35, 64):
+        x, y = minhash.colliding(sigs[:120], sigs[100:], least, at_once=300)
+        want = np.nonzero((sigs[:120, None] == sigs[None, 100:]).sum(axis=2) >= least)
+        assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(zip(*(w.tolist() for w in want), strict=True))
+    assert len(minhash.colliding(sigs[:0], sigs, 35)[0]) == len(minhash.colliding(sigs, sigs[:0], 35)[0]) == 0
+
+
+def test_rows_of_joins_follow_the_group(spark, tmp_path):
+    """Twice as many near copies of one text make at most about twice the rows in the postings, leader pairs and stars."""
+    from pyspark.sql import functions as F
+
+    counts = []
+    for n in (300, 600):
+        rng = random.Random(11)
+        base = words(rng, 200)
+        df = docs(spark, [mutated(rng, base, 8) for _ in range(n)])
+        seen = minhash.sketches(df, 4)
+        classes = seen.selectExpr("doc_id as node", "sig")
+        posted = minhash.postings(classes, 35)
+        leader = posted.groupBy("token").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")).alias(f"m{i}") for i in range(2)])
+        led = posted.join(leader, "token").select("node", F.explode(F.array("m0.node", "m1.node")).alias("leader")).distinct()
+        counts.append((posted.count(), led.count()))
+    assert all(b <= 2.4 * a for a, b in zip(*counts, strict=True)), counts
