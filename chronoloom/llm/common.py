@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,15 @@ def rolling(hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> n
     return mix64(done[:n])
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system; workers are kept for later tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into runs of rows whose texts hold about `most` bytes (one row at least), texts as bytes."""
     for batch in batches:
@@ -82,3 +92,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2_000_000
             part = batch.slice(start, stop - start)
             yield part, [b"" if t is None else t for t in texts.slice(start, stop - start).to_pylist()]
             start = stop
+    release()

@@ -155,8 +155,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     return copies(balanced_rates(sized, weights, most))
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """`docs` with every row as often as `mixed` says (doc_id must be unique in `mixed`; null ids join null ids)."""
-    times = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
+def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """`docs` with every row as often as the mix takes it.
+
+    A row is known by 128 bits of hashes of its doc_id, source and text, so rows that share an id, and rows without one, are
+    taken as often as the mix says for each of them; rows that are alike in all three take their copies together, in the shape
+    of one of them.
+    """
+    own = [F.xxhash64(F.lit(i), "doc_id", "source", "text") for i in range(2)]
+    keyed = docs.withColumn("__key", F.concat(*[F.lpad(F.hex(h), 16, "0") for h in own]))
+    mixed = mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text"), weights, most)
+    times = mixed.groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    joined = keyed.dropDuplicates(["__key"]).join(times, "__key")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

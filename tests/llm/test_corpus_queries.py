@@ -1,6 +1,7 @@
 """Registered corpus queries against their SQL twins, and the pipeline stage by stage, on the smallest shared tables."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,18 +25,66 @@ def test_query_equals_its_twin_or_gives_rows(spark, con, name):
     assert ok, note
 
 
+def fewest_bins(lengths, room):
+    """A lower bound on the number of bins (Martello and Toth's L2)."""
+    lengths, best = sorted(lengths), 0
+    for a in {0, *(x for x in lengths if 2 * x <= room)}:
+        large = [x for x in lengths if x > room - a]
+        half = [x for x in lengths if room / 2 < x <= room - a]
+        rest = sum(x for x in lengths if a <= x <= room / 2) - (len(half) * room - sum(half))
+        best = max(best, len(large) + len(half) + max(0, -(-rest // room)))
+    return best
+
+
+LARGER = "/root/testdata/sf0.01"
+
+
 def test_stages_keep_columns_and_take_effect(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs.count()
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").cache()
+    line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300)).split(" ")
+    near = [w if i not in (50, 150, 250) else "other" for i, w in enumerate(line)]  # three words: no near copy of the line, but of the text
+    repeated = "a line of ten words that two planted documents share entirely"
+    planted = [(10**6, " ".join(line)), (10**6 + 1, " ".join(near)), (10**6 + 2, f"first own words\n{repeated}"), (10**6 + 3, f"second own words here\n{repeated}"), (10**6 + 4, None), (10**6 + 5, "")]
+    docs = docs.union(spark.createDataFrame([(i, t, "en", "planted", len(t or "")) for i, t in planted], docs.schema))
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    out = {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF).cache()
+        before, docs = docs, stage(spark, docs, LARGER).cache()
         if name != "packing":
-            assert out.columns == docs.columns, name
-        if name == "near_dedup":
-            assert out.count() == out.select("doc_id").distinct().count() <= before
-        docs = out
-    total = docs.agg(F.sum("length").alias("n")).first()["n"]
-    full = docs.select("sequence_id").distinct().count()
-    assert full <= -(-total // 1024) * 1.02 + 1
+            assert docs.columns == before.columns, name
+            out[name] = docs.select("doc_id", "text").collect()
+    kept = {name: {r["doc_id"]: r["text"] for r in rows} for name, rows in out.items()}
+    toxic, clean = [i for i, t in labels.items() if t == 1], [i for i, t in labels.items() if t == 0]
+    # some 300 labels to learn from: most toxic documents go (all do at 20,000)
+    assert toxic and sum(i in kept["toxicity"] for i in toxic) <= 0.4 * len(toxic)
+    assert sum(i in kept["toxicity"] for i in clean) >= 0.98 * len(clean)
+    assert {i for i, _ in planted} <= set(kept["toxicity"])
+    assert kept["line_dedup"][10**6 + 2].endswith(repeated) and kept["line_dedup"][10**6 + 3] == "second own words here"
+    assert 10**6 in kept["near_dedup"] and 10**6 + 1 in kept["line_dedup"] and 10**6 + 1 not in kept["near_dedup"]
+    assert set(kept["mixing"]) <= set(kept["near_dedup"]) and len(out["mixing"]) != len(out["near_dedup"])
+    lengths = [r["length"] for r in docs.select("length").collect()]
+    assert docs.select("sequence_id").distinct().count() <= fewest_bins(lengths, 1024) * 1.01 + 1
     assert docs.select("sequence_id", "offset").distinct().count() == docs.count()
     spark.catalog.clearCache()
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, null ids, null and empty texts, repeated rows and clashing extra columns go through every stage."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(None, "a text without an id", "en", "s", 20), (None, None, "en", None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0),
+            (2, "one line\nanother line of this text", None, "t", 30), (2, "one line\nanother line of this text", None, "t", 30), (3, None, "en", "s", None)]
+    for given in ([], rows):
+        docs = spark.createDataFrame(given, schema)
+        if given:
+            docs = docs.withColumns({"node": F.lit(1), "copies": F.lit(2), "line": F.lit("x")})
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, SF).cache()
+            n = after.count()
+            assert bool(n) == bool(given), name
+            if name != "packing":
+                assert after.columns == docs.columns, name
+            if given and name == "toxicity":
+                assert n == len(rows)
+            docs = after
+    spark.catalog.clearCache()

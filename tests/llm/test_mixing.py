@@ -1,3 +1,4 @@
+from collections import Counter
 import random
 
 import numpy as np
@@ -93,10 +94,16 @@ def test_edge_tables(spark):
     assert mixing.mix(null_id).count() == 2
 
 
-def test_repeat_documents(spark):
-    df = docs(spark, ["a", "b", "c"])
-    mixed = spark.createDataFrame([(0, 0), (1, 3), (2, 1)], "doc_id long, copies long")
-    assert sorted(r["text"] for r in mixing.repeat_documents(df, mixed).collect()) == ["b", "b", "b", "c"]
+def test_rows_are_taken_as_often_as_the_mix_says(spark):
+    df = docs(spark, [("a b c", "x"), ("d e", "y"), (None, "x"), ("", None)] + [(f"w{i} v", "xyz"[i % 3]) for i in range(200)])
+    null = spark.createDataFrame([(None, f"n{i} m o", "en", "z", 6) for i in range(60)] + [(0, "a b c", "en", "x", 5)] * 3, df.schema)
+    df = df.union(null)
+    mixed = mixing.mix(df).groupBy().sum("copies").first()[0]
+    got = mixing.mix_documents(df.withColumn("copies", F.lit(9))).collect()
+    assert len(got) == mixed and set(got[0].asDict()) == {*df.columns, "copies"}
+    per_null = Counter(r["text"] for r in got if r["doc_id"] is None)
+    assert max(per_null.values(), default=0) <= 3  # not as often as the most taken of all rows without an id, for each of them
+
 
 
 def test_word_count(spark):
