@@ -12,14 +12,21 @@ from chronoloom.session import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go; the model is fitted on these documents and the labels table."""
+    """Documents that the toxicity score rejects go; the model is fitted on these documents and the labels table.
+
+    Rows of one doc_id go or stay together. Rows without an id, and null or empty texts that score below 0.5, stay. An empty
+    table stays empty.
+    """
     judged = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
     bad = judged.where("predicted = 1").select(F.col("doc_id").alias("__bad_id")).distinct()
     return docs.join(bad, F.col("doc_id") == F.col("__bad_id"), "left_anti")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line equals or nearly equals go, and documents of which no line stays."""
+    """Lines that an earlier line equals or nearly equals go, and documents of which no line stays.
+
+    Null and empty texts have no lines to lose and stay. n_chars is counted anew where lines went (null stays null elsewhere).
+    """
     kept = line_dedup.dedup_lines(docs)
     kept = kept.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -27,19 +34,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id.
+
+    Documents without words are in no group and stay, as do rows without an id. Rows of one doc_id go or stay together.
+    """
     judged = minhash.near_duplicates(docs, words=5, percent=80)
     gone = judged.where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.repeat_documents(docs, mixing.mix(docs))
+    """Documents as often as the mix of sources takes them; a null source is one like the others. Those without words have no size and are taken once."""
+    return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of 1024."""
+    """Token pieces placed in sequences of 1024; a null or empty text is the one closing token."""
     return packing.pack_documents(docs, tokenizer_file(), capacity=1024, eos=2)
 
 
