@@ -177,7 +177,7 @@ def links_of_crowded(nodes: DataFrame, bits: int) -> DataFrame:
     return met.select("a", F.explode("all").alias("b")).where("a != b").distinct()
 
 
-def link_fingerprints(classes: DataFrame, bits: int = 2, crowd: int = 64, rows_per_task: int = 20_000) -> DataFrame:
+def link_fingerprints(classes: DataFrame, bits: int = 2, crowd: int = 64, rows_per_task: int = 4_000) -> DataFrame:
     """(a, b): links that join the (node, print) rows at `bits` (1 or 2) or fewer differing bits into the same groups as all pairs would.
 
     Posting lists of up to `crowd` nodes are compared inside tasks, several lists at a time. The nodes of longer lists
