@@ -912,5 +912,7 @@ ORACLES |= {
 ORACLES |= {
     f"{name}_facts": f"""WITH {complete()} SELECT priority, '{model}' AS model, LEAST({H}, ANY_VALUE(n) - 1) AS forecasts,
         CAST(0 AS BIGINT) AS missing, TRUE AS inside FROM placed GROUP BY priority"""
-    for name, model in (("random_forest", "rf"), ("boosted_trees", "xgb"), ("support_vector", "svr"))
+    for name, model in (("random_forest", "rf"), ("boosted_trees", "xgb"), ("support_vector", "svr"),
+                        ("arima_likelihood", "arima_ml"), ("arima_exogenous_likelihood", "arima_exo_ml"))
 }
+ORACLES["additive_large_offset"] = f"""WITH {complete()} SELECT priority, LEAST({H}, ANY_VALUE(n) - 1) AS forecasts, TRUE AS same FROM placed GROUP BY priority"""

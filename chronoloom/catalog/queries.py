@@ -716,6 +716,17 @@ def arima(spark, sf):
     return arima_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY)
 
 
+@query
+def arima_likelihood(spark, sf):
+    return arima_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY, method="likelihood", name="arima_ml")
+
+
+@query
+def arima_exogenous_likelihood(spark, sf):
+    s = tr.shift_columns(complete(spark, sf), ["x"], KEY)
+    return arima_forecasts(s, target="y", horizon=HORIZON, keys=KEY, exogenous=["x"], d=0, max_p=3, max_q=2, method="likelihood", name="arima_exo_ml")
+
+
 @query
 def arima_fixed_order(spark, sf):
     out = arima_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY, d=0, name="arima_eda")
@@ -747,7 +758,8 @@ def harmonic(spark, sf):
 @query
 def additive_weekly(spark, sf):
     out = additive_forecasts(
-        complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY, holidays=_holidays(spark, sf), changepoints=3
+        complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY, holidays=_holidays(spark, sf), changepoints=3,
+        params=AdditiveParams(changepoint_prior="normal"),
     )
     return rounded(out, "pred", digits=0)
 
@@ -943,6 +955,27 @@ def support_vector_facts(spark, sf):
     return _facts(support_vector(spark, sf), spark, sf)
 
 
+@query
+def arima_likelihood_facts(spark, sf):
+    return _facts(arima_likelihood(spark, sf), spark, sf)
+
+
+@query
+def arima_exogenous_likelihood_facts(spark, sf):
+    return _facts(arima_exogenous_likelihood(spark, sf), spark, sf)
+
+
+@query
+def additive_large_offset(spark, sf):
+    """A regressor at 10^9 that varies by units says as much as one at 0: the difference of the forecasts is nothing."""
+    near = complete(spark, sf).withColumn("x", F.dayofyear("date").cast("double"))
+    flat = AdditiveParams(growth="flat", weekly_seasonality=False)
+    both = [additive_forecasts(near.withColumn("x", F.col("x") + F.lit(level)), target="y", horizon=HORIZON, keys=KEY, exogenous=["x"], params=flat, name=name)
+            for level, name in ((0.0, "near"), (1e9, "far"))]
+    pair = both[0].select(*KEY, "step", F.col("pred").alias("near")).join(both[1].select(*KEY, "step", F.col("pred").alias("far")), [*KEY, "step"])
+    return pair.groupBy(*KEY).agg(F.count(F.lit(1)).alias("forecasts"), F.bool_and(F.abs(F.col("far") - F.col("near")) <= 1e-6 * F.abs("near")).alias("same"))
+
+
 # --- one series without keys ----------------------------------------------------------------------------------------
 
 

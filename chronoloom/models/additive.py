@@ -1,7 +1,8 @@
 """Trend + season + holiday regression after Taylor and Letham (2018), as penalised least squares on cross products.
 
 Trend is piecewise linear with hinges over the first 80% of the training span; seasons are Fourier columns; holidays
-mark the day and the day after. Prior scales become ridge penalties. Multiplicative season models the logarithm,
+mark the day and the day after. Prior scales become penalties: absolute values for hinges (`changepoint_prior` "normal" asks
+for squares), squares for the rest. Multiplicative season models the logarithm,
 logistic growth the logit against a cap.
 """
 
@@ -16,8 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.frame import whole, with_step
-from chronoloom.operators.gram import KeyMoments, cross_products, fit, residual_sum, solve_per_key
+from chronoloom.models.linear import sparse_fit
+from chronoloom.operators.frame import join_keys, whole, with_step
+from chronoloom.operators.gram import KeyMoments, centred, cross_products, fit, residual_sum, solve_per_key, varying_columns
 from chronoloom.session import cut_lineage
 
 # Season lengths in days and their Fourier orders; hinge count and the share of history they cover.
@@ -36,6 +38,7 @@ class AdditiveParams:
     changepoint_prior_scale: float = 0.05
     seasonality_prior_scale: float = 10.0
     holidays_prior_scale: float = 10.0
+    changepoint_prior: str = "laplace"
     cap: float | None = None
 
     @property
@@ -165,17 +168,31 @@ def _row(first: Sequence[Column], roles: Sequence[str]) -> Column:
     return F.concat(F.array(*first), *[F.col(f"__a_{r}") for r in roles])
 
 
-def _ridge(gram: np.ndarray, xs: list[int], pen: np.ndarray):
-    """Penalised fit whose noise level comes from a first, lightly penalised fit."""
+def _hinges(widths: Mapping[str, int], roles: Sequence[str], p: AdditiveParams) -> np.ndarray:
+    """1/scale of each hinge that may vanish (0 elsewhere): a Laplace prior keeps few breaks of the trend, and those whole."""
+    on = p.changepoint_prior == "laplace"
+    return np.concatenate([np.full(widths[r], 1.0 / p.changepoint_prior_scale if on and r == "hinge" else 0.0) for r in roles])
+
+
+def _penalised(gram: np.ndarray, xs: list[int], pen: np.ndarray, at: np.ndarray):
+    """Penalised fit whose noise level comes from a first, lightly penalised fit: 1/2 SSE + noise * (at * |b| + pen / 2 * b^2)."""
     n = gram[0, 0]
     light = np.where(pen > 0, 1e-6 * n, 0.0)
     b0, beta, used = fit(gram, xs, light)
     dof = max(n - len(used) - 1, 1.0)
     noise = max(residual_sum(gram, b0, beta, used) / dof, 1e-12)
-    return fit(gram, xs, noise * pen)
-
-
-def _expanding(xs: list[int], pen: np.ndarray, name: str):
+    if not at.any():
+        return fit(gram, xs, noise * pen)
+    used = varying_columns(gram, xs)
+    if not used:
+        return fit(gram, xs, noise * pen)
+    place = [xs.index(i) for i in used]
+    n, mx, my, sxx, sxy, _ = centred(gram, used)
+    beta = sparse_fit(sxx, sxy, noise * at[place], noise * np.where(at > 0, 0.0, pen)[place])
+    return float(my - mx @ beta), beta, used
+
+
+def _expanding(xs: list[int], pen: np.ndarray, at: np.ndarray, name: str):
     """The last two cells of a row are not regressors: they carry the key's scale to the output."""
 
     def run(m: KeyMoments) -> pd.DataFrame:
@@ -184,7 +201,7 @@ def _expanding(xs: list[int], pen: np.ndarray, name: str):
         for i, step in enumerate(m.steps):
             z, pred = m.rows[i], np.nan
             if gram[0, 0] >= 2:
-                b0, beta, used = _ridge(gram, xs, pen)
+                b0, beta, used = _penalised(gram, xs, pen, at)
                 pred = b0 + (z[used] @ beta if used else 0.0)
             pred = None if not np.isfinite(pred) else float(pred)
             out.append((int(step), m.dates[i], name, pred, float(z[-2]), float(z[-1])))
@@ -214,13 +231,13 @@ def additive_forecasts(
         changepoints=changepoints,
     )
     roles = _roles(widths, params)
-    pen = _penalty(widths, roles, params)
+    pen, at = _penalty(widths, roles, params), _hinges(widths, roles, params)
     base = base.withColumn("__work", _targets(params.cap)[params.transform])
     z = F.concat(_row([F.lit(1.0), F.col("__work")], roles), F.array("__top", "__size"))
     parts = cross_products(base, z, width=4 + len(pen), keys=keys, date=date, step="step")
     xs = list(range(2, 2 + len(pen)))
     schema = "step int, date date, model string, work double, __top double, __size double"
-    out = solve_per_key(parts, keys, _expanding(xs, pen, name), schema)
+    out = solve_per_key(parts, keys, _expanding(xs, pen, at, name), schema, carried=2)
     return out.select(*keys, "step", "date", "model", _back(params.transform, F.col("work"), params.cap).alias("pred"))
 
 
@@ -234,12 +251,9 @@ def _cutoff_fits(candidates):
                 gram = m.gram[b] if gram is None else gram + m.gram[b]
             if gram is None or gram[0, 0] < 2:
                 continue
-            for index, xs, pen in candidates:
-                b0, beta, used = _ridge(gram, xs, pen)
-                full = np.zeros(m.width)
-                full[0] = b0
-                full[used] = beta
-                out.append((b, index, full.tolist()))
+            for index, xs, pen, at in candidates:
+                b0, beta, used = _penalised(gram, xs, pen, at)
+                out.append((b, index, m.plain(b0, beta, used).tolist()))
         return pd.DataFrame(out, columns=["cut", "candidate", "coef"])
 
     return run
@@ -294,8 +308,8 @@ def additive_search(
         plans = []
         for i, p in members:
             roles = _roles(widths, p)
-            plans.append((i, [c for r in roles for c in at[r]], _penalty(widths, roles, p)))
-        fits = solve_per_key(parts, keys, _cutoff_fits(plans), "cut int, candidate int, coef array<double>")
+            plans.append((i, [c for r in roles for c in at[r]], _penalty(widths, roles, p), _hinges(widths, roles, p)))
+        fits = solve_per_key(parts, keys, _cutoff_fits(plans), "cut int, candidate int, coef array<double>", carried=0)
         row = _row([F.lit(1.0), F.lit(0.0)], union)
         # a row is scored by the cutoffs less than a horizon before it: a few numbers, not all cutoffs
         late_from = F.floor(F.datediff(F.to_date(date), F.date_add("__oldest", horizon_days)) / period).cast("int")
@@ -306,7 +320,7 @@ def additive_search(
         )
         cutoff = F.date_add("__oldest", F.col("cut") * period)
         tested = tested.filter((F.col("date") > cutoff) & (F.col("date") <= F.date_add(cutoff, horizon_days)))
-        joined = tested.join(fits, [*keys, "cut"])
+        joined = join_keys(tested, fits, [*keys, "cut"])
         dot = F.aggregate(F.zip_with("z", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         miss = F.col("__y") - _back(kind, dot, cap)
         scored = joined.groupBy(*keys, "candidate").agg(F.sqrt(F.avg(miss * miss)).alias("rmse"))

@@ -86,4 +86,4 @@ def harmonic_forecasts(
         levels.append([at[c] for g in groups for c in g if int(c.rsplit("_", 1)[1]) <= order])
     parts = cross_products(base, [F.lit(1.0), "y", *names, "__level_y"], keys=keys, date=date, step="step")
     run = _harmonics(levels, [at["__t"]], [at[c] for c in lags], log, name)
-    return solve_per_key(parts, keys, run, "step int, date date, model string, pred double")
+    return solve_per_key(parts, keys, run, "step int, date date, model string, pred double", carried=1)

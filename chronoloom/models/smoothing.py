@@ -194,6 +194,15 @@ def _panel(rows: pd.DataFrame, keys: list[str], make: Callable[[int], object], n
     return out
 
 
+def _panels(rows: pd.DataFrame, keys: list[str], make: Callable[[int], object], name: str) -> Iterator[pd.DataFrame]:
+    """Whole series, SERIES_AT_ONCE of them side by side: a panel's memory has that bound, however short its series are."""
+    ends = np.flatnonzero(rows["last"].to_numpy()) + 1
+    cuts = [0, *ends[SERIES_AT_ONCE - 1 : -1 : SERIES_AT_ONCE].tolist(), len(rows)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield _panel(rows.iloc[a:b].reset_index(drop=True), keys, make, name)
+
+
 def _scan(keys: list[str], make: Callable[[int], object], name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Gathers whole series (at most about SERIES_AT_ONCE of them or ROWS_AT_ONCE rows) and moves them together."""
@@ -210,12 +219,12 @@ def _scan(keys: list[str], make: Callable[[int], object], name: str):
                 cut = np.flatnonzero(whole["last"].to_numpy())
                 if not len(cut):
                     continue  # one series that goes on
-                yield _panel(whole.iloc[: cut[-1] + 1].reset_index(drop=True), keys, make, name)
+                yield from _panels(whole.iloc[: cut[-1] + 1], keys, make, name)
                 held = [whole.iloc[cut[-1] + 1 :]]
                 rows, ends = len(held[0]), 0
         left = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
         if len(left):
-            yield _panel(left, keys, make, name)
+            yield from _panels(left, keys, make, name)
 
     return run
 

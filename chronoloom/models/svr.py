@@ -69,10 +69,7 @@ def _weighted_fit(m: KeyMoments) -> pd.DataFrame:
         gram = m.total()
         if gram[0, 0] > 0:
             b0, beta, used = fit(gram, list(range(2, m.width)), 1.0)
-            full = np.zeros(m.width)
-            full[0] = b0
-            full[used] = beta
-            out.append((full.tolist(),))
+            out.append((m.plain(b0, beta, used).tolist(),))
     return pd.DataFrame(out, columns=["coef"])
 
 
@@ -145,7 +142,7 @@ def _rounds(rows: DataFrame, ids: Sequence[str], date: str, width: int, rounds:
         last = weighted(fitted(coefs))
         design = F.concat(F.array(F.lit(1.0), F.col("__ys")), F.col("phi"))
         parts = cross_products(last.filter(F.col("__train")), design, width=2 + width, keys=ids, date=date, weight=F.col("__w"))
-        coefs = solve_per_key(parts, ids, _weighted_fit, "coef array<double>")
+        coefs = solve_per_key(parts, ids, _weighted_fit, "coef array<double>", carried=0)
     return last, fitted(coefs)
 
 
@@ -186,7 +183,7 @@ def svr_forecasts(
     state, _ = _rounds(rows, keys, date, width, rounds)
     z = F.concat(F.array(F.lit(1.0), F.col("__ys")), F.col("phi"), F.array("__w"))
     parts = cross_products(state, z, width=3 + width, keys=keys, date=date, step="step", weight=F.col("__w"))
-    return solve_per_key(parts, keys, _origins(name), "step int, date date, model string, pred double")
+    return solve_per_key(parts, keys, _origins(name), "step int, date date, model string, pred double", carried=1)
 
 
 def svr_search(

@@ -4,6 +4,9 @@ Design rows are columns `z = [1, y, x1..xp]`. Each task sums z'z over its own Ar
 hot key costs its tasks one small matrix each, and only those matrices and the few rows flagged as origins are
 shuffled. A solver then sees, per key, the summed matrices and the origin rows: its input does not grow with the
 length of the series.
+
+A task sums products of what its rows differ from its own mean row by, and sends that row along; the parts are moved to one
+common origin when they are added. So a column at 10^9 that varies by 1 keeps its digits, whoever asks.
 """
 
 from __future__ import annotations
@@ -45,7 +48,11 @@ def _summed(keys: list[str], width: int):
                     part = z[members]
                     first.append(members[0])
                     count.append(len(members))
-                    payload.append((part.T @ part)[upper])
+                    mass = part[:, 0] @ part[:, 0]  # rows, or their weights
+                    middle = (part[:, 0] @ part) / mass if mass > 0 else np.zeros(width)
+                    middle[:2] = 0.0
+                    part = part - np.outer(part[:, 0], middle)
+                    payload.append(np.concatenate([middle, (part.T @ part)[upper]]))
             origin = np.flatnonzero(step.notna().to_numpy())
             for i in origin:
                 first.append(i)
@@ -74,8 +81,8 @@ def cross_products(
     weight: Column | None = None,
     width: int | None = None,
 ) -> DataFrame:
-    """(keys, block, step, date, rows, payload): partial z'z (packed upper triangle) where step is NULL, the row z
-    itself elsewhere.
+    """(keys, block, step, date, rows, payload): partial z'z where step is NULL (the mean of the regressors, then the packed
+    upper triangle of the products about it), the row z itself elsewhere.
 
     `z` is a list of columns, or one array column of `width` doubles (wide designs: it keeps generated code small).
     Core rows with any missing value are left out; origin rows keep theirs as NaN. `weight` scales a core row's
@@ -107,9 +114,14 @@ def cross_products(
 
 
 class KeyMoments:
-    """What a solver gets for one key: z'z and row count per block, and the origin rows by step."""
+    """What a solver gets for one key: z'z and row count per block, and the origin rows by step.
+
+    With `carried` given, the regressors (all columns but the first two and the `carried` last ones) are counted from
+    `shift`, their mean over the summed rows, in the matrices and in the origin rows alike: slopes and forecasts are the same,
+    and an intercept for rows as they came is `plain(..)`. Without it all is as it came.
+    """
 
-    def __init__(self, pdf: pd.DataFrame):
+    def __init__(self, pdf: pd.DataFrame, carried: int | None = None):
         core = pdf[pdf["step"].isna()]
         own = pdf[pdf["step"].notna()].sort_values("step")
         self.steps = own["step"].astype(int).to_numpy()
@@ -119,21 +131,37 @@ class KeyMoments:
         if len(own):
             width = self.rows.shape[1]
         elif len(core):
-            width = int(round(((8 * len(core["__payload"].iloc[0]) + 1) ** 0.5 - 1) / 2))
+            width = int(round(((8 * len(core["__payload"].iloc[0]) + 9) ** 0.5 - 3) / 2))
         else:
             width = 0
         self.width = width
         self.gram: dict[int, np.ndarray] = {}
         self.count: dict[int, int] = {}
-        sums: dict[int, np.ndarray] = {}
-        for b, k, p in zip(core["__block"], core["__count"], core["__payload"]):
+        packed = [np.asarray(p, dtype=float) for p in core["__payload"]]
+        self.shift = np.zeros(width)
+        if carried is not None and packed:
+            mass = np.array([p[width] for p in packed])
+            if mass.sum() > 0:
+                self.shift = mass @ np.stack([p[:width] for p in packed]) / mass.sum()
+            self.shift[width - carried :] = 0.0
+            if len(own):
+                self.rows = self.rows - np.outer(self.rows[:, 0], self.shift)
+        for b, k, p in zip(core["__block"], core["__count"], packed):
             b = int(b)
-            sums[b] = sums.get(b, 0) + np.asarray(p, dtype=float)
-            self.count[b] = self.count.get(b, 0) + int(k)
-        for b, packed in sums.items():
             g = np.zeros((width, width))
-            g[np.triu_indices(width)] = packed
-            self.gram[b] = g + np.triu(g, 1).T
+            g[np.triu_indices(width)] = p[width:]
+            g = g + np.triu(g, 1).T
+            moved = np.eye(width)
+            moved[:, 0] += p[:width] - self.shift
+            self.gram[b] = self.gram.get(b, 0) + moved @ g @ moved.T
+            self.count[b] = self.count.get(b, 0) + int(k)
+
+    def plain(self, intercept: float, beta: np.ndarray, used: Sequence[int]) -> np.ndarray:
+        """Coefficients for rows as they came: the intercept at 0, slopes at `used`."""
+        full = np.zeros(self.width)
+        full[0] = intercept - (self.shift[list(used)] @ beta if len(used) else 0.0)
+        full[list(used)] = beta
+        return full
 
     def total(self) -> np.ndarray:
         out = np.zeros((self.width, self.width))
@@ -147,9 +175,9 @@ class KeyMoments:
 
 
 def solve_per_key(
-    parts: DataFrame, keys: Sequence[str], fn: Callable[[KeyMoments], pd.DataFrame], out: str | T.StructType
+    parts: DataFrame, keys: Sequence[str], fn: Callable[[KeyMoments], pd.DataFrame], out: str | T.StructType, carried: int | None = None
 ) -> DataFrame:
-    """Runs `fn` on the summed cells of each key; `out` is the DDL of the columns `fn` returns.
+    """Runs `fn` on the summed cells of each key; `out` is the DDL of the columns `fn` returns. `carried`: see KeyMoments.
 
     The cells are few bytes but much work, so they are spread over the configured number of shuffle partitions rather
     than left to be coalesced by size.
@@ -160,9 +188,9 @@ def solve_per_key(
     schema = T.StructType([parts.schema[k] for k in keys] + list(out_fields))
 
     def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        res = fn(KeyMoments(pdf))
+        res = fn(KeyMoments(pdf, carried))
         for k in reversed(keys):
-            res.insert(0, k, [pdf[k].iloc[0]] * len(res))
+            res.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(res), dtype=pdf[k].dtype))  # typed, also without rows
         return res[[*keys, *names]]
 
     return spread(parts, keys).groupBy(*keys).applyInPandas(per_key, schema)

@@ -113,7 +113,7 @@ def unit_root_test(
     base = base.withColumns(lags).filter(F.col("__rn") >= 0)
     step = F.when(F.col("__rn") < top, F.col("__rn").cast("int"))
     parts = cross_products(base, [F.lit(1.0), "__d", "__y1", *lags], keys=keys, date=date, step=step)
-    out = solve_per_key(parts, keys, _unit_root(top, fixed_lag), "stat double, used_lag int, nobs long")
+    out = solve_per_key(parts, keys, _unit_root(top, fixed_lag), "stat double, used_lag int, nobs long", carried=0)
     return out.withColumn("p_value", unit_root_p_value(F.col("stat")))
 
 
@@ -195,7 +195,7 @@ def lag_order_scores(
     base = base.withColumns({**lags, "__rn": F.row_number().over(w) - 1})
     step = F.when(F.col("__rn") < max_lags, F.col("__rn").cast("int"))
     parts = cross_products(base, [F.lit(1.0), "y", *lags], keys=keys, date=date, step=step)
-    return solve_per_key(parts, keys, _orders(max_lags, criterion), "lags int, score double, nobs long")
+    return solve_per_key(parts, keys, _orders(max_lags, criterion), "lags int, score double, nobs long", carried=0)
 
 
 def choose_lag_order(

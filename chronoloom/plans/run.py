@@ -278,7 +278,7 @@ def ts_forecasts(
     common = dict(target=variable, horizon=m.horizon, keys=keys)
     free = {"arima_diff", "arima_exo_diff"} - set(m.skip)
     found = cut_lineage(difference_orders(matrix, max_test_lag=max_test_lag, **common)) if free else None
-    orders = dict(max_p=m.max_p, max_q=m.max_q, stored=True, orders=found)
+    orders = dict(max_p=m.max_p, max_q=m.max_q, stored=True, orders=found, method=m.arima_method)
     makers = {
         "arima_diff": lambda: arima_forecasts(matrix, name="arima_diff", **orders, **common),
         "arima_eda": lambda: arima_forecasts(matrix, d=0, name="arima_eda", **orders, **common),

@@ -108,6 +108,7 @@ class ModelSpec:
     elastic: TunedModel = TunedModel({"alpha": 1.0, "l1_ratio": 0.5})
     knn: TunedModel = TunedModel({"n_neighbors": 5, "weights": "uniform", "p": 2})
     tree_refit: str = "each"
+    arima_method: str = "likelihood"
     tune_on: str = "newest"
     skip: tuple[str, ...] = ()
 
@@ -210,6 +211,7 @@ def spec_from_dict(raw: Mapping) -> RunSpec:
             use_original_for_baseline=bool(model.get("use_original_for_baseline", True)),
             max_p=int((model.get("arima") or {}).get("max_p", defaults.max_p)),
             max_q=int((model.get("arima") or {}).get("max_q", defaults.max_q)),
+            arima_method=str((model.get("arima") or {}).get("method", defaults.arima_method)),
             seasonal_periods=_tuple((model.get("tbats") or {}).get("max_sp")) or defaults.seasonal_periods,
             additive=additive,
             additive_exo=exo,
