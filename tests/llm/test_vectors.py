@@ -48,6 +48,28 @@ def test_bounds_cut_work_but_no_result():
         assert found.tolist() == want and scores.tolist() == all_scores[want].tolist()
 
 
+def test_components_of_any_size_are_scored_in_whole_numbers(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))
+    x[0] = 60_000.0  # meets itself and ordinary vectors
+    x[50] = 3e7 * rng.normal(size=16)  # products beyond 2^53
+    x[51], x[52], x[53] = x[50], x[50] + 1 / 256, -x[50]
+    x[100], x[101], x[102] = 1e300, 1e300, -1e300  # beyond a long
+    x[7] = 1.7e308
+    edge = 2**63 - 1
+
+    def score(q, v):
+        big = [np.clip(np.floor(np.clip(256 * w, -topk.LARGEST, topk.LARGEST)), -topk.LARGEST, topk.LARGEST) for w in (q, v)]
+        return max(-edge, min(edge, sum(int(a) * int(b) for a, b in zip(*big, strict=True))))
+
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], schema)
+    got = topk.exact_top_k(df, k=5, every=50, rows_per_block=64, queries_per_block=4)
+    with np.errstate(over="ignore"):
+        want = brute(x, range(300), 50, 5, score)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
+
+
 BAD = [None, [], [1.0, None, 0.0], [float("nan"), 0.0, 0.0], [float("inf"), 0.0, 0.0], [1.0, 2.0]]
 
 
