@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ONE_BY_ONE = 1000  # draws this few are made one after the other
 
 
 def communication_matrix(blocks: Sequence[int], shards: int, seed: int) -> np.ndarray:
@@ -32,7 +33,6 @@ def communication_matrix(blocks: Sequence[int], shards: int, seed: int) -> np.nd
         places, rest = int(left.sum()), int(rows)
         for j in range(shards):
             others = places - int(left[j])
-            # numpy's generator takes less than 10^9; from there on the count is a rounded normal deviate
             matrix[i, j] = _hypergeometric(rng, int(left[j]), others, rest)
             rest -= int(matrix[i, j])
             places = others
@@ -40,16 +40,31 @@ def communication_matrix(blocks: Sequence[int], shards: int, seed: int) -> np.nd
     return matrix
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int, most: int = 10**9) -> int:
+    """How many of `draws` rows, taken without replacement, are among the `good` ones: exact at every size.
+
+    numpy's generator takes counts below `most`. Beyond, every row is taken with one probability, on its own; given their
+    number, the rows taken are a uniform choice, so taking away or adding what is too much or too little, uniformly again,
+    leaves the exact law. Each round has about the square root of the draws of the round before.
+    """
     if not draws or not good:
         return 0
-    if good < 10**9 and bad < 10**9:
+    if good < most and bad < most:
         return int(rng.hypergeometric(good, bad, draws))
-    # normal limit with exact bounds; at such counts it differs from the exact law by less than one part in 10^4
     total = good + bad
-    mean = draws * good / total
-    sd = (mean * bad / total * (total - draws) / max(1, total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), draws - bad, 0), good, draws))
+    if 2 * draws > total:
+        return good - _hypergeometric(rng, good, bad, total - draws, most)
+    if draws <= ONE_BY_ONE:
+        taken = 0
+        for i in range(draws):
+            taken += int(rng.integers(total - i)) < good - taken
+        return taken
+    share = draws / total
+    some, others = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    over = some + others - draws
+    if over > 0:
+        return some - _hypergeometric(rng, some, others, over, most)
+    return some + _hypergeometric(rng, good - some, bad - others, -over, most)
 
 
 def shuffle_shards(df: DataFrame, by: Sequence[str], shards: int = 8, seed: int = 20260101, blocks: int | None = None) -> DataFrame:
@@ -89,5 +104,8 @@ def shuffle_shards(df: DataFrame, by: Sequence[str], shards: int = 8, seed: int
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order within each file."""
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard; files hold consecutive slots in order, and their names sort in that order.
+
+    Rows are spread by ranges of (shard, slot), so a shard is written by as many tasks as its size asks for.
+    """
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

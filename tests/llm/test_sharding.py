@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +27,25 @@ def test_large_counts_stay_exact():
     assert m.sum(axis=0).tolist() == [2 * 10**9, 2 * 10**9] and m.sum(axis=1).tolist() == [3 * 10**9, 10**9] and (m >= 0).all()
 
 
+def test_draws_of_large_counts_have_the_hypergeometric_moments():
+    rng = np.random.Generator(np.random.PCG64(5))
+    good, bad = 4 * 10**10, 6 * 10**10
+    for draws in (10**10, 9 * 10**10):
+        x = np.array([sharding._hypergeometric(rng, good, bad, draws) for _ in range(3000)], float)
+        share, total = good / (good + bad), good + bad
+        mean, var = draws * share, draws * share * (1 - share) * (total - draws) / (total - 1)
+        assert abs(x.mean() - mean) < 4 * (var / len(x)) ** 0.5 and abs(x.var() / var - 1) < 0.12
+
+
+def test_thinning_has_the_law_of_drawing_one_by_one(monkeypatch):
+    monkeypatch.setattr(sharding, "ONE_BY_ONE", 2)
+    rng = np.random.Generator(np.random.PCG64(6))
+    good, bad, draws, n = 9, 14, 8, 20_000
+    seen = np.bincount([sharding._hypergeometric(rng, good, bad, draws, most=1) for _ in range(n)], minlength=draws + 1)
+    law = np.array([math.comb(good, i) * math.comb(bad, draws - i) for i in range(draws + 1)]) / math.comb(good + bad, draws)
+    assert ((seen - n * law) ** 2 / np.maximum(n * law, 1)).sum() < 30  # 8 degrees of freedom: exceeded once in 5000
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 403])
 def test_shards_are_even_slots_gapless_and_runs_agree(spark, n):
     df = clashing(docs(spark, [None if i % 50 == 3 else "same" for i in range(n)]))
@@ -48,3 +70,7 @@ def test_null_keys_repeated_rows_and_written_shards(spark, tmp_path):
     sharding.write_shards(placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [3, 3, 4]
+    for shard in range(3):
+        files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+        slots = [s for f in files for s in pq.read_table(f)["slot"].to_pylist()]
+        assert slots == list(range(len(slots)))
