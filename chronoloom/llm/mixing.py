@@ -8,6 +8,7 @@ source. The multipliers solve a convex dual; Newton steps find them, all sources
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -48,12 +49,13 @@ def _rate(multiplier, size, scale, most: float):
     return F.round(F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), multiplier * size / scale))) * UNIT).cast("long")
 
 
-def multipliers(hist: DataFrame, goals: DataFrame, most: float = 3.0, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+def multipliers(hist: DataFrame, goals: DataFrame, most: float = 3.0, tolerance: float = 1e-6) -> DataFrame:
     """(source, multiplier, _scale): the dual solution per source.
 
     `hist` has (source, size, n) with size > 0; `goals` has source, source_size, docs, target. Newton steps are kept
-    inside a bracket that every evaluation narrows, so they always converge; a source whose target is its upper bound
-    gets a multiplier at which every rate is `most`. Ends when all sources are within `tolerance` of their targets.
+    inside a bracket that every evaluation narrows, and from the twentieth on every second one halves it, so they always
+    converge; a source whose target is its upper bound gets a multiplier at which every rate is `most`. Ends when all
+    sources are within `tolerance` of their targets, or their brackets are narrower than what rates can tell apart.
     """
     scale = F.greatest(F.col("source_size") / F.greatest(F.col("docs"), F.lit(1)), F.lit(1.0))
     state = goals.where("source_size > 0 and target > 0").select(
@@ -63,7 +65,7 @@ def multipliers(hist: DataFrame, goals: DataFrame, most: float = 3.0, rounds: in
         (F.col("target") < F.lit(most * (1 - 1e-12)) * F.col("source_size")).alias("_open"),
         F.lit(-1e6).alias("_low"), F.lit(1e6).alias("_high"))
     state = written(state, "mix-state")
-    for _ in range(rounds):
+    for turn in itertools.count():
         if state.where("_open").isEmpty():
             break
         z = F.col("size") / F.col("_scale")
@@ -82,7 +84,8 @@ def multipliers(hist: DataFrame, goals: DataFrame, most: float = 3.0, rounds: in
         step = x + (F.col("target") - F.col("_f")) / F.when(F.col("_g") > 0, F.col("_g"))
         both = (F.col("_l") > -1e6) & (F.col("_h") < 1e6)
         halved = F.when(both, (F.col("_l") + F.col("_h")) / 2).otherwise(F.when(F.col("_f") < F.col("target"), F.greatest(x * 2, x + 1)).otherwise(F.least(x * 2, x - 1)))
-        moved = F.round(F.when((step > F.col("_l")) & (step < F.col("_h")), step).otherwise(halved), 10)
+        newton = F.lit(turn < 20 or turn % 2 == 0)
+        moved = F.round(F.when(newton & (step > F.col("_l")) & (step < F.col("_h")), step).otherwise(halved), 10)
         met = F.abs(F.col("_f") - F.col("target")) <= F.lit(tolerance) * F.col("target")
         stepped = state.where("_open").join(sums, F.col("_src").eqNullSafe(F.col("_of"))).withColumns({"_l": low, "_h": high})
         stepped = stepped.select("_src", "target", "_scale", F.when(met, x).otherwise(moved).alias("multiplier"),
