@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.operators.backtest import contiguous_fold
-from chronoloom.operators.frame import attach, by_time, join_keys, whole, with_step
+from chronoloom.operators.frame import attach, join_keys, whole, with_step
 from chronoloom.operators.transforms import unbounded_before
+from chronoloom.session import cut_lineage
 
 # The parameter search grid.
 KNN_GRID = {"n_neighbors": [3, 5, 9], "weights": ["uniform", "distance"], "p": [1, 2]}
-CHUNK = 256  # rows per block of the search; bounds the memory of one task
+CHUNK = 256  # most rows per block of the search; bounds the memory of one task
+LEAST = 64  # and the fewest, but in a fold's last block
+FIRST = 512  # rows of other folds that a block meets whatever the pivots say
+PIVOTS = 16  # rows of a key to which all others are measured
 
 
 def _distance(xs: Column, os: Column, on: Column, features: Sequence[str], power: Column | int) -> Column:
@@ -95,8 +100,8 @@ def knn_forecasts(
     )
 
 
-def _block_neighbours(keys: int, powers: Sequence[int], most: int, names: Sequence[str]):
-    """For one pair of row blocks: each left row's nearest right rows outside its own fold, per power."""
+def _block_neighbours(ids: Sequence[str], powers: Sequence[int], most: int, names: Sequence[str]):
+    """For one pair of row blocks: each left row's nearest right rows, per power."""
 
     def flat(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
         return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
@@ -109,15 +114,13 @@ def _block_neighbours(keys: int, powers: Sequence[int], most: int, names: Sequen
         for batch in batches:
             for i in range(batch.num_rows):
                 lx, rx = rows(batch, "lx", i), rows(batch, "rx", i)
-                lf, rf, ry, rr = flat(batch, "lf", i), flat(batch, "rf", i), flat(batch, "ry", i), flat(batch, "rr", i)
-                barred = lf[:, None] == rf[None, :]
+                ry, rr = flat(batch, "ry", i), flat(batch, "rr", i)
                 for power in powers:
-                    gap = np.zeros(barred.shape)
+                    gap = np.zeros((len(lx), len(rx)))
                     for j in range(lx.shape[1]):
                         diff = np.abs(lx[:, j, None] - rx[None, :, j])
                         gap += diff if power == 1 else diff * diff
                     gap = gap if power == 1 else np.sqrt(gap)
-                    gap[barred] = np.inf
                     take = np.argsort(gap, axis=1, kind="stable")[:, :most]
                     near = np.take_along_axis(gap, take, axis=1)
                     good = np.isfinite(near)
@@ -126,13 +129,115 @@ def _block_neighbours(keys: int, powers: Sequence[int], most: int, names: Sequen
                     ends = np.r_[0, np.cumsum(good.sum(axis=1))].astype(np.int32)
                     same = pa.array(np.full(len(lx), i))
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(f"k{n}").take(same) for n in range(keys)), pa.array(np.full(len(lx), power, np.int32)),
-                         pa.array(flat(batch, "lr", i).astype(np.int64)), pa.array(lf.astype(np.int32)), pa.array(flat(batch, "ly", i).astype(float)),
+                        [*(batch.column(n).take(same) for n in [*ids, "fold", "chunk"]), pa.array(np.full(len(lx), power, np.int32)),
+                         pa.array(flat(batch, "lr", i).astype(np.int64)), pa.array(flat(batch, "ly", i).astype(float)),
                          pa.ListArray.from_arrays(pa.array(ends), cells)], names=list(names))
 
     return run
 
 
+def _pivot_distances(x: Column, power: int) -> Column:
+    """Distances of a row to its key's pivots."""
+
+    def one(pivot: Column) -> Column:
+        gaps = F.zip_with(pivot, x, lambda a, b: F.abs(a - b))
+        if power == 1:
+            return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g)
+        return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g))
+
+    return F.transform("__pivots", one)
+
+
+def _fold_blocks(rows: DataFrame, ids: Sequence[str], powers: Sequence[int]) -> DataFrame:
+    """(ids, fold, chunk, size, cells, near<power>): the rows (r, fold, y, x) of a fold in blocks of rows alike.
+
+    Pivots are rows at even ranks of the features' sum. Rows are ordered by their nearest pivot and the distance to it, and
+    cut into blocks of twice the square root of the fold, between LEAST and CHUNK; `near<power>` has a block's least and largest
+    distance to each pivot.
+    """
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    rank = F.row_number().over(Window.partitionBy(*ids).orderBy(total, "r")).cast("long") - 1
+    count = F.count(F.lit(1)).over(whole(ids))
+    ranked = rows.withColumns({"__rank": rank, "__of": count})
+    chosen = F.pmod(F.col("__rank") * PIVOTS + F.floor(F.col("__of") / 2), F.col("__of")) < PIVOTS
+    ranked = ranked.withColumn("__pivots", F.array_sort(F.collect_list(F.when(chosen, F.col("x"))).over(whole(ids))))
+    placed = ranked.withColumns({f"__d{p}": _pivot_distances(F.col("x"), p) for p in powers}).drop("__pivots", "__rank", "__of")
+    first = F.col(f"__d{powers[0]}")
+    order = Window.partitionBy(*ids, "fold").orderBy(F.array_position(first, F.array_min(first)), F.array_min(first), "r")
+    root = F.ceil(2 * F.sqrt(F.count(F.lit(1)).over(Window.partitionBy(*ids, "fold"))))
+    size = F.greatest(F.lit(LEAST), F.least(F.lit(CHUNK), root))
+    placed = placed.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+
+    def span(p: int) -> Column:
+        at = [F.get(f"__d{p}", F.lit(j)) for j in range(PIVOTS)]
+        return F.array(*[F.struct(F.min(d).alias("lo"), F.max(d).alias("hi")) for d in at]).alias(f"near{p}")
+
+    return placed.groupBy(*ids, "fold", "chunk").agg(
+        F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list(F.struct("r", "y", "x"))).alias("cells"), *[span(p) for p in powers]
+    )
+
+
+class FoldNeighbours(NamedTuple):
+    """Nearest rows of other folds: `near` (ids, fold, p, r, y, near), the block pairs `met` for it and all that there are."""
+
+    near: DataFrame
+    met: DataFrame
+    possible: DataFrame
+
+
+def fold_neighbours(rows: DataFrame, ids: Sequence[str], powers: Sequence[int], most: int) -> FoldNeighbours:
+    """The `most` nearest rows outside its own fold of every row of `rows` (ids, r, fold, y, x), exactly; ties to the smaller r.
+
+    A block first meets the blocks that the pivots show to be close, with at least FIRST rows and enough to fill its lists. The farthest neighbour
+    found is its reach, and of the other blocks it meets those to which the pivots don't show a greater distance: by the
+    triangle inequality, rows whose distances to one pivot differ by t are at least t apart.
+    """
+    ids, powers = list(ids), list(powers)
+    blocks = cut_lineage(_fold_blocks(rows, ids, powers))
+    here = blocks.select(*ids, "fold", "chunk", *[F.col(f"near{p}").alias(f"l{p}") for p in powers])
+    there = blocks.select(*ids, F.col("fold").alias("fold2"), F.col("chunk").alias("chunk2"), "size", *[F.col(f"near{p}").alias(f"r{p}") for p in powers])
+
+    def apart(p: int) -> Column:  # less what rounding can add
+        gap = F.zip_with(f"l{p}", f"r{p}", lambda u, v: F.greatest(u["lo"] - v["hi"], v["lo"] - u["hi"]) - 1e-9 * (u["hi"] + v["hi"]))
+        return F.nanvl(F.array_max(gap), F.lit(0.0)).alias(f"apart{p}")
+
+    within = F.array_min(F.zip_with(f"l{powers[0]}", f"r{powers[0]}", lambda u, v: u["hi"] + v["hi"]))
+    possible = join_keys(here, there, ids).filter(F.col("fold") != F.col("fold2"))
+    possible = possible.select(*ids, "fold", "chunk", "fold2", "chunk2", "size", within.alias("within"), *[apart(p) for p in powers])
+    closest = Window.partitionBy(*ids, "fold", "chunk").orderBy("within", "fold2", "chunk2")
+    before = F.coalesce(F.sum("size").over(closest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    possible = possible.withColumn("first", before < max(most, FIRST))
+
+    left = blocks.select(*ids, "fold", "chunk", *[F.col(f"cells.{c}").alias(f"l{c}") for c in "ryx"])
+    right = blocks.select(*ids, F.col("fold").alias("fold2"), F.col("chunk").alias("chunk2"), *[F.col(f"cells.{c}").alias(f"r{c}") for c in "ryx"])
+    cell = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("__row", T.LongType()), T.StructField("y", T.DoubleType())])
+    schema = T.StructType(
+        [blocks.schema[c] for c in [*ids, "fold", "chunk"]]
+        + [T.StructField("p", T.IntegerType()), T.StructField("r", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("near", T.ArrayType(cell))]
+    )
+
+    def met(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(*ids, "fold", "chunk", "fold2", "chunk2")
+        both = join_keys(join_keys(pairs, left, [*ids, "fold", "chunk"]), right, [*ids, "fold2", "chunk2"])
+        return both.mapInArrow(_block_neighbours(ids, powers, most, schema.names), schema)
+
+    def best(found: DataFrame) -> DataFrame:
+        kept = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near")
+        return found.groupBy(*ids, "fold", "chunk", "p", "r", "y").agg(kept)
+
+    start = cut_lineage(best(met(possible.filter("first"))))
+    farthest = F.when(F.size("near") < most, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"])
+    reach = start.groupBy(*ids, "fold", "chunk").agg(*[F.max(F.when(F.col("p") == p, farthest)).alias(f"reach{p}") for p in powers])
+    rest = join_keys(possible.filter(~F.col("first")), reach, [*ids, "fold", "chunk"])
+    some = F.lit(False)
+    for p in powers:
+        some = some | (F.col(f"apart{p}") <= F.col(f"reach{p}"))
+    rest = rest.filter(some)
+    near = best(start.unionByName(met(rest))).drop("chunk")
+    names = [*ids, "fold", "chunk", "fold2", "chunk2"]
+    return FoldNeighbours(near, possible.filter("first").select(names).unionByName(rest.select(names)), possible.select(names))
+
+
 def knn_search(
     df: DataFrame,
     *,
@@ -147,8 +252,8 @@ def knn_search(
 ) -> DataFrame:
     """(keys, n_neighbors, weights, p) with the lowest mean squared error over contiguous folds.
 
-    Exact search: blocks of 256 rows meet as block pairs and keep only the nearest rows of each block, so neither a
-    whole key nor its row pairs are ever held or shuffled.
+    Exact search (`fold_neighbours`): blocks of rows alike meet only where pivots don't rule it out and keep only the nearest
+    rows of each block, so neither a whole key nor its row pairs are ever held or shuffled.
     """
     most = max(grid["n_neighbors"])
     base = with_step(df.select(*keys, date, target, *features), keys, horizon, date)
@@ -157,39 +262,13 @@ def knn_search(
         full = full & F.col(c).isNotNull()
     member = full & (F.col("__row") < F.col("__rows") if tune_on == "newest" else F.col("step").isNull())
     rows = base.withColumn("__fold", contiguous_fold(member, folds, keys, date)).filter(F.col("__fold").isNotNull())
-    at = F.row_number().over(by_time(keys, date)) - 1
-    rows = rows.withColumn("__chunk", F.floor(at / CHUNK).cast("int"))
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    cell = F.struct("__row", F.col("__fold").alias("f"), F.col(target).cast("double").alias("y"), x.alias("x"))
-    blocks = rows.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    blocks = blocks.withColumn("__last", F.max("__chunk").over(whole(keys)))
-    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]
     ids = [f"k{i}" for i in range(len(keys))]
-
-    def side(tag: str, block: Column) -> DataFrame:
-        cols = {"r": "__row", "f": "f", "y": "y", "x": "x"}
-        return blocks.select(*named, block.alias("block"), *[F.col(f"cells.{c}").alias(f"{tag}{n}") for n, c in cols.items()])
-
-    # a left block names the blocks it meets, so the two sides join on equal numbers and spread by them
-    left = side("l", F.explode(F.sequence(F.lit(0), F.col("__last"))))
-    pairs = join_keys(left, side("r", F.col("__chunk")), [*ids, "block"]).drop("block")
-    near_type = T.ArrayType(
-        T.StructType([T.StructField("d", T.DoubleType()), T.StructField("__row", T.LongType()), T.StructField("y", T.DoubleType())])
-    )
-    schema = T.StructType(
-        [df.schema[c] for c in keys]
-        + [
-            T.StructField("p", T.IntegerType()),
-            T.StructField("__row", T.LongType()),
-            T.StructField("fold", T.IntegerType()),
-            T.StructField("y", T.DoubleType()),
-            T.StructField("near", near_type),
-        ]
-    )
-    found = pairs.mapInArrow(_block_neighbours(len(keys), list(grid["p"]), most, schema.names), schema)
-    merged = found.groupBy(*keys, "p", "__row", "fold", "y").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near")
+    rows = rows.select(
+        *[F.col(c).alias(i) for c, i in zip(keys, ids)], F.col("__row").cast("long").alias("r"), F.col("__fold").cast("int").alias("fold"),
+        F.col(target).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
     )
+    found = fold_neighbours(rows, ids, list(grid["p"]), most).near
+    merged = found.select(*[F.col(i).alias(c) for c, i in zip(keys, ids)], "p", F.col("r").alias("__row"), "fold", "y", "near")
     scores = []
     i = 0
     for k in grid["n_neighbors"]:

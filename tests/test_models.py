@@ -9,6 +9,7 @@ from chronoloom.models.additive import AdditiveParams, additive_forecasts, addit
 from chronoloom.models.arima import arima_forecasts
 from chronoloom.models.baseline import baseline_forecasts
 from chronoloom.models.harmonic import harmonic_forecasts
+from chronoloom.models import knn
 from chronoloom.models.knn import knn_forecasts, knn_search
 from chronoloom.models.linear import elastic_net, linear_forecasts
 from chronoloom.models.smoothing import HoltPanel, SeasonalPanel, holt_forecasts, seasonal_forecasts
@@ -171,6 +172,32 @@ def test_knn_by_brute_force(panel):
             assert np.allclose(got[k], want)
 
 
+def test_pivots_leave_out_block_pairs_but_no_neighbour(spark):
+    rng = np.random.default_rng(11)
+    n = 4000
+    walk = np.cumsum(rng.normal(size=n)) + 1e6
+    x = np.stack([walk, np.r_[walk[0], walk[:-1]]], axis=1)
+    x[100:140] = x[50]  # ties
+    x[7] = [np.inf, 0.0]  # near nothing
+    y = rng.normal(size=n)
+    key = np.where(np.arange(n) < 3900, "a", None)  # a null key is a key, here with few rows
+    data = [(k, i, int(i * 3 // n) if k else int(i % 2), float(y[i]), x[i].tolist()) for i, k in enumerate(key)]
+    rows = spark.createDataFrame(data, "k string, r long, fold int, y double, x array<double>")
+    found = knn.fold_neighbours(rows, ["k"], [1, 2], 9)
+    got = {(r["p"], r["r"]): [(c["d"], c["__row"]) for c in r["near"]] for r in found.near.collect()}
+    fold = np.array([d[2] for d in data])
+    for p in (1, 2):
+        for i in [*rng.integers(0, n, 300), 7, 50, 105, 3950, 3999]:
+            others = np.flatnonzero((fold != fold[i]) & ((key == None) == (key[i] is None)))  # noqa: E711
+            gap = np.abs(x[others] - x[i])
+            with np.errstate(invalid="ignore"):
+                d = gap.sum(1) if p == 1 else np.sqrt((gap * gap).sum(1))
+            some = np.argsort(d, kind="stable")[:9]
+            assert got[p, i] == [(d[j], others[j]) for j in some if np.isfinite(d[j])]
+    assert found.met.count() < 0.5 * found.possible.count()
+    assert found.met.count() == found.met.distinct().count()
+
+
 def test_knn_search_by_brute_force(panel):
     df, arrays = panel
     grid = {"n_neighbors": [1, 3, 7], "weights": ["uniform", "distance"], "p": [1, 2]}
