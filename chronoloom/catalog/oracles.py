@@ -776,6 +776,22 @@ ORACLES: dict[str, str] = {
         SELECT c.priority, CAST(LEAST(FLOOR(COALESCE((y - y0) / NULLIF(y1 - y0, 0), 0) * 20), 19) AS INTEGER) AS bin_x,
         CAST(LEAST(FLOOR(COALESCE((x - x0) / NULLIF(x1 - x0, 0), 0) * 20), 19) AS INTEGER) AS bin_y, COUNT(*) AS rows
         FROM complete c JOIN e ON e.priority = c.priority GROUP BY 1, 2, 3""",
+    "corr_matrix_wide": f"""WITH {complete()}, l AS (SELECT priority, rn, y, x, {_lags({'y': 11, 'x': 11})} FROM placed),
+        long AS (UNPIVOT l ON COLUMNS(* EXCLUDE (priority, rn)) INTO NAME a VALUE v)
+        SELECT s.priority, s.a, t.a AS b, {rd('CORR(s.v, t.v)', 6)} AS corr
+        FROM long s JOIN long t ON t.priority = s.priority AND t.rn = s.rn GROUP BY 1, 2, 3""",
+    "hexagon_bins": f"""WITH {complete('daily')}, e AS (SELECT priority, MIN(y) AS y0, MAX(y) AS y1, MIN(x) AS x0,
+        MAX(x) AS x1 FROM complete GROUP BY 1),
+        s AS (SELECT e.*, COALESCE((y - y0) / NULLIF(y1 - y0, 0), 0) * 20 AS u, COALESCE((x - x0) / NULLIF(x1 - x0, 0), 0) * 11 AS v
+          FROM complete c JOIN e ON e.priority = c.priority),
+        h AS (SELECT *, FLOOR(u + 0.5) AS a, FLOOR(v + 0.5) AS b, LEAST(FLOOR(u), 19) + 0.5 AS c,
+          LEAST(FLOOR(v), 10) + 0.5 AS d FROM s),
+        n AS (SELECT *, (u - a) * (u - a) + 3 * (v - b) * (v - b) < (u - c) * (u - c) + 3 * (v - d) * (v - d) AS straight FROM h),
+        p AS (SELECT *, CAST(2 * CASE WHEN straight THEN a ELSE c END AS INTEGER) AS hex_x,
+          CAST(2 * CASE WHEN straight THEN b ELSE d END AS INTEGER) AS hex_y FROM n)
+        SELECT priority, hex_x, hex_y, {rd('ANY_VALUE(y0 + (y1 - y0) * hex_x / 40.0)', 4)} AS mid_x,
+        {rd('ANY_VALUE(x0 + (x1 - x0) * hex_y / 22.0)', 4)} AS mid_y, COUNT(*) AS rows FROM p GROUP BY 1, 2, 3""",
+    "decompose_weekly": _decompose("weekly", 52),
     "rolling_six": f"""WITH {complete()} SELECT priority, date, y,
         {rd(f'CASE WHEN rn >= 6 THEN AVG(y) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) END')} AS rolling_mean,
         {rd(f'CASE WHEN rn >= 6 THEN STDDEV_SAMP(y) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) END')} AS rolling_std

@@ -503,6 +503,23 @@ def binned_counts(spark, sf):
     return diagnostics.binned_counts(complete(spark, sf, "daily"), "y", "x", KEY)
 
 
+@query
+def corr_matrix_wide(spark, sf):
+    df = tr.lag_block(complete(spark, sf), ["y", "x"], 11, KEY)
+    cols = ["y", "x", *[f"lag_{v}_{i}" for v in "yx" for i in range(1, 12)]]
+    return rounded(diagnostics.correlation_matrix(df, cols, KEY), "corr", digits=6)
+
+
+@query
+def hexagon_bins(spark, sf):
+    return rounded(diagnostics.hexagon_counts(complete(spark, sf, "daily"), "y", "x", KEY), "mid_x", "mid_y", digits=4)
+
+
+@query
+def decompose_weekly(spark, sf):
+    return rounded(diagnostics.decompose(complete(spark, sf), "y", "weekly", KEY), "trend", "seasonal", "resid")
+
+
 @query
 def rolling_six(spark, sf):
     return rounded(diagnostics.rolling_stats(complete(spark, sf), "y", KEY), "rolling_mean", "rolling_std")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoloom.operators.frame import attach, by_time, whole, with_position
 from chronoloom.operators.missing import fill_forward
@@ -15,6 +19,7 @@ from chronoloom.operators.timegrid import fill_calendar
 CYCLE = {"daily": 7, "weekly": 52, "monthly": 12}
 
 PAIRS_AT_ONCE = 136  # pairs of columns in one aggregate
+KEYS_AT_ONCE = 64  # keys whose cross products a task holds
 
 
 def pair_correlation(a: Column, b: Column) -> Column:
@@ -30,22 +35,125 @@ def pair_correlation(a: Column, b: Column) -> Column:
 def correlation_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, a, b, corr) for every ordered pair, using the rows where both values are present.
 
-    Pairs are aggregate columns, so a row is never multiplied; many columns take several aggregates over the data.
+    Few columns are one aggregate of pairs; many are one pass of masked cross products (`wide_correlations`). Neither
+    multiplies a row.
     """
     cols = list(cols)
-    data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    out = None
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[at : at + PAIRS_AT_ONCE]
-        one = data.groupBy(*keys).agg(*[pair_correlation(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(some)])
-        rows = []
-        for i, (a, b) in enumerate(some):
-            for x, y in sorted({(a, b), (b, a)}):
-                rows.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"p{i}").alias("corr")))
-        part = one.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    if len(pairs) > PAIRS_AT_ONCE:
+        return wide_correlations(df, cols, keys)
+    data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    one = data.groupBy(*keys).agg(*[pair_correlation(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        for x, y in sorted({(a, b), (b, a)}):
+            rows.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"p{i}").alias("corr")))
+    return one.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
+
+
+class PairSums:
+    """Sums over the rows where two columns are both present, for all pairs of columns: rows, values, squares, products.
+
+    Values count from `origin` (per column, about the mean of the first rows seen), so a common level costs no digits and a
+    constant column has exactly no spread.
+    """
+
+    def __init__(self, x: np.ndarray):
+        known = np.isfinite(x)
+        first = np.where(known.any(axis=0), x[np.argmax(known, axis=0), np.arange(x.shape[1])], 0.0)
+        rest = np.where(known, x - first, 0.0)
+        self.origin = first + rest.sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+        x, mask = np.where(known, x - self.origin, 0.0), known.astype(float)
+        self.rows, self.values, self.squares, self.products = mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x
+
+    @classmethod
+    def unpacked(cls, flat: np.ndarray, size: int) -> PairSums:
+        one = cls.__new__(cls)
+        one.origin = flat[:size]
+        one.rows, one.values, one.squares, one.products = flat[size:].reshape(4, size, size)
+        return one
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.origin, *(m.ravel() for m in (self.rows, self.values, self.squares, self.products))])
+
+    def add(self, other: PairSums) -> None:
+        """`other` is moved to this origin; a column not seen here before takes the other's origin."""
+        unseen = np.diag(self.rows) == 0
+        self.origin = np.where(unseen, other.origin, self.origin)
+        by = np.where(np.diag(other.rows) == 0, 0.0, other.origin - self.origin)
+        n, v = other.rows, other.values
+        self.rows = self.rows + n
+        self.products = self.products + other.products + by[:, None] * v.T + v * by[None, :] + np.outer(by, by) * n
+        self.squares = self.squares + other.squares + 2 * by[:, None] * v + (by * by)[:, None] * n
+        self.values = self.values + v + by[:, None] * n
+
+    def correlations(self) -> np.ndarray:
+        """NaN where a column of the pair doesn't vary over the pair's rows."""
+        with np.errstate(all="ignore"):
+            n, mean = self.rows, self.values / self.rows
+            square = self.squares / n
+            spread = square - mean * mean
+            spread = np.where(spread > 1e-14 * square, spread, np.nan)
+            corr = (self.products / n - mean * mean.T) / np.sqrt(spread * spread.T)
+        return np.where(np.isfinite(corr), np.clip(corr, -1.0, 1.0), np.nan)
+
+
+def wide_correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a, b, corr) of many columns in one pass: tasks sum masked cross products over their Arrow batches.
+
+    Four sums a pair and task leave the tasks, whatever the number of rows; at most KEYS_AT_ONCE keys are held. Missing and
+    infinite values count as absent; a pair without spread has NULL. An empty table gives no rows.
+    """
+    cols, keys = list(cols), list(keys)
+    size = len(cols)
+    data = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"__c{i}") for i, c in enumerate(cols)])
+    part = T.StructType([*[df.schema[k] for k in keys], T.StructField("__sums", T.ArrayType(T.DoubleType()))])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[PairSums, pa.RecordBatch]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for one, row in held.values():
+                flat = pa.array([one.packed()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*row.columns, flat], names=[*keys, "__sums"])
+            held.clear()
+
+        for batch in batches:
+            x = np.column_stack([batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(size)])
+            named = batch.select(keys)
+            groups = {(): np.arange(batch.num_rows)} if batch.num_rows else {}
+            if keys:
+                groups = pd.DataFrame({i: _codes(named.column(i)) for i in range(len(keys))}).groupby(list(range(len(keys)))).indices
+            for at in groups.values():
+                name = tuple(named.column(i)[int(at[0])].as_py() for i in range(len(keys)))
+                fresh = PairSums(x[at])
+                if name in held:
+                    held[name][0].add(fresh)
+                else:
+                    held[name] = (fresh, named.slice(int(at[0]), 1))
+            if len(held) > KEYS_AT_ONCE:
+                yield from out()
+        yield from out()
+
+    whole_schema = T.StructType([
+        *[df.schema[k] for k in keys], T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("corr", T.DoubleType())])
+
+    def merged(table: pa.Table) -> pa.Table:
+        parts = [PairSums.unpacked(np.asarray(p.values, dtype=float), size) for p in table.column("__sums")]
+        for other in parts[1:]:
+            parts[0].add(other)
+        corr = parts[0].correlations().ravel()
+        same = pa.array(np.zeros(size * size, np.int64))
+        return pa.table([
+            *[table.column(k).take(same) for k in keys], pa.array(np.repeat(cols, size).tolist()), pa.array(np.tile(cols, size).tolist()),
+            pa.array(corr, mask=np.isnan(corr))], names=whole_schema.names)
+
+    return data.mapInArrow(sums, part).groupBy(*keys).applyInArrow(merged, whole_schema)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Numbers that are equal where values are, NULL being a value."""
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
 
 
 def varying(corr: DataFrame) -> DataFrame:
@@ -92,6 +200,37 @@ def binned_counts(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), bins:
     )
 
 
+def hexagon_counts(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), across: int = 20) -> DataFrame:
+    """(keys, hex_x, hex_y, mid_x, mid_y, rows): counts in hexagons, `across` of them over the range of x.
+
+    Hexagon centres are two lattices, the second shifted by half a cell both ways; a point belongs to the nearer of the two
+    centres of the cell it is in (the second one on a tie). hex_x and hex_y are in half cells, mid_x and mid_y in the units
+    of x and y. The upper edges belong to the last cells. Rows with a missing value are left out; a variable without spread is at 0.
+    """
+    up = int(across / 3**0.5)  # rows of regular hexagons in a square picture
+    limits = df.groupBy(*keys).agg(F.min(x).alias("__x0"), F.max(x).alias("__x1"), F.min(y).alias("__y0"), F.max(y).alias("__y1"))
+    placed = attach(df.select(*keys, x, y).dropna(), limits, keys)
+
+    def along(v, lo, hi, cells):
+        return F.coalesce(F.try_divide(F.col(v) - F.col(lo), F.col(hi) - F.col(lo)), F.lit(0.0)) * cells
+
+    def off(a, b):
+        return (F.col("__u") - a) * (F.col("__u") - a) + 3 * (F.col("__v") - b) * (F.col("__v") - b)
+
+    placed = placed.withColumns({"__u": along(x, "__x0", "__x1", across), "__v": along(y, "__y0", "__y1", up)})
+    straight = [F.floor(F.col(c) + 0.5).cast("double") for c in ("__u", "__v")]
+    shifted = [F.least(F.floor(F.col(c)), F.lit(cells - 1)) + F.lit(0.5) for c, cells in (("__u", across), ("__v", up))]
+    first = off(*straight) < off(*shifted)
+    cell = {n: (F.when(first, a).otherwise(b) * 2).cast("int") for n, a, b in zip(("hex_x", "hex_y"), straight, shifted)}
+    limit = ["__x0", "__x1", "__y0", "__y1"]
+    counts = placed.withColumns(cell).groupBy(*keys, *limit, "hex_x", "hex_y").agg(F.count(F.lit(1)).alias("rows"))
+    mid = {
+        "mid_x": F.col("__x0") + (F.col("__x1") - F.col("__x0")) * F.col("hex_x") / (2.0 * across),
+        "mid_y": F.col("__y0") + (F.col("__y1") - F.col("__y0")) * F.col("hex_y") / (2.0 * up),
+    }
+    return counts.withColumns(mid).select(*keys, "hex_x", "hex_y", "mid_x", "mid_y", "rows")
+
+
 def scatter_points(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Raw points; `binned_counts` is the table for a series with too many of them to draw."""
     return df.select(*keys, x, y)

@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,55 @@ def test_a_year_without_a_calendar_is_not_known_to_be_free(spark):
         holidays.holiday_calendar(spark, "US", [])
 
 
+def test_sixty_columns_in_one_pass_with_levels_gaps_and_null_keys(spark):
+    rng = np.random.default_rng(8)
+    n, m = 900, 60
+    x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, m)) + rng.normal(size=(n, m)) + 1e9
+    x[rng.random((n, m)) < 0.1] = np.nan
+    x[:, 5] = 7.0  # constant
+    x[:, 6] = np.nan  # never there
+    x[:, 7] = np.where(np.arange(n) % 2, np.nan, rng.normal(size=n))
+    x[:, 8] = np.where(np.arange(n) % 2, 3.0, np.where(np.arange(n) % 4, 4.0, np.nan))  # constant where column 7 is present
+    key = np.where(np.arange(n) % 3 == 0, None, "a")
+    names = [f"c{i}" for i in range(m)]
+    rows = [(k, *[None if np.isnan(v) else float(v) for v in r]) for k, r in zip(key, x, strict=True)]
+    df = spark.createDataFrame(rows, "k string, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    out = diagnostics.correlation_matrix(df, names, ["k"])
+    got = {(r["k"], r["a"], r["b"]): r["corr"] for r in out.collect()}
+    assert len(got) == 2 * m * m
+    for k in (None, "a"):
+        part = pd.DataFrame(x[[v == k for v in key]], columns=names)
+        want = (part - part.mean()).corr()
+        for a in names:
+            for b in names:
+                w, g = want.loc[a, b], got[k, a, b]
+                both = part[[a, b]].dropna()
+                if len(both) == 0 or both.nunique().min() < 2:
+                    assert g is None, (a, b)
+                else:
+                    assert g == pytest.approx(w, abs=1e-6), (a, b)
+    narrow = {(r["k"], r["a"], r["b"]): r["corr"] for r in diagnostics.correlation_matrix(df, names[:4], ["k"]).collect()}
+    assert all(got[p] == pytest.approx(v, abs=1e-6) for p, v in narrow.items())
+    whole = diagnostics.wide_correlations(df, names[:3]).collect()
+    assert len(whole) == 9 and diagnostics.wide_correlations(df.limit(0), names[:3], ["k"]).count() == 0
+    text = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("MapInArrow") == 1 and text.count("Scan ExistingRDD") == 1
+
+
+def test_hexagons_hold_the_points_nearest_their_centres(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=500), rng.normal(size=500)
+    df = spark.createDataFrame([*zip(map(float, x), map(float, y)), (None, 1.0), (1.0, None)], "x double, y double")
+    got = {(r["hex_x"], r["hex_y"]): r["rows"] for r in diagnostics.hexagon_counts(df, "x", "y", across=12).collect()}
+    u, v = (x - x.min()) / np.ptp(x) * 12, (y - y.min()) / np.ptp(y) * 6
+    centres = np.array([(i, j) for i in range(26) for j in range(14) if i % 2 == j % 2]) / 2
+    near = np.argmin((u[:, None] - centres[:, 0]) ** 2 + 3 * (v[:, None] - centres[:, 1]) ** 2, axis=1)
+    want = {tuple((2 * centres[c]).astype(int)): n for c, n in zip(*np.unique(near, return_counts=True))}
+    assert got == want
+    flat = diagnostics.hexagon_counts(spark.createDataFrame([(2.0, 3.0)] * 4, "x double, y double"), "x", "y").collect()
+    assert [(r["hex_x"], r["hex_y"], r["mid_x"], r["mid_y"], r["rows"]) for r in flat] == [(0, 0, 2.0, 3.0, 4)]
+
+
 def test_wide_correlations_have_one_plan(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(50, 20))
