@@ -27,15 +27,15 @@ def branch_and_bound(query: np.ndarray, query_id: int, columns: np.ndarray, mass
                      exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the up to `k` best candidates with a score of at least `floor`; `columns` is (dimension, candidate).
 
-    All values are whole numbers. `exact` says that sums of their products stay below 2^52, where double arithmetic on them
-    is exact; otherwise doubles only bound, by more than their rounding, and what survives is scored in whole numbers.
+    All values are whole numbers. `exact` says that sums of their products and squares stay below 2^52, where double arithmetic
+    on them is exact; otherwise doubles only bound, by more than their rounding, and what survives is scored in whole numbers.
     """
     order = np.argsort(-np.abs(query), kind="stable")
     alive = np.nonzero(ids != query_id)[0]
     partial, left = np.zeros(len(alive)), mass[alive].copy()
     with np.errstate(over="ignore", invalid="ignore"):
-        # what rounding can do to a partial sum and, through the root, to the mass that is left
-        slack = 1.0 + 4.0 * np.sqrt(len(order) * 2.0**-52 * float(query @ query) * mass[alive])
+        # what rounding can do: to a root of exact numbers, or to a partial sum and, through the root, to the mass that is left
+        slack = 1.0 if exact else 1.0 + 4.0 * np.sqrt(len(order) * 2.0**-52 * float(query @ query) * mass[alive])
         for start in range(0, len(order), DIMENSIONS_AT_ONCE):
             dims = order[start : start + DIMENSIONS_AT_ONCE]
             block = columns[dims] if len(alive) == columns.shape[1] else columns[np.ix_(dims, alive)]
@@ -47,7 +47,8 @@ def branch_and_bound(query: np.ndarray, query_id: int, columns: np.ndarray, mass
             reach = partial + np.sqrt(np.maximum(left, 0.0) * float(rest @ rest)) + slack
             keep = ~(reach < floor)  # a bound that overflows cuts nothing
             if not keep.all():
-                alive, partial, left, slack = alive[keep], partial[keep], left[keep], slack[keep]
+                alive, partial, left = alive[keep], partial[keep], left[keep]
+                slack = slack if exact else slack[keep]
             if not len(alive):
                 break
     if exact:
@@ -69,14 +70,14 @@ def search_block(candidates: pa.Table, queries: pa.Table, k: int, at_once: int =
         asked = matrix(queries["v"])
         with np.errstate(over="ignore"):
             mass = (vertical * vertical).sum(axis=0)
-            largest = np.abs(asked).max(axis=1) * len(vertical)
+            largest = np.abs(asked).max(axis=1)
         strips = [(vertical[:, a : a + at_once].copy(), mass[a : a + at_once], ids[a : a + at_once]) for a in range(0, len(ids), at_once)]
         tops = [np.abs(columns).max() for columns, _, _ in strips]
         for query_id, query, most in zip(queries["id"].to_pylist(), asked, largest, strict=True):
             best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
             for (columns, part_mass, part_ids), top in zip(strips, tops, strict=True):
                 floor = int(best[-1]) if len(best) >= k else -np.inf
-                exact = float(most) * float(top) < 2.0**52
+                exact = max(float(most), float(top)) < (2.0**52 / len(vertical)) ** 0.5
                 more_ids, more = branch_and_bound(query, query_id, columns, part_mass, part_ids, k, floor, exact)
                 best_ids, best = np.concatenate([best_ids, more_ids]), np.concatenate([best, more])
                 keep = take_best(best, best_ids, k)
