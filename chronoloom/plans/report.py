@@ -34,7 +34,6 @@ def report_tables(result: RunResult, spec: RunSpec, max_lag: int = 20) -> dict[s
     for x, y in rep.vars_to_plot_scatter:
         out[f"scatter_{x}_{y}"] = diagnostics.scatter_points(m, x, y, keys)
         out[f"binned_{x}_{y}"] = diagnostics.binned_counts(m, x, y, keys)
-        out[f"hexagons_{x}_{y}"] = diagnostics.hexagon_counts(m, x, y, keys)
     if "difference" in m.columns:
         out["difference_evolution"] = diagnostics.difference_evolution(m, keys)
     out["metric_bars"] = metrics.metric_rows(result.metrics.select(*keys, "model", *metrics.METRICS), keys)
