@@ -932,3 +932,9 @@ ORACLES |= {
                         ("arima_likelihood", "arima_ml"), ("arima_exogenous_likelihood", "arima_exo_ml"))
 }
 ORACLES["additive_large_offset"] = f"""WITH {complete()} SELECT priority, LEAST({H}, ANY_VALUE(n) - 1) AS forecasts, TRUE AS same FROM placed GROUP BY priority"""
+# Refined weights start from the best point of the grid: their errors can only fall.
+ORACLES |= {
+    f"{name}_refined_facts": f"""WITH {complete('monthly')} SELECT priority, CAST(0 AS BIGINT) AS missing, TRUE AS never_worse,
+        TRUE AS somewhere_better FROM placed GROUP BY priority"""
+    for name in ("holt", "seasonal")
+}

@@ -728,6 +728,33 @@ def holt_winters(spark, sf):
     return seasonal_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY)
 
 
+def _refined(spark, sf, make, rounds=4, **args) -> DataFrame:
+    """Per key: are the errors of refined weights never above those of the grid's best point, and below them somewhere?"""
+    s = complete(spark, sf, "monthly")
+    grid, fine = (make(s, target="y", horizon=HORIZON, keys=KEY, refine=r, detail=True, **args) for r in (0, rounds))
+    pair = grid.select(*KEY, "step", F.col("loss").alias("coarse")).join(fine.select(*KEY, "step", "pred", "loss"), [*KEY, "step"])
+    fitted = pair.filter(F.col("coarse") > 0)  # an error of nothing, as after two values, can't fall
+    return fitted.groupBy(*KEY).agg(
+        F.count_if(F.col("pred").isNull()).alias("missing"),
+        F.bool_and(F.col("loss") <= F.col("coarse")).alias("never_worse"),
+        F.bool_or(F.col("loss") < F.col("coarse")).alias("somewhere_better"))
+
+
+@query
+def holt_refined(spark, sf):
+    return holt_forecasts(complete(spark, sf, "monthly"), target="y", horizon=HORIZON, keys=KEY, refine=4)
+
+
+@query
+def holt_refined_facts(spark, sf):
+    return _refined(spark, sf, holt_forecasts)
+
+
+@query
+def seasonal_refined_facts(spark, sf):
+    return _refined(spark, sf, seasonal_forecasts, rounds=2, periods=(4, 7))
+
+
 @query
 def arima(spark, sf):
     return arima_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY)

@@ -53,6 +53,8 @@ from chronoloom.sources.sinks import result_name, write_results
 # Model names of the two larger families in declared order.
 TS_MODELS = ("arima_diff", "arima_eda", "tbats", "exp_smooth", "holt", "prophet")
 TS_EXOGENOUS = ("arima_exo_diff", "arima_exo_eda", "prophet_exo")
+# Rounds in which the weights of exponential smoothing move on from the best point of their grid.
+SMOOTHING_ROUNDS = 3
 TABULAR_MODELS = ("linear", "rf", "svr", "lasso", "ridge", "elastic", "xgb", "knn")
 WORK_NAMES = ("", "difference", "secdifference")
 
@@ -283,8 +285,8 @@ def ts_forecasts(
         "arima_diff": lambda: arima_forecasts(matrix, name="arima_diff", **orders, **common),
         "arima_eda": lambda: arima_forecasts(matrix, d=0, name="arima_eda", **orders, **common),
         "tbats": lambda: harmonic_forecasts(matrix, periods=m.seasonal_periods, **common),
-        "exp_smooth": lambda: seasonal_forecasts(matrix, **common),
-        "holt": lambda: holt_forecasts(matrix, **common),
+        "exp_smooth": lambda: seasonal_forecasts(matrix, refine=SMOOTHING_ROUNDS, **common),
+        "holt": lambda: holt_forecasts(matrix, refine=SMOOTHING_ROUNDS, **common),
         "prophet": lambda: _additive(matrix, m, m.additive, holidays, [], "prophet", common),
     }
     if mode != "ts_only":
