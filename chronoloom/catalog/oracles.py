@@ -929,7 +929,7 @@ ORACLES |= {
     f"{name}_facts": f"""WITH {complete()} SELECT priority, '{model}' AS model, LEAST({H}, ANY_VALUE(n) - 1) AS forecasts,
         CAST(0 AS BIGINT) AS missing, TRUE AS inside FROM placed GROUP BY priority"""
     for name, model in (("random_forest", "rf"), ("boosted_trees", "xgb"), ("support_vector", "svr"),
-                        ("arima_likelihood", "arima_ml"), ("arima_exogenous_likelihood", "arima_exo_ml"))
+                        ("harmonic_power", "tbats_ml"), ("arima_likelihood", "arima_ml"), ("arima_exogenous_likelihood", "arima_exo_ml"))
 }
 ORACLES["additive_large_offset"] = f"""WITH {complete()} SELECT priority, LEAST({H}, ANY_VALUE(n) - 1) AS forecasts, TRUE AS same FROM placed GROUP BY priority"""
 # Refined weights start from the best point of the grid: their errors can only fall.
@@ -938,3 +938,12 @@ ORACLES |= {
         TRUE AS somewhere_better FROM placed GROUP BY priority"""
     for name in ("holt", "seasonal")
 }
+# With one regressor the sum of squared residuals is syy - sxy^2 / sxx; of unit geometric mean, powers compare by it alone.
+ORACLES["power_of_trend"] = f"""WITH {complete('monthly')},
+    early AS (SELECT priority, y, rn / n AS t FROM placed WHERE rn <= n - LEAST({H}, n - 1)),
+    whole AS (SELECT priority, MIN(y) > 0 AS able, EXP(AVG(CASE WHEN y > 0 THEN LN(y) END)) AS g, COUNT(*) AS n FROM early GROUP BY priority),
+    scaled AS (SELECT priority, able, t, CASE WHEN able THEN y / g ELSE y END AS u FROM early JOIN whole USING (priority) WHERE n > 4),
+    tried AS (SELECT priority, power, t, CASE WHEN power = 1 THEN u - 1 WHEN power = 0 THEN LN(u) ELSE (POW(u, power) - 1) / power END AS z
+      FROM scaled, (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS power) WHERE able OR power = 1),
+    errors AS (SELECT priority, power, REGR_SYY(z, t) - REGR_SXY(z, t) * REGR_SXY(z, t) / REGR_SXX(z, t) AS e FROM tried GROUP BY priority, power)
+    SELECT priority, ARG_MIN(power, e) AS power, 0 AS harmonics FROM errors GROUP BY priority"""

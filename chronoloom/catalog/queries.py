@@ -11,7 +11,7 @@ from chronoloom.functions import columns as fx
 from chronoloom.models.additive import AdditiveParams, additive_forecasts, additive_search, params_grid
 from chronoloom.models.arima import arima_forecasts
 from chronoloom.models.baseline import BASELINES, baseline_forecasts
-from chronoloom.models.harmonic import harmonic_forecasts
+from chronoloom.models.harmonic import harmonic_forecasts, power_choice, power_harmonic_forecasts
 from chronoloom.models.knn import knn_forecasts, knn_search
 from chronoloom.models.linear import linear_forecasts
 from chronoloom.models.smoothing import holt_forecasts, seasonal_forecasts
@@ -799,6 +799,23 @@ def harmonic(spark, sf):
     return rounded(harmonic_forecasts(complete(spark, sf, "daily"), target="y", horizon=HORIZON, keys=KEY), "pred", digits=0)
 
 
+@query
+def harmonic_power(spark, sf):
+    return power_harmonic_forecasts(complete(spark, sf), target="y", horizon=HORIZON, keys=KEY, periods=(4, 13, 52), name="tbats_ml")
+
+
+@query
+def harmonic_power_facts(spark, sf):
+    return _facts(harmonic_power(spark, sf), spark, sf)
+
+
+@query
+def power_of_trend(spark, sf):
+    """The power transform that makes monthly revenue most nearly a straight line."""
+    out = power_choice(complete(spark, sf, "monthly"), target="y", horizon=HORIZON, keys=KEY, periods=(), max_order=0)
+    return out.select(*KEY, "power", "harmonics")
+
+
 @query
 def additive_weekly(spark, sf):
     out = additive_forecasts(

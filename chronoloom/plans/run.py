@@ -15,7 +15,7 @@ from chronoloom.functions.columns import parse_date, parse_short_year_month, par
 from chronoloom.models.additive import additive_forecasts, additive_search, best_additive, params_grid
 from chronoloom.models.arima import arima_forecasts, difference_orders
 from chronoloom.models.baseline import BASELINES, baseline_forecasts
-from chronoloom.models.harmonic import harmonic_forecasts
+from chronoloom.models.harmonic import power_harmonic_forecasts
 from chronoloom.models.knn import KNN_GRID, knn_forecasts, knn_search
 from chronoloom.models.linear import LINEAR_MODELS, linear_forecasts
 from chronoloom.models.smoothing import holt_forecasts, seasonal_forecasts
@@ -284,7 +284,7 @@ def ts_forecasts(
     makers = {
         "arima_diff": lambda: arima_forecasts(matrix, name="arima_diff", **orders, **common),
         "arima_eda": lambda: arima_forecasts(matrix, d=0, name="arima_eda", **orders, **common),
-        "tbats": lambda: harmonic_forecasts(matrix, periods=m.seasonal_periods, **common),
+        "tbats": lambda: power_harmonic_forecasts(matrix, periods=m.seasonal_periods, **common),
         "exp_smooth": lambda: seasonal_forecasts(matrix, refine=SMOOTHING_ROUNDS, **common),
         "holt": lambda: holt_forecasts(matrix, refine=SMOOTHING_ROUNDS, **common),
         "prophet": lambda: _additive(matrix, m, m.additive, holidays, [], "prophet", common),
