@@ -947,3 +947,7 @@ ORACLES["power_of_trend"] = f"""WITH {complete('monthly')},
       FROM scaled, (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS power) WHERE able OR power = 1),
     errors AS (SELECT priority, power, REGR_SYY(z, t) - REGR_SXY(z, t) * REGR_SXY(z, t) / REGR_SXX(z, t) AS e FROM tried GROUP BY priority, power)
     SELECT priority, ARG_MIN(power, e) AS power, 0 AS harmonics FROM errors GROUP BY priority"""
+ORACLES["quantiles_of_long_keys"] = f"""SELECT l_returnflag, COUNT(l_extendedprice) AS n, {', '.join(
+    rd(f"QUANTILE_CONT(CAST(l_extendedprice AS DOUBLE), {p})") + f' AS {c}'
+    for p, c in ((0.01, 'p01'), (0.25, 'q25'), (0.5, 'median'), (0.75, 'q75'), (0.99, 'p99')))}
+    FROM lineitem GROUP BY l_returnflag"""

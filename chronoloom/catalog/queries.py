@@ -20,6 +20,7 @@ from chronoloom.models.trees import tree_forecasts
 from chronoloom.operators import backtest, diagnostics, ensemble, features, frame, metrics, missing, scaling
 from chronoloom.operators import holidays as hol
 from chronoloom.operators import stationarity as sta
+from chronoloom.operators import quantiles as qt
 from chronoloom.operators import timegrid as tg
 from chronoloom.operators import transforms as tr
 from chronoloom.plans.run import prepare_series, run
@@ -414,6 +415,14 @@ def norm_parameters(spark, sf):
     return rounded(out, "p1", "p2")
 
 
+@query
+def quantiles_of_long_keys(spark, sf):
+    """Quartiles and tails of the prices of raw lines per return flag, a few hundred values in a task at a time."""
+    out = qt.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", [0.01, 0.25, 0.5, 0.75, 0.99], ["l_returnflag"], at_most=512)
+    names = ("p01", "q25", "median", "q75", "p99")
+    return rounded(out.select("l_returnflag", "n", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(names)]), *names)
+
+
 @query
 def norm_train_only(spark, sf):
     s = frame.with_step(complete(spark, sf), KEY, HORIZON)

@@ -50,8 +50,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, tag: str = "scratch") -> str:
-    """A new path for a written table: in the shared folder, or in the warehouse where no folder is named."""
-    root = shared_folder(spark) or f"{spark.conf.get('spark.sql.warehouse.dir')}/chronoloom-scratch"
+    """A new path for a written table: in the shared folder, or, in a local session that names none, in the warehouse."""
+    root = shared_folder(spark)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/chronoloom-scratch"
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
