@@ -951,3 +951,17 @@ ORACLES["quantiles_of_long_keys"] = f"""SELECT l_returnflag, COUNT(l_extendedpri
     rd(f"QUANTILE_CONT(CAST(l_extendedprice AS DOUBLE), {p})") + f' AS {c}'
     for p, c in ((0.01, 'p01'), (0.25, 'q25'), (0.5, 'median'), (0.75, 'q75'), (0.99, 'p99')))}
     FROM lineitem GROUP BY l_returnflag"""
+# Easter Sundays 1994-2002, and the national holidays of Australia (days moved from a weekend to the next free weekday).
+ORACLES["holiday_flag_aus"] = f"""WITH {complete('daily')},
+    easter AS (SELECT CAST(unnest(['1994-04-03', '1995-04-16', '1996-04-07', '1997-03-30', '1998-04-12', '1999-04-04', '2000-04-23',
+      '2001-04-15', '2002-03-31']) AS DATE) AS e),
+    fixed AS (SELECT make_date(yr, m, dd) AS d, lieu, sunday FROM (SELECT CAST(unnest(range(1994, 2003)) AS INTEGER) AS yr),
+      (VALUES (1, 1, TRUE, 1), (1, 26, TRUE, 1), (4, 25, FALSE, 0), (12, 25, TRUE, 2), (12, 26, TRUE, 2)) v(m, dd, lieu, sunday)),
+    days AS (SELECT e - 2 AS d FROM easter UNION ALL SELECT e + 1 FROM easter UNION ALL SELECT d FROM fixed
+      UNION ALL SELECT d + CASE isodow(d) WHEN 6 THEN 2 ELSE sunday END FROM fixed WHERE lieu AND isodow(d) >= 6),
+    holidays AS (SELECT DISTINCT CAST(d AS DATE) AS date FROM days)
+    SELECT c.priority, c.date, CAST(h.date IS NOT NULL AS INTEGER) AS holidays_fe FROM complete c LEFT JOIN holidays h ON h.date = c.date"""
+_LAGGED = ("y", "lag_y_1", "lag_y_2", "lag_y_3", "lag_y_4")
+ORACLES["lag_correlation_report"] = f"""WITH {complete()}, l AS (SELECT *, {_lags({'y': 4})} FROM complete), pairs AS (""" + " UNION ALL ".join(
+    f"SELECT priority, '{a}' AS a, '{b}' AS b, {rd(f'CORR({a}, {b})', 6)} AS corr FROM l GROUP BY 1" for a in _LAGGED for b in _LAGGED
+) + ") SELECT * FROM pairs WHERE corr IS NOT NULL AND NOT isnan(corr)"

@@ -492,6 +492,13 @@ def holiday_month(spark, sf):
     return hol.add_holidays(complete(spark, sf, "monthly").select(*KEY, "date"), _holidays(spark, sf), "monthly")
 
 
+@query
+def holiday_flag_aus(spark, sf):
+    """Fixed days with their days in lieu, and the two that go by Easter."""
+    calendar = hol.holiday_calendar(spark, "AUS", hol.years_of(table(spark, sf, "orders"), "o_orderdate"))
+    return hol.add_holidays(complete(spark, sf, "daily").select(*KEY, "date"), calendar, "daily")
+
+
 @query
 def constant_columns(spark, sf):
     df = complete(spark, sf).withColumn("flat", F.lit(1.0))
@@ -507,6 +514,14 @@ def corr_matrix(spark, sf):
     return rounded(diagnostics.correlation_matrix(df, ["y", "x", "lag_y_1", "lag_y_2"], KEY), "corr", digits=6)
 
 
+@query
+def lag_correlation_report(spark, sf):
+    """The columns that the report chooses by itself: the target and its lags, constant ones left out."""
+    m = matrix(spark, sf)
+    cols = diagnostics.correlation_columns(m.columns, "y", lags=True)
+    return rounded(diagnostics.varying(diagnostics.correlation_matrix(m, cols, KEY)), "corr", digits=6)
+
+
 @query
 def binned_counts(spark, sf):
     return diagnostics.binned_counts(complete(spark, sf, "daily"), "y", "x", KEY)
